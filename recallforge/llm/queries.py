@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_records
+from . import mixing, packing, token_records
 from ._shared import read_table
 from ._tokens import default_tokenizer
 
@@ -21,10 +21,15 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.encode_round_trip(read_table(spark, sf_dir, "documents"), default_tokenizer())
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(read_table(spark, sf_dir, "documents")).taken()
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_sequence_packing": op3_sequence_packing,
         "op8_token_records": op8_token_records,
+        "op10_source_mixing": op10_source_mixing,
     }
 
 
