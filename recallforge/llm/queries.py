@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, token_records
+from . import minhash, mixing, packing, token_records
 from ._shared import read_table
 from ._tokens import default_tokenizer
 
@@ -17,6 +17,10 @@ def op3_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), default_tokenizer())
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.encode_round_trip(read_table(spark, sf_dir, "documents"), default_tokenizer())
 
@@ -28,6 +32,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op3_sequence_packing": op3_sequence_packing,
+        "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op8_token_records": op8_token_records,
         "op10_source_mixing": op10_source_mixing,
     }
