@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-_CACHE_PARTS = 300_000
+_CACHE_PARTS = 600_000
 #: So many distinct parts are encoded as one text.
 _RUN = 512
 
