@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, token_records
+from . import embed_dedup, minhash, mixing, packing, token_records
 from ._shared import read_table
 from ._tokens import default_tokenizer
 
@@ -25,6 +25,30 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.encode_round_trip(read_table(spark, sf_dir, "documents"), default_tokenizer())
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reached(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+)
+SELECT t.vec_id, COALESCE(n.n, 0)::BIGINT AS n_links, LEAST(t.vec_id, COALESCE(m.m, t.vec_id))::BIGINT AS component_id,
+       t.vec_id = LEAST(t.vec_id, COALESCE(m.m, t.vec_id)) AS kept
+FROM embeddings t
+LEFT JOIN (SELECT a, COUNT(*) AS n FROM links GROUP BY a) n ON n.a = t.vec_id
+LEFT JOIN (SELECT a, MIN(b) AS m FROM reached GROUP BY a) m ON m.a = t.vec_id
+"""
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(read_table(spark, sf_dir, "documents")).taken()
 
@@ -34,9 +58,12 @@ def queries() -> dict[str, Query]:
         "op3_sequence_packing": op3_sequence_packing,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op8_token_records": op8_token_records,
+        "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_source_mixing": op10_source_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_embedding_near_dedup": OP9_SQL,
+    }
