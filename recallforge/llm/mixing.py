@@ -154,7 +154,7 @@ class Mix:
         targets = stored(
             targets.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
             .withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
-            .withColumn("ranges", F.greatest(F.lit(16), F.ceil(F.col("blocks") / rows_per_range)).cast("long")),
+            .withColumn("ranges", F.greatest(F.lit(64), F.ceil(F.col("blocks") / rows_per_range)).cast("long")),
             "targets",
         )
         small = maybe_broadcast(targets, BROADCAST_SOURCES)
