@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embed_dedup, minhash, mixing, packing, token_records
+from . import embed_dedup, hamming, html_extract, minhash, mixing, packing, token_records
 from ._shared import read_table
 from ._tokens import default_tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op3_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), default_tokenizer())
 
@@ -21,6 +26,24 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+OP5_SQL = """
+WITH e AS (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN x > 0 AND NOT isnan(x) THEN '1' ELSE '0' END) AS bits
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64
+), c AS (SELECT id, CAST(array_to_string(bits, '') AS BIT) AS code FROM e),
+p AS (
+  SELECT q.id AS query_id, c.id AS vec_id, CAST(bit_count(xor(q.code, c.code)) AS BIGINT) AS distance
+  FROM c q JOIN c ON q.id <> c.id WHERE q.id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS BIGINT) AS rank, vec_id, distance
+FROM p QUALIFY rank <= 10
+"""
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.encode_round_trip(read_table(spark, sf_dir, "documents"), default_tokenizer())
 
@@ -55,8 +78,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_html_extraction": op2_html_extraction,
         "op3_sequence_packing": op3_sequence_packing,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
+        "op5_hamming_top_k": op5_hamming_top_k,
         "op8_token_records": op8_token_records,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_source_mixing": op10_source_mixing,
@@ -65,5 +90,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_hamming_top_k": OP5_SQL,
         "op9_embedding_near_dedup": OP9_SQL,
     }
