@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, embed_dedup, hamming, html_extract, minhash, mixing, packing, token_records
+from . import bloom_lm, embed_dedup, hamming, html_extract, langid, minhash, mixing, packing, token_records
 from ._shared import read_table
 from ._tokens import default_tokenizer
 
@@ -48,6 +48,10 @@ def op6_bloom_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.encode_round_trip(read_table(spark, sf_dir, "documents"), default_tokenizer())
 
@@ -87,6 +91,7 @@ def queries() -> dict[str, Query]:
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_hamming_top_k": op5_hamming_top_k,
         "op6_bloom_lm_scores": op6_bloom_lm_scores,
+        "op7_language_id": op7_language_id,
         "op8_token_records": op8_token_records,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_source_mixing": op10_source_mixing,
