@@ -101,8 +101,8 @@ def _signatures(batches):
                 k2.append(int(np.uint64(b).view(np.int64)))
                 if len(s):
                     sig = signature(s)
-                    bands.append(band_keys(sig))
-                    sketch.append((sig >> np.uint64(8)).astype(np.uint8).tobytes())
+                    bands.append(keys := band_keys(sig))
+                    sketch.append((sig >> np.uint64(8)).astype(np.uint8).tobytes() + keys.astype("<i4").tobytes())
                 else:
                     bands.append(None)
                     sketch.append(None)
@@ -122,10 +122,21 @@ def _sizes_allow(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * SIMILARITY
 
 
+def _sketches(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A row of bytes per sketch: one for each bin, then four of each band's key."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS + 4 * BANDS)
+
+
 def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether sketches agree in as many bins as the threshold, less the slack, demands; a byte agrees by chance in 1 of 256."""
     least = SIMILARITY / 100 - SLACK
-    return (a == b).sum(axis=-1) >= BINS * (least + (1 - least) / 256)
+    return (a[..., :BINS] == b[..., :BINS]).sum(axis=-1) >= BINS * (least + (1 - least) / 256)
+
+
+def _first_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first band in which the sketches agree."""
+    keys = [np.ascontiguousarray(x[..., BINS:]).view("<i4") for x in (a, b)]
+    return (keys[0] == keys[1]).argmax(axis=-1)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -151,8 +162,7 @@ def _similar(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     def test(batches):
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array(_close(a, b)))
+                yield batch.select([0, 1]).filter(pa.array(_close(_sketches(batch.column(2)), _sketches(batch.column(3)))))
 
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     known = sketches.join(maybe_broadcast(ids, BROADCAST_IDS), "id", "left_semi")
@@ -170,16 +180,18 @@ def star_edges(members: DataFrame) -> DataFrame:
 
 
 def _across(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Similar pairs of different components between the strangers and all rows of one block."""
+    """Similar pairs of different components between the strangers and all rows of one block, each in its first band only."""
+    band = table.column("band")[0].as_py() if table.num_rows else 0
     ids, comps, sizes = (table.column(c).to_numpy() for c in ("id", "component", "n"))
     stranger = table.column("stranger").to_numpy(zero_copy_only=False)
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+    sketch = _sketches(table.column("sketch"))
     left, right = [], []
     others = np.flatnonzero(~stranger)
     for i in np.flatnonzero(stranger):
         js = others[(comps[others] != comps[i]) & (np.minimum(sizes[others], sizes[i]) * 100 >= np.maximum(sizes[others], sizes[i]) * SIMILARITY)]
         if len(js):
             js = js[_close(sketch[js], sketch[i])]
+            js = js[_first_band(sketch[js], sketch[i]) == band]
             left.append(np.minimum(ids[js], ids[i]))
             right.append(np.maximum(ids[js], ids[i]))
     join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
@@ -188,7 +200,7 @@ def _across(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 def crossing_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
     """(a, b): similar by sketch, in a common bucket, of different components as ``labels`` (node, component) has them."""
-    labelled = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    labelled = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
     sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("rows"))
     mixed_ = sizes.groupBy("key").agg(F.max(F.struct("rows", "component"))["component"].alias("main"), F.max("rows").alias("in_main"), F.sum("rows").alias("rows"))
     mixed_ = mixed_.where(F.col("in_main") < F.col("rows"))
@@ -198,7 +210,7 @@ def crossing_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame) -
     at = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     as_any = F.transform(F.sequence(F.lit(0), outside - 1), lambda i: F.struct(i.alias("i"), at(everyone).alias("j"), F.lit(False).alias("stranger")))
     as_stranger = F.transform(F.sequence(F.lit(0), everyone - 1), lambda j: F.struct(at(outside).alias("i"), j.alias("j"), F.lit(True).alias("stranger")))
-    blocks = rows.select("key", "id", "component", F.explode(F.when(F.col("stranger"), F.concat(as_any, as_stranger)).otherwise(as_any)).alias("at")).select("key", "id", "component", "at.*")
+    blocks = rows.select("key", "band", "id", "component", F.explode(F.when(F.col("stranger"), F.concat(as_any, as_stranger)).otherwise(as_any)).alias("at")).select("key", "band", "id", "component", "at.*")
     ids = rows.select("id").distinct()
     known = sketches.join(maybe_broadcast(ids, BROADCAST_IDS), "id", "left_semi")
     return blocks.join(known, "id").groupBy("key", "i", "j").applyInArrow(_across, "a long, b long").distinct()
@@ -211,7 +223,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     whole = sigs.where("doc_id is not null and n_shingles > 0")
     groups = stored(whole.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "groups")
     reps = whole.join(groups.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    entries = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")).distinct()
+    entries = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key")).distinct()
     full = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(entries.join(full, "key"), "members")
     sketches = whole.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
