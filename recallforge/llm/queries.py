@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, embed_dedup, hamming, html_extract, langid, minhash, mixing, packing, token_records
+from . import bloom_lm, embed_dedup, hamming, html_extract, langid, minhash, mixing, packing, pii, token_records
 from ._shared import read_table
 from ._tokens import default_tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_personal_data(docs).select("doc_id", "n_entities", "text")
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
 
@@ -86,6 +91,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_pii_surrogates": op1_pii_surrogates,
         "op2_html_extraction": op2_html_extraction,
         "op3_sequence_packing": op3_sequence_packing,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
