@@ -49,14 +49,26 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, width)
 
 
-def points(vectors: DataFrame) -> DataFrame:
-    """vec_id, label and the vector as doubles scaled to length 1; rows that can be linked with something only."""
-    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    usable = F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
-    v = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")).where(usable)
-    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    v = v.withColumn("top", largest).where("top > 0").withColumn("v", F.transform("v", lambda x: x / F.col("top")))  # no square overflows
-    return v.withColumn("norm", size).select("vec_id", "label", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
+PACKED = "vec_id long, label {label}, width int, v binary"
+
+
+def _pack(batches):
+    """Vectors scaled to length 1 as little-endian doubles; null for one that nothing can be linked with."""
+    for batch in batches:
+        column = batch.column(2)
+        ends = np.cumsum([n or 0 for n in column.value_lengths().to_pylist()])
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype("<f8")  # a null component becomes NaN
+        widths, data = [], []
+        for start, end, labelled in zip(np.append(0, ends), ends, batch.column(1).is_valid().to_pylist()):
+            v = flat[start:end]
+            top = np.abs(v).max() if len(v) else 0.0
+            usable = labelled and np.isfinite(top) and top > 0
+            if usable:
+                v = v / top  # so that no square overflows
+                v = v / np.sqrt(v @ v)
+            widths.append(len(v) if usable else None)
+            data.append(v.tobytes() if usable else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(widths, pa.int32()), pa.array(data, pa.binary())], ["vec_id", "label", "width", "v"])
 
 
 def _assign(width: int, centroids: np.ndarray, reach: float):
@@ -76,19 +88,33 @@ def _assign(width: int, centroids: np.ndarray, reach: float):
                 visits[np.arange(len(x)), home] = True
                 row, cell = np.nonzero(visits)
                 taken = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(cell, pa.int32()), pa.array(cell == home[row]), taken.column(2)], ["id", "label", "cell", "resident", "v"])
+                yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(cell, pa.int32()), pa.array(cell == home[row]), taken.column(2), taken.column(3)], ["id", "label", "cell", "resident", "v", "copies"])
 
     return assign
 
 
 def _compare(width: int, least: float):
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """Of each point its links, counted in copies, and a tie to one point of its component in this block."""
         resident = table.column("resident").to_numpy(zero_copy_only=False)
-        ids, x = table.column("id").to_numpy(), _matrix(table.column("v"), width)
+        ids, x, copies = table.column("id").to_numpy(), _matrix(table.column("v"), width), table.column("copies").to_numpy()
         rows, others = np.flatnonzero(~resident), np.flatnonzero(resident)
-        near, far = np.nonzero(x[rows] @ x[others].T >= least)
-        a, b = ids[rows[near]], ids[others[far]]
-        return pa.table({"a": a[a != b], "b": b[a != b]})
+        links = (x[rows] @ x[others].T >= least) & (ids[rows][:, None] != ids[others][None])
+        keep, kept = links.any(axis=1), links.any(axis=0)
+        links, rows, others = links[np.ix_(keep, kept)], rows[keep], others[kept]
+        if not len(rows):
+            return pa.table({n: pa.array([], pa.int64()) for n in ("a", "b", "n")})
+        label = np.arange(len(rows))
+        while True:  # the smallest row number spreads along links
+            of_others = np.where(links, label[:, None], len(rows)).min(axis=0)
+            new = np.minimum(label, np.where(links, of_others[None], len(rows)).min(axis=1))
+            if (new == label).all():
+                break
+            label = new
+        a = np.concatenate([ids[rows], ids[others]])
+        b = ids[rows][np.concatenate([label, of_others])]
+        n = np.concatenate([links @ copies[others], np.zeros(len(others), np.int64)])
+        return pa.table({"a": a, "b": b, "n": n})
 
     return compare
 
@@ -97,61 +123,44 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataF
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding, label)."""
     spark = vectors.sparkSession
     ensure_importable(spark)
-    rows = stored(points(vectors), "points")
-    # The bytes of the doubles, little-endian: what equality, the shuffle and numpy work on.
-    packed = rows.mapInArrow(_pack, f"vec_id long, label {dict(rows.dtypes)['label']}, width int, v binary")
-    packed = stored(packed.withColumn("k1", F.xxhash64("label", "v")).withColumn("k2", F.xxhash64(F.lit(1), "v", "label")), "packed")
+    plain = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>"))
+    packed = plain.mapInArrow(_pack, PACKED.format(label=dict(plain.dtypes)["label"]))
+    every = stored(packed.withColumn("k1", F.xxhash64("label", "v")).withColumn("k2", F.xxhash64(F.lit(1), "v", "label")), "packed")
+    packed = every.where("v is not null")
     groups = packed.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("width").alias("width"), F.first("v").alias("v"))
     groups = stored(groups.withColumn("id", F.col("k1")), "groups")
-    links = None
+    found = None
     for width, n in sorted((r["width"], r["n"]) for r in groups.groupBy("width").agg(F.count("*").alias("n")).collect()):
-        same = groups.where(F.col("width") == width)
-        found = _links(same, int(width), int(n), threshold)
-        links = found if links is None else links.unionByName(found)
-    if links is None:
-        links = spark.createDataFrame([], "a long, b long")
-    links = stored(links.distinct(), "links")
-    weight = links.join(groups.select(F.col("id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    labels = components(links)
+        more = _links(groups.where(F.col("width") == width), int(width), int(n), threshold)
+        found = more if found is None else found.unionByName(more)
+    if found is None:
+        found = spark.createDataFrame([], "a long, b long, n long")
+    found = stored(found, "links")
+    weight = found.groupBy("a").agg(F.sum("n").alias("others"))
+    labels = components(found.select("a", "b"))
     named = groups.join(weight, groups["id"] == weight["a"], "left").join(labels, groups["id"] == labels["node"], "left")
     named = stored(named.select("k1", "k2", "least", F.coalesce("component", "id").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     answer = named.join(least, "component").select("k1", "k2", "n_links", "component_id")
     linked = packed.select("vec_id", "k1", "k2").join(answer, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
-    return _with_rest(vectors, linked)
-
-
-def _pack(batches):
-    for batch in batches:
-        column = batch.column(2)
-        flat, offsets = column.flatten().to_numpy(zero_copy_only=False).astype("<f8"), column.offsets.to_numpy()
-        ends = offsets - offsets[0]
-        data = [flat[a:b].tobytes() for a, b in zip(ends, ends[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends), pa.int32()), pa.array(data, pa.binary())], ["vec_id", "label", "width", "v"])
-
-
-def _with_rest(vectors: DataFrame, linked: DataFrame) -> DataFrame:
-    """Rows that nothing can be linked with have no links and are their own component."""
-    size = F.col("embedding").cast("array<double>")
-    fine = F.col("label").isNotNull() & (F.size(size) > 0) & F.forall(size, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))) & F.exists(size, lambda x: x != 0)
-    rest = vectors.where(~F.coalesce(fine, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    every = linked.unionByName(rest)
-    return every.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    rest = every.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull())
+    return linked.unionByName(rest).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", kept.alias("kept"))
 
 
 def _links(groups: DataFrame, width: int, n: int, threshold: float) -> DataFrame:
-    """(a, b) both ways: points of one label with a cosine of at least ``threshold``."""
+    """(a, b, n): a point, one of its component, and copies it is linked with, as each block of points of one label has it."""
     spark = groups.sparkSession
     sample = groups.orderBy(F.xxhash64(F.lit(7), "id")).limit(SAMPLE).select("v").toPandas()["v"]
     centroids = spherical_kmeans(np.frombuffer(b"".join(map(bytes, sample)), "<f8").reshape(-1, width), max(1, math.ceil(n / CELL)))
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + MARGIN
     kind = dict(groups.dtypes)["label"]
-    placed = stored(groups.select("id", "label", "v").mapInArrow(_assign(width, centroids, reach), f"id long, label {kind}, cell int, resident boolean, v binary"), "cells")
+    placed = stored(groups.select("id", "label", "v", "copies").mapInArrow(_assign(width, centroids, reach), f"id long, label {kind}, cell int, resident boolean, v binary, copies long"), "cells")
     sizes = placed.groupBy("label", "cell").agg(F.count_if("resident").alias("residents"), F.count("*").alias("all"))
     blocks = sizes.select("label", "cell", F.ceil(F.col("residents") / BLOCK).cast("int").alias("bi"), F.ceil(F.col("all") / BLOCK).cast("int").alias("bj")).where("bi > 0")
     rows = placed.join(F.broadcast(blocks) if len(centroids) <= 1000 and blocks.limit(100_001).count() <= 100_000 else blocks, ["label", "cell"])
     at = lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
     as_any = F.transform(F.sequence(F.lit(0), F.col("bi") - 1), lambda i: F.struct(i.alias("i"), at(F.col("bj")).alias("j"), F.lit(False).alias("resident")))
     as_home = F.transform(F.sequence(F.lit(0), F.col("bj") - 1), lambda j: F.struct(at(F.col("bi")).alias("i"), j.alias("j"), F.lit(True).alias("resident")))
-    spread = rows.select("id", "label", "cell", "v", F.explode(F.when(F.col("resident"), F.concat(as_any, as_home)).otherwise(as_any)).alias("p")).select("id", "label", "cell", "v", "p.*")
-    return spread.groupBy("label", "cell", "i", "j").applyInArrow(_compare(width, threshold), "a long, b long")
+    spread = rows.select("id", "label", "cell", "v", "copies", F.explode(F.when(F.col("resident"), F.concat(as_any, as_home)).otherwise(as_any)).alias("p")).select("id", "label", "cell", "v", "copies", "p.*")
+    return spread.groupBy("label", "cell", "i", "j").applyInArrow(_compare(width, threshold), "a long, b long, n long")
