@@ -7,6 +7,7 @@ rule and the A-Z lower-casing, so the Python stages work on UTF-8 bytes and neve
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -21,7 +22,9 @@ SHINGLE_WORDS = 5
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: A worker keeps at most so many hashed words between batches.
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
+#: Rows and bytes that are handed to a Python worker at once, unless the session's own limits are lower.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 _word_hashes: dict[bytes, int] = {}
 
 
@@ -36,6 +39,9 @@ def ensure_importable(spark: SparkSession) -> None:
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    for name, value in ARROW_BATCH.items():  # long texts: bound what a worker holds at a time
+        if not 0 < int(re.sub(r"\D", "", spark.conf.get(name)) or 0) <= value:
+            spark.conf.set(name, str(value))
 
 
 def shared_dir(spark: SparkSession) -> str:
