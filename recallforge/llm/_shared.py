@@ -1,7 +1,7 @@
 """What the training-data operators have in common: shared tables, word rules, stable hashes.
 
-Words are maximal runs of bytes outside ``\\x20 \\x09-\\x0D``; ``bytes.split()`` and ``bytes.lower()`` are exactly that
-rule and the A-Z lower-casing, so the Python stages work on UTF-8 bytes and never decode what they only count.
+Words are maximal runs of bytes outside ``\\x20 \\x09-\\x0D``, and ``bytes.lower()`` lower-cases A-Z only, so the Python
+stages work on UTF-8 bytes and never decode what they only count.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +20,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 SHINGLE_WORDS = 5
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-#: A worker keeps at most so many hashed words between batches.
-_CACHE_WORDS = 150_000
+#: The base of word polynomials, odd so that it has an inverse, and how many bytes are hashed at a time.
+_BASE, _HASH_BLOCK = 0xD6E8FEB86659FD93, 1 << 19
 #: Rows and bytes that are handed to a Python worker at once, unless the session's own limits are lower.
 ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
-_word_hashes: dict[bytes, int] = {}
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[32, *range(9, 14)]] = True
+_powers: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64), np.empty(0, np.uint64))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,14 +92,48 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """xxh3 of each word, by way of a bounded cache that lives as long as the worker."""
-    cache = _word_hashes
-    if len(cache) > _CACHE_WORDS:
-        cache.clear()
-    new = [w for w in set(words) if w not in cache]
-    cache.update(zip(new, map(xxhash.xxh3_64_intdigest, new)))
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
+    global _powers
+    if len(_powers[0]) < n:
+        tables = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            with np.errstate(over="ignore"):
+                tables.append(np.multiply.accumulate(steps))
+        _powers = (tables[0], tables[1])
+    return _powers
+
+
+def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased words of all texts, one after the other, and how many each text has.
+
+    A word's hash is its polynomial modulo 2**64, read off running sums over the whole buffer, then finalised with its
+    length: no Python runs per word.
+    """
+    data = b"\n".join([t or b"" for t in texts]).lower()
+    chars = np.frombuffer(data, np.uint8)
+    space = _IS_SPACE[chars]
+    edges = np.diff(space.astype(np.int8), prepend=1, append=1)
+    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    lengths = np.array([len(t or b"") for t in texts], np.int64)
+    firsts = np.cumsum(lengths + 1) - (lengths + 1)
+    counts = np.diff(np.searchsorted(starts, np.append(firsts, len(chars) + 1)))
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # as many words at a time as lie within a block; at least one
+        base = starts[at]
+        upto = max(at + 1, int(np.searchsorted(ends, base + _HASH_BLOCK, "right")))
+        stop = ends[upto - 1]
+        powers, inverses = _power_tables(max(int(stop - base), 1 << 12))
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((chars[base:stop].astype(np.uint64) + np.uint64(1)) * powers[: stop - base])])
+            s, e = starts[at:upto] - base, ends[at:upto] - base
+            h = (sums[e] - sums[s]) * inverses[s]
+            out[at:upto] = mixed(h ^ ((e - s).astype(np.uint64) * _MULTIPLIER))
+        at = upto
+    return out, counts
 
 
 def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -114,9 +149,12 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
         return mixed(out)
 
 
-def shingle_set(text: bytes | None) -> np.ndarray:
-    """Sorted distinct 5-word shingles; fewer words: the whole sequence as one; no word or null: empty."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(ngram_hashes(word_hashes(words), min(SHINGLE_WORDS, len(words))))
+def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
+    """Per text its sorted distinct 5-word shingles; fewer words: the whole sequence as one; no word or null: empty."""
+    h, counts = hashed_words(texts)
+    out, at = [], 0
+    for n in counts.tolist():
+        own = h[at : at + n]
+        out.append(np.unique(ngram_hashes(own, min(SHINGLE_WORDS, n))) if n else own)
+        at += n
+    return out

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import _MULTIPLIER, ensure_importable, maybe_broadcast, mixed, shingle_set, stored
+from ._shared import _MULTIPLIER, ensure_importable, maybe_broadcast, mixed, shingle_sets, stored
 from .components import components
 
 BINS, BANDS, ROWS = 512, 48, 4
@@ -92,8 +92,7 @@ def _signatures(batches):
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             n, k1, k2, bands, sketch = [], [], [], [], []
-            for text in part.column(1).to_pylist():
-                s = shingle_set(text)
+            for s in shingle_sets(part.column(1).to_pylist()):
                 n.append(len(s))
                 with np.errstate(over="ignore"):
                     a, b = np.add.reduce(mixed(s)), np.add.reduce(mixed(s ^ salt))
@@ -146,7 +145,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "s"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in shingle_sets(part.column(1).to_pylist())], pa.list_(pa.int64()))], ["id", "s"])
 
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
