@@ -59,18 +59,19 @@ SECRET_NAMES = "password passwd pwd secret token api_key apikey access_key auth_
 _given = "|".join(n for names in GIVEN.values() for n in names)
 _titles = "|".join(t for titles in TITLES.values() for t in titles)
 _name = r"\p{Lu}[\p{L}'-]{1,30}"
-#: Patterns by type, in order of precedence; each begins with a cheap test of what stands before.
+#: Patterns by type, in order of precedence. Every entity begins at the start of a word, and what is cheap to test for
+#: is tested first: over prose the matcher stops at nearly every word after one or two characters per pattern.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}](?:[\p{L}\p{N}-]*\.)+\p{L}{2,24}",
-    "secret": r"(?<=\b(?:" + "|".join(SECRET_NAMES) + r")[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_./+-]{8,128}|(?<![\p{L}\p{N}])(?:" + "|".join(KEY_PREFIXES) + r")[A-Za-z0-9_-]{12,128}",
-    "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
-    "card": r"(?<![\p{L}\p{N}+])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}[ .-]?\d{3,4}(?!\d)|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\p{L}\p{N}.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{L}\p{N}-])",
-    "name": r"(?=\p{Lu})(?:(?<=\b(?:" + _titles + r")\.? )" + _name + r"|(?<=\b(?:" + _titles + r")\.? (?:" + _given + r") )" + _name + r"|(?:" + _given + r")(?= \p{Lu}\p{Ll})|(?<=(?:^|[^\p{L}])(?:" + _given + r") )" + _name + r")",
+    "email": r"(?<![._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}](?:[\p{L}\p{N}-]*\.)+\p{L}{2,24}",
+    "secret": r"(?<=[=:\"' ])(?<=[=:][\"' ]{0,4})(?<=\b(?:" + "|".join(SECRET_NAMES) + r")[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_./+-]{8,128}|(?:" + "|".join(KEY_PREFIXES) + r")[A-Za-z0-9_-]{12,128}",
+    "ip": r"(?=\d)(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "ssn": r"(?=\d)(?<!-)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
+    "card": r"(?=\d)(?<!\+)\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
+    "phone": r"(?=[+(\d])(?<!\+)(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{L}\p{N}-]))",
+    "name": r"(?=\p{Lu})(?:(?<= )(?<=\b(?:" + _titles + r")\.? )" + _name + r"|(?<= )(?<=\b(?:" + _titles + r")\.? (?:" + _given + r") )" + _name + r"|(?:" + _given + r")(?= \p{Lu}\p{Ll})|(?<= )(?<=(?:^|[^\p{L}])(?:" + _given + r") )" + _name + r")",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+PATTERN = r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}+(])(?:" + "|".join(PATTERNS.values()) + ")"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -241,7 +242,7 @@ def replace_personal_data(docs: DataFrame, key: str = "change-this-key", text: s
     work = work.withColumn("_m", entities(t))
     new = F.transform("_m", lambda m: surrogate(key, m, attempt(m)))
     whole = F.array_join(F.flatten(F.zip_with(F.split(t, PATTERN, -1), new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    changed = {text: F.when(F.size("_m") > 0, whole).otherwise(t), "n_entities": F.size("_m").cast("long")}
+    work = work.withColumns({text: F.when(F.size("_m") > 0, whole).otherwise(t), "n_entities": F.size("_m").cast("long")})
     if "n_chars" in names:
-        changed["n_chars"] = F.length(changed[text]).cast(docs.schema["n_chars"].dataType)
-    return work.withColumns(changed).select(*names, *(["n_entities"] if "n_entities" not in names else []))
+        work = work.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return work.select(*names, *(["n_entities"] if "n_entities" not in names else []))
