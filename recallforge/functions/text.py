@@ -75,8 +75,8 @@ def distinct_sentences(found: Column) -> Column:
     """First occurrence by key, in order; an empty key drops the sentence. One pass over a set of keys held as a map."""
     keyed = F.transform(found, lambda s, i: F.struct(dedup_key(s).alias("k"), i.alias("i"), s.alias("s")))
     some = F.filter(keyed, lambda x: x["k"] != "")
-    ordered = F.array_sort(some)  # by key, then place: the first of each run is the first occurrence
-    firsts = F.filter(ordered, lambda x, j: (j == 0) | (F.get(ordered, j - 1)["k"] != x["k"]))
+    # Sorted by key, then place: the first of each run is the first occurrence.
+    firsts = let(F.array_sort(some), lambda o: F.filter(o, lambda x, j: (j == 0) | (F.get(o, j - 1)["k"] != x["k"])))
     return F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))), lambda x: x["s"])
 
 
