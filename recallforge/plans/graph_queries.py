@@ -142,14 +142,21 @@ def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.bfs(_both(spark, sf_dir), "c1").select("id", "hops")
 
 
+_GOAL = "(SELECT 's' || min(s_suppkey) FROM supplier JOIN nation n ON n.n_nationkey = s_nationkey WHERE n.n_regionkey = (SELECT n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 1))"
+
+
 @query(f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {_BOTH}),
 b(id, hops) AS (SELECT 'c1', CAST(0 AS BIGINT) UNION SELECT e.dst, b.hops + 1 FROM b JOIN e ON e.src = b.id WHERE b.hops < 6),
 l AS (SELECT id, min(hops) AS hops FROM b GROUP BY id),
-w(id, hops) AS (SELECT id, hops FROM l WHERE id = 's1' UNION SELECT (SELECT min(e.src) FROM e JOIN l ON l.id = e.src WHERE e.dst = w.id AND l.hops = w.hops - 1), w.hops - 1 FROM w WHERE w.hops > 0)
+w(id, hops) AS (SELECT id, hops FROM l WHERE id = {_GOAL} UNION SELECT (SELECT min(e.src) FROM e JOIN l ON l.id = e.src WHERE e.dst = w.id AND l.hops = w.hops - 1), w.hops - 1 FROM w WHERE w.hops > 0)
 SELECT hops AS step, id FROM w""")
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From the first customer to the first supplier."""
-    return graph.shortest_path(nodes(spark, sf_dir), _both(spark, sf_dir), "c1", "s1")
+    """From customer 1 to the first supplier of its region."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    region = table(spark, sf_dir, "customer").where("c_custkey = 1").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("n_regionkey")
+    near = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(region), "n_regionkey", "left_semi")
+    goal = near.agg(F.min("s_suppkey")).first()[0]
+    return graph.shortest_path(nodes(spark, sf_dir), _both(spark, sf_dir), "c1", f"s{goal}")
 
 
 _NAMES = "(SELECT DISTINCT p_name AS name FROM part)"
