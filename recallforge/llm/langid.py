@@ -69,7 +69,7 @@ class Model:
             kept = sorted(sums, key=lambda g: (-sums[g].sum(), g))[: most_grams // LONGEST]
             self.grams.update({g: len(rows) + j for j, g in enumerate(kept)})
             rows += list(self._logs(np.array([sums[g] for g in kept])) if kept else [])
-        self.gram_scores = np.array(rows).reshape(-1, k)
+        self.gram_scores = np.array(rows).reshape(len(rows), k)
 
     @staticmethod
     def _logs(table: np.ndarray) -> np.ndarray:
