@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: One white-space character, by Unicode; the same pattern holds in Java and RE2.
 SPACE = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACES = " \t\n\x0b\f\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Words for windows end at ASCII white space without the vertical tab.
 WINDOW_WORD = r"[^ \t\n\f\r]+"
 WINDOW_WORDS, OVERLAP_WORDS = 80, 20
@@ -23,7 +24,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def trim_all(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def one_line(text: Column) -> Column:
@@ -103,7 +104,7 @@ def windows(text: Column, words: int = WINDOW_WORDS, overlap: int = OVERLAP_WORD
 
         def with_lengths(sizes: Column) -> Column:
             def window(i: Column) -> Column:
-                body = F.regexp_replace(F.regexp_replace(joined(i, F.lit(words)), r"^[ \t\n\f\r]+", ""), f"{SPACE}+$", "")
+                body = F.rtrim(F.ltrim(joined(i, F.lit(words)), F.lit(" \t\n\f\r")), F.lit(SPACES))
                 start = F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x) + lead(i)
                 return let(body, lambda b: F.struct(start.cast("long").alias("offset"), (start + F.octet_length(b)).cast("long").alias("end_offset"), b.alias("text")))
 
