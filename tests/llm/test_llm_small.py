@@ -321,9 +321,9 @@ def test_top_k(spark):
 # --- 6
 
 
-@pytest.mark.parametrize("broadcast_words", [1_000_000, 0])
-def test_language_model(spark, docs, broadcast_words):
-    rows = bloom_lm.score_documents(docs, broadcast_words).collect()
+@pytest.mark.parametrize("frequent_words", [1_000_000, 30, 0])
+def test_language_model(spark, docs, frequent_words):
+    rows = bloom_lm.score_documents(docs, frequent_words).collect()
     counts = Counter()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     for r in docs.collect():
