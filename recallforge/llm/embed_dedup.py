@@ -28,7 +28,9 @@ from ._shared import ensure_importable, stored
 from .components import components
 
 #: Points in a cell on average, points compared at a time, and rows of the sample that centroids are fitted on.
-CELL, BLOCK, SAMPLE = 4096, 1024, 20_000
+CELL, BLOCK, SAMPLE = 16_384, 2048, 20_000
+#: Rows of a block that are multiplied at a time.
+STRIP = 512
 #: What rounding may take from a distance bound.
 MARGIN = 1e-6
 
@@ -99,15 +101,16 @@ def _compare(width: int, least: float):
         resident = table.column("resident").to_numpy(zero_copy_only=False)
         ids, x, copies = table.column("id").to_numpy(), _matrix(table.column("v"), width), table.column("copies").to_numpy()
         rows, others = np.flatnonzero(~resident), np.flatnonzero(resident)
-        links = (x[rows] @ x[others].T >= least) & (ids[rows][:, None] != ids[others][None])
+        strips = [rows[i : i + STRIP] for i in range(0, len(rows), STRIP)]
+        links = np.concatenate([(x[r] @ x[others].T >= least) & (ids[r][:, None] != ids[others][None]) for r in strips] or [np.zeros((0, len(others)), bool)])
         keep, kept = links.any(axis=1), links.any(axis=0)
         links, rows, others = links[np.ix_(keep, kept)], rows[keep], others[kept]
         if not len(rows):
             return pa.table({n: pa.array([], pa.int64()) for n in ("a", "b", "n")})
-        label = np.arange(len(rows))
+        label = np.arange(len(rows), dtype=np.int32)
         while True:  # the smallest row number spreads along links
-            of_others = np.where(links, label[:, None], len(rows)).min(axis=0)
-            new = np.minimum(label, np.where(links, of_others[None], len(rows)).min(axis=1))
+            of_others = np.where(links, label[:, None], np.int32(len(rows))).min(axis=0)
+            new = np.minimum(label, np.where(links, of_others[None], np.int32(len(rows))).min(axis=1))
             if (new == label).all():
                 break
             label = new
