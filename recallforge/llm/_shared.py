@@ -6,12 +6,17 @@ stages work on UTF-8 bytes and never decode what they only count.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import os
 import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +73,20 @@ def few(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def frugal(stage):
+    """``stage`` for mapInArrow, such that a reused worker gives back at its end what its allocators keep for later."""
+
+    @functools.wraps(stage)
+    def run(batches):
+        yield from stage(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def maybe_broadcast(df: DataFrame, most: int) -> DataFrame:
     """``df``, marked for a broadcast only when a count has shown that it has at most ``most`` rows."""
     return F.broadcast(df) if few(df, most) else df

@@ -46,8 +46,9 @@ class Encoder:
     def _learn(self, parts: list[str]) -> None:
         """Parts follow one another in a text, which is cut again where a token begins with the space."""
         cache = self.parts
-        cache.update((p, None) for p in parts if not p or p[0].isspace() or p[-1].isspace())
-        good = [p for p in parts if p not in cache]
+        bad = [p for p in parts if not p or not (" " < p[0] < "\x7f" and " " < p[-1] < "\x7f") and (p[0].isspace() or p[-1].isspace())]
+        cache.update(dict.fromkeys(bad))
+        good = [p for p in parts if p not in cache] if bad else parts
         runs = [good[i : i + _RUN] for i in range(0, len(good), _RUN)]
         for run, ids in zip(runs, self._ids(["".join([" " + p for p in run]) for run in runs])):
             data = ids.tobytes()
@@ -65,8 +66,7 @@ class Encoder:
         new: set[str] = set()
         for parts in split:
             new.update(parts[1:])
-        new.difference_update(cache.keys())
-        self._learn(sorted(new))
+        self._learn([p for p in new if p not in cache])
         firsts = self._ids([parts[0] for parts in split])
         out = []
         for text, parts, first in zip(texts, split, firsts):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ensure_importable, stored
+from ._shared import ensure_importable, frugal, stored
 from .components import components
 
 #: Points in a cell on average, points compared at a time, and rows of the sample that centroids are fitted on.
@@ -127,7 +127,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataF
     spark = vectors.sparkSession
     ensure_importable(spark)
     plain = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>"))
-    packed = plain.mapInArrow(_pack, PACKED.format(label=dict(plain.dtypes)["label"]))
+    packed = plain.mapInArrow(frugal(_pack), PACKED.format(label=dict(plain.dtypes)["label"]))
     every = stored(packed.withColumn("k1", F.xxhash64("label", "v")).withColumn("k2", F.xxhash64(F.lit(1), "v", "label")), "packed")
     packed = every.where("v is not null")
     groups = packed.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("width").alias("width"), F.first("v").alias("v"))
@@ -158,7 +158,7 @@ def _links(groups: DataFrame, width: int, n: int, threshold: float) -> DataFrame
     centroids = spherical_kmeans(np.frombuffer(b"".join(map(bytes, sample)), "<f8").reshape(-1, width), max(1, math.ceil(n / CELL)))
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + MARGIN
     kind = dict(groups.dtypes)["label"]
-    placed = stored(groups.select("id", "label", "v", "copies").mapInArrow(_assign(width, centroids, reach), f"id long, label {kind}, cell int, resident boolean, v binary, copies long"), "cells")
+    placed = stored(groups.select("id", "label", "v", "copies").mapInArrow(frugal(_assign(width, centroids, reach)), f"id long, label {kind}, cell int, resident boolean, v binary, copies long"), "cells")
     sizes = placed.groupBy("label", "cell").agg(F.count_if("resident").alias("residents"), F.count("*").alias("all"))
     blocks = sizes.select("label", "cell", F.ceil(F.col("residents") / BLOCK).cast("int").alias("bi"), F.ceil(F.col("all") / BLOCK).cast("int").alias("bj")).where("bi > 0")
     rows = placed.join(F.broadcast(blocks) if len(centroids) <= 1000 and blocks.limit(100_001).count() <= 100_000 else blocks, ["label", "cell"])

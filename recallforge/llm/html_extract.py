@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._shared import ensure_importable
+from ._shared import ensure_importable, frugal
 from .html_blocks import LABELLED
 
 # What HTML calls these elements.
@@ -206,4 +206,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)["page_id"]
-    return pages.select("page_id", "url", "html").mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(frugal(extract), f"page_id {kind}, url string, text string, n_chars long")

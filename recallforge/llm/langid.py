@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ensure_importable, id_bucket
+from ._shared import ensure_importable, frugal, id_bucket
 
 UNDETERMINED = "und"
 LONGEST = 5
@@ -133,7 +133,7 @@ def learn(labelled: DataFrame, sample_docs: int = 20_000, most_words: int = 60_0
             langs, words = zip(*held) if held else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(list(held.values()), pa.int64())], ["lang", "word", "c"])
 
-    each = sample.mapInArrow(count, "lang string, word string, c long").groupBy("word", "lang").agg(F.sum("c").alias("c"))
+    each = sample.mapInArrow(frugal(count), "lang string, word string, c long").groupBy("word", "lang").agg(F.sum("c").alias("c"))
     by_word = each.groupBy("word").agg(F.sum("c").alias("c"), F.collect_list(F.struct("lang", "c")).alias("by"))
     top = by_word.where("c > 1 or length(word) < 3").orderBy(F.desc("c"), "word").limit(most_words)
     return Model({r["word"]: {x["lang"]: x["c"] for x in r["by"]} for r in top.collect()}, most_grams)
@@ -155,7 +155,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*keep, "lang_pred", "score"])
 
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(score, schema)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(frugal(score), schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

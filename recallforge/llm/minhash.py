@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import _MULTIPLIER, ensure_importable, maybe_broadcast, mixed, shingle_sets, stored
+from ._shared import _MULTIPLIER, ensure_importable, frugal, maybe_broadcast, mixed, shingle_sets, stored
 from .components import components
 
 BINS, BANDS, ROWS = 512, 48, 4
@@ -114,7 +114,7 @@ def _signatures(batches):
 def signatures(docs: DataFrame) -> DataFrame:
     """SIGNATURES of ``docs`` (doc_id, text); n_shingles 0 has neither bands nor sketch."""
     ensure_importable(docs.sparkSession)
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_signatures, SIGNATURES)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(frugal(_signatures), SIGNATURES)
 
 
 def _sizes_allow(a: Column, b: Column) -> Column:
@@ -149,7 +149,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
-    found = stored(texts.join(maybe_broadcast(ids, BROADCAST_IDS), "id", "left_semi").mapInArrow(sets, "id long, s array<long>"), "sets")
+    found = stored(texts.join(maybe_broadcast(ids, BROADCAST_IDS), "id", "left_semi").mapInArrow(frugal(sets), "id long, s array<long>"), "sets")
     both = pairs.join(found.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(found.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return both.where(F.col("common") * 100 >= (F.size("sa") + F.size("sb") - F.col("common")) * SIMILARITY).select("a", "b").distinct()
@@ -167,7 +167,7 @@ def _similar(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     known = sketches.join(maybe_broadcast(ids, BROADCAST_IDS), "id", "left_semi")
     a, b = (known.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b").where(_sizes_allow(F.col("na"), F.col("nb")))
-    return both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(frugal(test), "a long, b long")
 
 
 def star_edges(members: DataFrame) -> DataFrame:

@@ -20,21 +20,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import ensure_importable, stored
+from ._shared import ensure_importable, frugal, stored
 from ._tokens import Encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Texts are encoded in portions of so many, so that a worker's memory does not follow Spark's batches.
-PORTION = 256
-
-
-def portions(batches: Iterator[pa.RecordBatch], rows: int = PORTION) -> Iterator[pa.RecordBatch]:
+#: Texts are encoded in portions of at most so many rows and about so many bytes, so that a worker's memory does not
+#: follow Spark's batches or a few long texts.
+PORTION_ROWS, PORTION_BYTES = 1000, 4 << 20
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batches`` whose second column is text."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION_BYTES))
+            upto = min(at + PORTION_ROWS, max(at + 1, full), batch.num_rows)
+            yield batch.slice(at, upto - at)
+            at = upto
 
 
 def cut_documents(docs: DataFrame, vocabulary: str, seq_len: int, end_id: int) -> DataFrame:
@@ -54,7 +60,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, seq_len: int, end_id: int) -
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], PIECES.replace(" long", "").split(", "))
 
     ensure_importable(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(frugal(cut), PIECES)
 
 
 def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import ensure_importable, shared_dir, stored
+from ._shared import ensure_importable, frugal, shared_dir, stored
 from ._tokens import Encoder
 from .packing import portions
 
@@ -106,7 +106,7 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0
         store.move(attempt, path)
         yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"part-{shard:06d}.rec", "records": len(index), "ids": ids}], schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("records", pa.int64()), ("ids", pa.int64())]))
 
-    return stored(ordered.mapInArrow(write, SHARDS), "shards")
+    return stored(ordered.mapInArrow(frugal(write), SHARDS), "shards")
 
 
 def read_records(shards: DataFrame, folder: str) -> DataFrame:
@@ -135,7 +135,7 @@ def read_records(shards: DataFrame, folder: str) -> DataFrame:
                             base += len(ids)
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], RECORDS.replace(" long", "").split(", "))
 
-    return placed.select("path", "base").repartition(max(1, shards.sparkSession.sparkContext.defaultParallelism * 4), "path").mapInArrow(read, RECORDS)
+    return placed.select("path", "base").repartition(max(1, shards.sparkSession.sparkContext.defaultParallelism * 4), "path").mapInArrow(frugal(read), RECORDS)
 
 
 def encode_round_trip(docs: DataFrame, vocabulary: str, end_id: int = 0, shard_bytes: int = 64 << 20) -> DataFrame:
