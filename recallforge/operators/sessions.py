@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import slugify, trim_all
+
 QUIET_SECONDS = 600
 
 
@@ -87,6 +89,33 @@ def ingest_reason(session_id: Column, cwd: Column, turn_count: Column) -> Column
     return F.format_string("Session %s in %s (%d text turns): judge which durable facts are worth keeping", F.coalesce(session_id, unknown), F.coalesce(cwd, unknown), turn_count)
 
 
+def ingest(turns: DataFrame, meta: DataFrame, checkpoints: DataFrame, config: DataFrame, trigger: str = "manual", archive_after: bool = False, since_checkpoint: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One pass over sessions: (outcomes, checkpoints after it).
+
+    ``turns`` (session_id, line_no, text), ``meta`` (session_id, cwd), ``config`` (session_id, pre_compact, session_end,
+    min_turns, min_bytes). Outcomes: (session_id, outcome, job_id, reason, content); job_id is null unless staged.
+    Sessions with nothing new since their checkpoint are ``nothing_new``, with nothing at all ``empty``.
+    """
+    check_modes(archive_after, since_checkpoint)
+    known = checkpoints if since_checkpoint else checkpoints.limit(0)
+    found = digests(turns, known).withColumn("blank", trim_all(F.col("content")) == "")
+    rows = turns.select("session_id").distinct().join(found, "session_id", "left").join(meta, "session_id", "left").join(config, "session_id", "left")
+    gate = hook_enabled(F.lit(trigger), F.coalesce("pre_compact", F.lit(True)), F.coalesce("session_end", F.lit(True)))
+    what = F.when(F.coalesce("blank", F.lit(True)), "nothing_new" if since_checkpoint else "empty").otherwise(
+        outcome(gate, F.col("turn_count"), F.octet_length("content"), F.coalesce("min_turns", F.lit(1)), F.coalesce("min_bytes", F.lit(0)))
+    )
+    staged = F.col("outcome") == "staged"
+    rows = rows.withColumn("outcome", what)
+    outcomes = rows.select(
+        "session_id", "outcome", F.when(staged, slugify(F.col("content"))).alias("job_id"),
+        F.when(staged, ingest_reason(F.col("session_id").cast("string"), F.col("cwd"), F.col("turn_count"))).alias("reason"), F.when(staged, F.col("content")).alias("content"),
+    )
+    done = rows.where(staged)
+    if since_checkpoint:
+        return outcomes, stage_checkpoint(checkpoints, done)
+    return outcomes, archive_checkpoint(checkpoints, done) if archive_after else checkpoints
+
+
 def check_modes(archive_after: bool, since_checkpoint: bool) -> None:
     if archive_after and since_checkpoint:
         raise ValueError("archive_after and since_checkpoint cannot be combined")

@@ -188,3 +188,36 @@ def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = c.where("now is not null").select("rel", hashing.content_hash(F.col("now")).alias("hash"))
     then = c.where("known and then is not null").select("rel", hashing.content_hash(F.col("then")).alias("hash"))
     return graph.manifest_diff(now, then)
+
+
+_SOURCE = "(SELECT 'src/s' || s_suppkey || '.py' AS rel, s_suppkey AS k, s_nationkey AS n FROM supplier)"
+
+
+def _source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python file per supplier: a class of its nation with one method, and a function; both call its nation's function."""
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    content = F.concat(F.lit("class N"), n, F.lit("(Base):\n    def m(self):\n        f"), n, F.lit("()\n\n\ndef f"), k, F.lit("():\n    return f"), n, F.lit("() + 1\n"))
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("src/s"), k, F.lit(".py")).alias("rel"), content.alias("content"))
+
+
+@query(f"""WITH s AS {_SOURCE} SELECT rel AS src, rel || '::N' || n AS dst, 'Contains' AS kind FROM s UNION ALL SELECT rel, rel || '::N' || n || '::m', 'Contains' FROM s
+UNION ALL SELECT rel, rel || '::f' || k, 'Contains' FROM s
+UNION ALL SELECT s.rel || '::N' || s.n || '::m', t.rel || '::f' || t.k, 'Calls' FROM s JOIN s t ON t.k = s.n UNION ALL SELECT s.rel || '::f' || s.k, t.rel || '::f' || t.k, 'Calls' FROM s JOIN s t ON t.k = s.n""")
+def graph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import extract
+
+    return extract.build(_source_files(spark, sf_dir))[1]
+
+
+@query(f"""WITH s AS {_SOURCE}, i AS (SELECT rel, n, 'N' || n AS name FROM s)
+SELECT rel AS id, 'File' AS kind, split_part(rel, '/', 2) AS name FROM s UNION ALL SELECT rel || '::' || name, 'Struct', name FROM i UNION ALL SELECT rel || '::' || name || '::m', 'Function', 'm' FROM i
+UNION ALL SELECT rel || '::f' || k, 'Function', 'f' || k FROM s""")
+def graph_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Built from the files of suppliers in debt with another function's name, then brought up to date."""
+    from ..operators import extract
+
+    now = _source_files(spark, sf_dir)
+    debt = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("src/s"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("rel"))
+    before = now.join(debt, "rel", "left_semi").withColumn("content", F.replace("content", F.lit("def f"), F.lit("def g")))
+    n, e = extract.build(before)
+    return extract.update(n, e, extract.manifest(before), now)[0].select("id", "kind", "name")

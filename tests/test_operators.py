@@ -216,3 +216,61 @@ def test_bank_precedence(spark):
 def test_gc_due(spark):
     marks = spark.createDataFrame([(t,) for t in (0, 100, 3600, 3700, 9000)], "ts long")
     assert rows(blobs.gc_due(marks)) == [(0,), (3600,), (9000,)]
+
+
+def test_embedding_cache(spark):
+    import numpy as np
+
+    from recallforge.operators import embedders
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def make():
+        def model(texts):
+            calls.add(len(texts))
+            return np.array([[len(t), 1.0] for t in texts])
+
+        return model
+
+    embed = embedders.batched(make, 2)
+    frame = lambda x: spark.createDataFrame(x, "id long, content string")
+    empty = spark.createDataFrame([], embedders.CACHE)
+    first = embedders.refresh_cache(frame([(1, "one"), (2, "two words"), (3, "")]), empty, embed).cache()
+    assert sorted((r["id"], r["vector"]) for r in first.collect()) == [(1, [3.0, 1.0]), (2, [9.0, 1.0])]
+    before = calls.value
+    second = embedders.refresh_cache(frame([(1, "one"), (2, "changed")]), first, embed)
+    assert sorted((r["id"], r["vector"]) for r in second.collect()) == [(1, [3.0, 1.0]), (2, [7.0, 1.0])]
+    assert calls.value - before <= 2  # only what changed
+    assert np.allclose(embedders.mean_pool(np.array([[[3.0, 0], [9, 9]], [[1, 1], [1, 1]]]), np.array([[1, 0], [0, 0]])), [[1, 0], [0, 0]])
+    known = first.select("content_hash", "vector")
+    texts = spark.createDataFrame([(7, "one"), (8, "unknown")], "id long, text string")
+    assert [r["id"] for r in embedders.precomputed(known)(texts, ["id"]).collect()] == [7]
+
+
+def test_ingest_sessions(spark):
+    turns = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "  "), (3, 0, "c")], "session_id long, line_no long, text string")
+    meta = spark.createDataFrame([(1, "/w")], "session_id long, cwd string")
+    config = spark.createDataFrame([(3, True, True, 2, 0)], "session_id long, pre_compact boolean, session_end boolean, min_turns long, min_bytes long")
+    none = spark.createDataFrame([], "session_id long, archived boolean, last_staged_line long")
+    outcomes, after = sessions.ingest(turns, meta, none, config, since_checkpoint=True)
+    assert rows(outcomes.select("session_id", "outcome")) == [(1, "staged"), (2, "nothing_new"), (3, "below_threshold")]
+    assert rows(after) == [(1, False, 1)]
+    again, _ = sessions.ingest(turns, meta, after, config, since_checkpoint=True)
+    assert rows(again.select("session_id", "outcome"))[0] == (1, "nothing_new")
+    _, archived = sessions.ingest(turns, meta, none, config, archive_after=True)
+    assert rows(archived) == [(1, True, 0)]
+
+
+def test_state_round_trip(spark, tmp_path):
+    from recallforge.sources import state
+
+    root = f"file://{tmp_path}"
+    assert state.load(spark, root, "manifest").count() == 0
+    n, e = tables(spark)
+    state.save_graph(n, e.unionByName(spark.createDataFrame([("a", "gone", "Uses")], e.schema)), root)
+    state.save_graph(n, e.unionByName(spark.createDataFrame([("a", "gone", "Uses")], e.schema)), root)
+    nodes, edges = state.load_graph(spark, root)
+    assert nodes.count() == 5 and edges.count() == 5
+    (tmp_path / "cache").mkdir()
+    (tmp_path / "cache" / "x.parquet").write_text("spoilt")
+    assert state.load(spark, root, "cache").count() == 0
