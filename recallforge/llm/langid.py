@@ -32,7 +32,7 @@ LONGEST = 5
 SMOOTHING = 0.5
 _LETTER = re.compile(r"[^\W\d_]")
 _WORDS = re.compile(r"[^\W\d_]+")
-_CACHE_TOKENS = 250_000
+_CACHE_TOKENS = 120_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -111,8 +111,7 @@ class Scorer(dict):
         at = list(map(self.__getitem__, text.lower().split()))
         sums = self.table[at].sum(axis=0)
         if not sums.any():
-            best = int(self.model.total.argmax())
-            return languages[best], float(self.model.total[best] / self.model.total.sum())
+            return languages[int(self.model.total.argmax())], 1 / len(languages)
         best = int(sums.argmax())
         return languages[best], float(1 / np.exp(sums - sums[best]).sum())
 
