@@ -7,9 +7,12 @@ each distinct part is encoded once per worker. Any other text is encoded whole.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 
-_CACHE_PARTS = 600_000
+#: Distinct parts that are kept while a task runs, and between tasks.
+_CACHE_PARTS, _KEPT_PARTS = 400_000, 20_000
 #: So many distinct parts are encoded as one text.
 _RUN = 512
 
@@ -58,6 +61,11 @@ class Encoder:
             else:
                 cache.update(zip(run, [x.tobytes() for x in self._ids([" " + p for p in run])]))
 
+    def forget(self) -> None:
+        """Between tasks only the parts that were learned first, frequent ones by nature, stay in memory."""
+        if len(self.parts) > _KEPT_PARTS:
+            self.parts = dict(islice(self.parts.items(), _KEPT_PARTS))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cache = self.parts
         if len(cache) > _CACHE_PARTS:

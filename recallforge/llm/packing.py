@@ -58,6 +58,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, seq_len: int, end_id: int) -
                     piece = data[start * 4 : (start + seq_len) * 4]
                     rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), total))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], PIECES.replace(" long", "").split(", "))
+        encoder.forget()
 
     ensure_importable(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(frugal(cut), PIECES)

@@ -97,6 +97,7 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0
                 ids += len(tokens)
                 chunk.append(record)
             out.write(b"".join(chunk))
+        encoder.forget()
         if out is None:
             return
         out.close()
