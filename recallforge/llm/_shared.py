@@ -28,7 +28,7 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: The base of word polynomials, odd so that it has an inverse, and how many bytes are hashed at a time.
 _BASE, _HASH_BLOCK = 0xD6E8FEB86659FD93, 1 << 19
 #: Rows and bytes that are handed to a Python worker at once, unless the session's own limits are lower.
-ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, *range(9, 14)]] = True
 _powers: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64), np.empty(0, np.uint64))
