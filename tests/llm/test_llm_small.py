@@ -340,6 +340,11 @@ def test_language_model(spark, docs, frequent_words):
         assert r["score"] < 0
 
 
+def test_frequent_words_are_cut_at_a_level(spark):
+    words_ = spark.createDataFrame([(i, c, lv) for i, (c, lv) in enumerate([(900, 20), (400, 17), (399, 17), (3, 4), (2, 3), (1, 1)])], "h long, c long, level int")
+    assert [len(bloom_lm.Counts(words_, most).h) for most in (0, 1, 2, 3, 5, 6)] == [0, 1, 1, 3, 5, 6]
+
+
 def test_language_model_on_nothing(spark, empty):
     assert bloom_lm.score_documents(empty).count() == 0
     one = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
