@@ -18,11 +18,12 @@ _RUN = 512
 
 
 class Encoder:
-    """ids of texts as little-endian unsigned 32-bit bytes; the vocabulary file is a parameter, never copied."""
+    """ids of texts as bytes, little-endian and unsigned, of 4 or of 2 bytes an id; the vocabulary file is a parameter,
+    never copied."""
 
-    _made: dict[str, "Encoder"] = {}
+    _made: dict[tuple[str, int], "Encoder"] = {}
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, width: int) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -37,14 +38,17 @@ class Encoder:
         #: By what follows a space: the ids of the space and this; None if white space stands beside the space.
         self.parts: dict[str, bytes | None] = {}
 
+        self.width = width if len(self.led) <= 1 << (8 * width) else 4
+
     @classmethod
-    def of(cls, path: str) -> "Encoder":
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, width: int = 4) -> "Encoder":
+        """The worker's encoder with ids of ``width`` bytes, or of 4 if the vocabulary needs them."""
+        if (path, width) not in cls._made:
+            cls._made[path, width] = cls(path, width)
+        return cls._made[path, width]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(x.ids, f"<u{self.width}") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, parts: list[str]) -> None:
         """Parts follow one another in a text, which is cut again where a token begins with the space."""
@@ -55,7 +59,7 @@ class Encoder:
         runs = [good[i : i + _RUN] for i in range(0, len(good), _RUN)]
         for run, ids in zip(runs, self._ids(["".join([" " + p for p in run]) for run in runs])):
             data = ids.tobytes()
-            at = [*(np.flatnonzero(self.led[ids]) * 4).tolist(), len(data)]
+            at = [*(np.flatnonzero(self.led[ids]) * self.width).tolist(), len(data)]
             if len(at) == len(run) + 1:
                 cache.update(zip(run, [data[a:b] for a, b in zip(at, at[1:])]))
             else:

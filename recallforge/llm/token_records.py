@@ -75,8 +75,9 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0
     def write(batches):
         from pyspark import TaskContext
 
-        encoder = Encoder.of(vocabulary)
-        width = 2 if len(encoder.led) <= 1 << 16 else 4
+        encoder = Encoder.of(vocabulary, 2)
+        width = encoder.width
+        end = end_id.to_bytes(width, "little")
         shard = TaskContext.get().partitionId()
         store, root = filesystem(folder)
         store.create_dir(root, recursive=True)
@@ -90,11 +91,10 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0
                 out.write(head)
             chunk = []
             for doc_id, data in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                tokens = np.append(np.frombuffer(data, "<u4"), np.uint32(end_id))
-                record = frame(struct.pack("<?q", doc_id is not None, doc_id or 0) + tokens.astype(f"<u{width}").tobytes())
+                record = frame(struct.pack("<?q", doc_id is not None, doc_id or 0) + data + end)
                 index.append((at, len(record)))
                 at += len(record)
-                ids += len(tokens)
+                ids += len(data) // width + 1
                 chunk.append(record)
             out.write(b"".join(chunk))
         encoder.forget()
