@@ -6,8 +6,10 @@ level 1, 2, ... until a probe fails, and so gets the level back, or with a small
 once are not held (smallest = 2); nothing else is left out.
 
 The filter is blocked: all bits of an n-gram lie in one segment of a fixed size, so segments are built by separate tasks
-of equal size, and only finished segments go to the driver and from there to all workers. Segments grow in number with
-what is to be held, up to MOST_SEGMENTS; beyond that the error rate grows instead (see the README).
+of equal size. Segments grow in number with what is to be held, so the error rate is the same at every size. Up to
+MOST_SEGMENTS of them go to the driver and from there to all workers. More are not collected: texts are dealt to portions
+by their hash, each portion's n-grams are sent to their segments, which are built and probed in one task each, and the
+levels go back to the portions. Both ways give the same scores.
 
 A word's probability mixes the pair's relative frequency with the word's own. How much weight the pair gets depends on
 the history alone: much if the last pair was far more likely than its words apart, as in a passage that the training
@@ -36,12 +38,15 @@ from ._shared import _MULTIPLIER, ensure_importable, frugal, hashed_words, id_bu
 BASE = 1.4
 #: Smallest counts held, by order.
 SMALLEST = {1: 1, 2: 2}
+#: So many segments are sent to all workers; n-grams are sent to more.
 SEGMENT_BITS, MOST_SEGMENTS = 1 << 23, 128
 BITS_PER_ENTRY, PROBES = 12, 6
 #: Weight of the pair after an unremarkable and after a far likelier pair, and how much likelier that is.
 LITTLE, MUCH, FAR = 0.05, 0.8, 100.0
 #: A quarter of the tokens that are counted at a time.
 PORTION = 500_000
+#: Bytes of distinct texts that are scored at a time where n-grams are sent to segments.
+PORTION_BYTES = 4 << 20
 FREQUENT_WORDS = 1_000_000
 
 END, START = (np.uint64(x) for x in mixed(np.array([1, 2], np.uint64)))  # fixed 64-bit values, as likely a word's as any
@@ -149,11 +154,14 @@ def keyed(order: int, h: np.ndarray) -> np.ndarray:
         return mixed(h + np.uint64(order) * _MULTIPLIER)
 
 
-def build_filter(counts: DataFrame) -> LogFrequencyBloom:
-    """The filter that holds ``counts`` (order, h, c)."""
-    counts = counts.withColumn("level", level_column())
-    entries = counts.agg(F.sum("level")).first()[0] or 0
-    segments = min(MOST_SEGMENTS, max(1, math.ceil(entries * BITS_PER_ENTRY / SEGMENT_BITS)))
+def segments_for(counts: DataFrame) -> int:
+    """How many segments hold ``counts`` (order, h, c) at BITS_PER_ENTRY; one entry for each level of an n-gram."""
+    entries = counts.agg(F.sum(level_column())).first()[0] or 0
+    return max(1, math.ceil(entries * BITS_PER_ENTRY / SEGMENT_BITS))
+
+
+def placed(counts: DataFrame, segments: int) -> DataFrame:
+    """(segment, k, level): the n-grams of ``counts`` as the filter holds them."""
 
     def key(batches):
         for b in batches:
@@ -161,22 +169,75 @@ def build_filter(counts: DataFrame) -> LogFrequencyBloom:
             k = np.where(order == 1, keyed(1, h), keyed(2, h))
             yield pa.RecordBatch.from_arrays([pa.array((k % np.uint64(segments)).astype(np.int32)), pa.array(k.view(np.int64)), b.column(2)], ["segment", "k", "level"])
 
+    return counts.select("order", "h", level_column().alias("level")).mapInArrow(frugal(key), "segment int, k long, level int")
+
+
+def built_segment(held: pa.Table) -> bytes:
+    """The bits of the segment that holds ``held`` (k, level)."""
+    bits = np.zeros(SEGMENT_BITS, bool)
+    k, most = held.column("k").to_numpy().view(np.uint64), held.column("level").to_numpy()
+    for level in range(1, int(most.max(initial=0)) + 1):
+        k, most = k[most >= level], most[most >= level]
+        for probe in range(PROBES):
+            bits[LogFrequencyBloom.positions(k, level, probe)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def build_filter(counts: DataFrame, segments: int | None = None) -> LogFrequencyBloom:
+    """The filter that holds ``counts`` (order, h, c), in the driver's memory."""
+    segments = segments or segments_for(counts)
+
     def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        bits = np.zeros(SEGMENT_BITS, bool)
-        k, most = table.column("k").to_numpy().view(np.uint64), table.column("level").to_numpy()
-        for level in range(1, int(most.max()) + 1):
-            k, most = k[most >= level], most[most >= level]
-            for probe in range(PROBES):
-                bits[LogFrequencyBloom.positions(k, level, probe)] = True
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([built_segment(table)], pa.binary())})
 
-    placed = counts.select("order", "h", "level").mapInArrow(frugal(key), "segment int, k long, level int")
-    built = placed.groupBy("segment").applyInArrow(build, "segment int, data binary")
-    found = {r["segment"]: bytes(r["data"]) for r in built.collect()}  # at most MOST_SEGMENTS rows of 1 MB
+    built = placed(counts, segments).groupBy("segment").applyInArrow(build, "segment int, data binary")
+    found = {r["segment"]: bytes(r["data"]) for r in built.collect()}  # a row of 1 MB for each segment
     return LogFrequencyBloom([found.get(i, bytes(SEGMENT_BITS // 8)) for i in range(segments)] if found else [])
 
 
-def log_probabilities(bloom: LogFrequencyBloom, scale: float, h: np.ndarray, counts: np.ndarray, seen: np.ndarray, at: np.ndarray) -> np.ndarray:
+class Levels:
+    """What the filter said of some n-grams, to be asked like the filter."""
+
+    def __init__(self, keys: np.ndarray, levels: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.k, self.level = keys[order], levels[order]
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        return self.level[np.searchsorted(self.k, keys)]
+
+
+def sent_scores(docs: DataFrame, counts: DataFrame, segments: int, scale: float) -> DataFrame:
+    """(k, score) of the distinct texts of ``docs`` (k, text), k being the hash of the text; n-grams are sent to segments.
+
+    A portion sends each of its n-grams once, so the most common one is sent once for each PORTION_BYTES of text.
+    """
+    texts = stored(docs.groupBy("k").agg(F.first("text").alias("text")), "texts")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    portions = math.ceil(size / PORTION_BYTES) + 1
+    texts = texts.select(F.pmod(F.xxhash64("k"), F.lit(portions)).alias("portion"), "k", "text")
+
+    def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        h, n = tokens(table.column("text").to_pylist())
+        k = np.unique(np.concatenate([keyed(1, np.unique(h)), keyed(2, np.unique(pairs(h, n)[1]))]))
+        return pa.table({"segment": pa.array((k % np.uint64(segments)).astype(np.int32)), "portion": pa.array(np.full(len(k), key[0].as_py())), "k": pa.array(k.view(np.int64))})
+
+    def answer(held: pa.Table, asked: pa.Table) -> pa.Table:
+        levels = LogFrequencyBloom([built_segment(held)]).levels(asked.column("k").to_numpy().view(np.uint64)) if len(asked) else np.empty(0, np.int64)
+        return pa.table({"portion": asked.column("portion"), "k": asked.column("k"), "level": pa.array(levels.astype(np.int16))})
+
+    def score(table: pa.Table, answers: pa.Table) -> pa.Table:
+        h, n = tokens(table.column("text").to_pylist())
+        seen, at = np.unique(h, return_inverse=True)
+        known = Levels(answers.column("k").to_numpy().view(np.uint64), answers.column("level").to_numpy().astype(np.int64))
+        logs = log_probabilities(known, scale, h, n, seen, at)
+        return pa.table({"k": table.column("k"), "score": pa.array(np.add.reduceat(logs, np.cumsum(n) - n))})
+
+    asked = texts.groupBy("portion").applyInArrow(ask, "segment int, portion long, k long")
+    answers = placed(counts, segments).groupBy("segment").cogroup(asked.groupBy("segment")).applyInArrow(answer, "portion long, k long, level short")
+    return stored(texts.groupBy("portion").cogroup(answers.groupBy("portion")).applyInArrow(score, "k long, score double"), "sent")
+
+
+def log_probabilities(bloom: LogFrequencyBloom | Levels, scale: float, h: np.ndarray, counts: np.ndarray, seen: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log10 probability of every token given the one before it; ``seen[at]`` is ``h``."""
     both = pairs(h, counts)[1]
     single = bloom.levels(keyed(1, seen))
@@ -238,7 +299,8 @@ def score_documents(docs: DataFrame, frequent_words: int = FREQUENT_WORDS) -> Da
     middle = F.element_at(F.array(*[F.lit(float(x)) for x in middles()[1:]]), F.col("level"))
     sums = words.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(middle).alias("taken")).first()
     n, v = sums["n"] or 0, sums["v"]
-    bloom = build_filter(counted)
+    segments = segments_for(counted)
+    bloom = build_filter(counted, segments) if segments <= MOST_SEGMENTS else None
     scale = (sums["taken"] or 0.0) + 0.5 * (v + 1)
     counts_ = Counts(words, frequent_words)
     least = counts_.least
@@ -255,7 +317,8 @@ def score_documents(docs: DataFrame, frequent_words: int = FREQUENT_WORDS) -> Da
             c = known.value.of(seen)
             logs = np.log10((np.maximum(c, 0) + 0.5) / whole) * (c >= 0)
             add = lambda x: pa.array(np.add.reduceat(x, starts))
-            own = [part.column(1), pa.array(counts), add(log_probabilities(bloom, scale, h, counts, seen, at)), add((c > 0)[at].astype(np.int64)), add(logs[at])]
+            scores = pa.nulls(len(counts), pa.float64()) if bloom is None else add(log_probabilities(bloom, scale, h, counts, seen, at))
+            own = [part.column(1), pa.array(counts), scores, add((c > 0)[at].astype(np.int64)), add(logs[at])]
             rare = np.flatnonzero((c < 0)[at])
             row, word = np.repeat(np.arange(len(counts)), counts)[rare], at[rare]
             order = np.lexsort((word, row))
@@ -269,6 +332,9 @@ def score_documents(docs: DataFrame, frequent_words: int = FREQUENT_WORDS) -> Da
 
     keyed_docs = docs.select("doc_id", "held_out", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("k"))
     every = stored(keyed_docs.mapInArrow(frugal(score), SCORES), "scores")
+    if bloom is None:
+        sent = sent_scores(keyed_docs.select("k", "text"), counted, segments, scale)
+        every = every.drop("score").join(sent, "k").select(every.columns)
     scored, each = every.where("h = 0").drop("h", "tf"), every.select("doc_id", "k", "h", "tf")
     found = each.join(words.where(F.col("level") < least).select("h", "c"), "h", "left")
     c, word = F.coalesce("c", F.lit(0)), F.col("h") != 0

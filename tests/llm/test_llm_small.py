@@ -364,6 +364,26 @@ def test_filter_gives_levels_back(spark):
     assert (bloom.levels(bloom_lm.keyed(1, rng.integers(0, 2**63, 3000).view(np.uint64))) == 0).mean() > 0.97
 
 
+def test_filter_grows_with_its_entries(spark, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "MOST_SEGMENTS", 1)
+    bloom = bloom_lm.build_filter(spark.range(3_000_000).select(F.lit(1).cast("byte").alias("order"), F.xxhash64("id").alias("h"), F.lit(1).alias("c")))
+    unseen = np.random.default_rng(8).integers(0, 2**63, 20_000).view(np.uint64)
+    assert bloom.segments == 5 and (bloom.levels(bloom_lm.keyed(1, unseen)) > 0).mean() < 0.01
+
+
+def test_scores_are_the_same_when_segments_stay_where_they_are(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "BITS_PER_ENTRY", 1 << 19)  # many segments, though there is little to hold
+    monkeypatch.setattr(bloom_lm, "PORTION_BYTES", 50_000)
+    found = []
+    for most in (1 << 20, 3):
+        monkeypatch.setattr(bloom_lm, "MOST_SEGMENTS", most)
+        found.append(sorted(map(tuple, bloom_lm.score_documents(docs).collect()), key=str))
+    assert len(found[0]) == docs.count() and [r[:5] for r in found[0]] == [r[:5] for r in found[1]]
+    assert np.allclose(np.array([r[5:] for r in found[0]]), np.array([r[5:] for r in found[1]]), rtol=1e-12)
+    monkeypatch.setattr(bloom_lm, "MOST_SEGMENTS", 0)
+    assert bloom_lm.score_documents(empty).count() == 0
+
+
 def test_probabilities_sum_to_one_at_most(spark):
     vocabulary = [f"v{i}" for i in range(30)]
     rng = np.random.default_rng(6)
