@@ -57,19 +57,22 @@ KEY_PREFIXES = "AKIA ASIA ghp_ gho_ ghs_ sk- pk- xoxb- xoxp- AIza".split()
 SECRET_NAMES = "password passwd pwd secret token api_key apikey access_key auth_token client_secret".split()
 
 _given = "|".join(n for names in GIVEN.values() for n in names)
-_titles = "|".join(t for titles in TITLES.values() for t in titles)
+#: In lower case too, but for words that mean something else there.
+_titles = "(?iu:" + "|".join(t for titles in TITLES.values() for t in titles if t not in ("Miss", "Ms")) + ")|Miss|MISS|Ms|MS"
+#: Words that are no surname after a given name where all is in upper case.
+_small = "AND OR BUT THE AN IN ON AT OF TO FOR FROM BY WITH IS ARE WAS WERE HAS HAVE HAD WILL WOULD CAN DOES DID NOT WHO THAT THIS AS IF ET OU LE LA LES DE DU DES UN UNE EST QUI QUE DANS POUR PAR AVEC SUR UND ODER DER DIE DAS DEN IST WAR HAT MIT VON ZU AUF FÜR EL LOS LAS ES CON POR EN НА НЕ ЧТО".replace(" ", "|")
 _name = r"\p{Lu}[\p{L}'-]{1,30}"
 #: Patterns by type, in order of precedence. Every entity begins at the start of a word, and what is cheap to test for
 #: is tested first: over prose the matcher stops at nearly every word after one or two characters per pattern.
 PATTERNS = {
     "email": r"(?<![._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}](?:[\p{L}\p{N}-]*\.)+\p{L}{2,24}",
-    "secret": r"(?<=[=:\"' ])(?<=[=:][\"' ]{0,4})(?<=\b(?:" + "|".join(SECRET_NAMES) + r")[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_./+-]{8,128}|(?:" + "|".join(KEY_PREFIXES) + r")[A-Za-z0-9_-]{12,128}",
+    "secret": r"(?<=[=:\"' ])(?<=[=:][\"' ]{0,4})(?<=\b(?i:" + "|".join(SECRET_NAMES) + r")[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_./+-]{8,128}|(?:" + "|".join(KEY_PREFIXES) + r")[A-Za-z0-9_-]{12,128}",
     "ip": r"(?=\d)(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?=\d)(?<!-)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "card": r"(?=\d)(?<!\+)\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
     "phone": r"(?=[+(\d])(?<!\+)(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{L}\p{N}-]))",
-    "name": r"(?=\p{Lu})(?:(?<= )(?<=\b(?:" + _titles + r")\.? )" + _name + r"|(?<= )(?<=\b(?:" + _titles + r")\.? (?:" + _given + r") )" + _name + r"|(?:" + _given + r")(?= \p{Lu}\p{Ll})|(?<= )(?<=(?:^|[^\p{L}])(?:" + _given + r") )" + _name + r")",
+    "name": r"(?=\p{Lu})(?:(?<= )(?<=\b(?:" + _titles + r")\.? )" + _name + r"|(?<= )(?<=\b(?:" + _titles + r")\.? (?iu:" + _given + r") )" + _name + r"|(?iu:" + _given + r")(?= (?!(?:" + _small + r")(?!\p{L}))\p{Lu}\p{L})|(?<= )(?<=(?:^|[^\p{L}])(?iu:" + _given + r") )(?!(?:" + _small + r")(?!\p{L}))" + _name + r")",
 }
 PATTERN = r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}+(])(?:" + "|".join(PATTERNS.values()) + ")"
 
@@ -88,7 +91,7 @@ def entity_type(m: Column) -> Column:
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(m.rlike(r"^\d(?:[ -]?\d){12,18}$"), "card")
         .when(m.rlike(r"^[+(]") | m.rlike(r"^\d{3}[.-]\d{3}[.-]\d{4}$") & (digits == 10), "phone")
-        .when(m.rlike(rf"^(?:{_given})$"), "given")
+        .when(m.rlike(rf"^(?iu:{_given})$"), "given")
         .when(m.rlike(r"^\p{Lu}[\p{L}'-]*$") & ~m.rlike("^(?:" + "|".join(KEY_PREFIXES) + ")"), "surname")
         .otherwise("secret")
     )
@@ -96,7 +99,7 @@ def entity_type(m: Column) -> Column:
 
 def identity(kind: Column, m: Column) -> Column:
     """What spellings of one entity have in common."""
-    return F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(m, r"\D", "")).when(kind == "iban", F.regexp_replace(m, " ", "")).when(kind == "email", F.lower(m)).otherwise(m)
+    return F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(m, r"\D", "")).when(kind == "iban", F.regexp_replace(m, " ", "")).when(kind.isin("email", "given", "surname"), F.lower(m)).otherwise(m)
 
 
 def _pick(seed: Column, n: Column | int) -> Column:
@@ -156,13 +159,16 @@ def _card(m: Column, spelled: Column) -> Column:
 
 
 def _given_name(key: str, m: Column) -> Column:
-    """The next name of the same list in keyed order."""
+    """The next name of the same list in keyed order, in the case of ``m``."""
+    plain = F.initcap(F.lower(m))
+
     def of(names: list[str]) -> Column:
         keyed = F.transform(F.array(*map(F.lit, names)), lambda n: F.struct(F.xxhash64(F.lit(key), n).alias("h"), n.alias("n")))
         order = F.transform(F.array_sort(keyed), lambda s: s["n"])
-        return let(order, lambda o: F.element_at(o, (F.array_position(o, m) % len(names) + 1).cast("int")))
+        return let(order, lambda o: F.element_at(o, (F.array_position(o, plain) % len(names) + 1).cast("int")))
 
-    return reduce(lambda out, names: out.when(m.isin(names), of(names)), GIVEN.values(), F.when(F.lit(False), m)).otherwise(m)
+    name = reduce(lambda out, names: out.when(plain.isin(names), of(names)), GIVEN.values(), F.when(F.lit(False), m)).otherwise(m)
+    return F.when(F.upper(m) == m, F.upper(name)).when(F.lower(m) == m, F.lower(name)).otherwise(name)
 
 
 def _surname(m: Column, seed: Column) -> Column:

@@ -112,6 +112,20 @@ def test_surrogates_keep_type_gender_script_and_identity(spark):
     assert out[5] == PRIVATE[5]
 
 
+def replaced(spark, *texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["text"] for r in pii.replace_personal_data(frame).orderBy("doc_id").collect()]
+
+
+def test_surrogates_whatever_the_case(spark):
+    out = replaced(spark, *(t.upper() for t in PRIVATE), "PASSWORD=abcd1234 Api_Key: efgh5678 mr. Keller", "I miss Berlin", "JOHN SMITH and John Smith", "JOHN AND ME")
+    gone = [("MARY", "JONES", "SMITH", "ПЕТРОВА"), ("4111 1111",), ("HUNTER2", "0A1B2C3D", "ABCDEFGHIJ"), ("ИВАН", "ПЕТРОВ", "ИВАНОВА"), ("BOB@", "555-7713")]
+    assert [x for t, names in zip(out, gone) for x in names if x in t] == [] and out[5] == PRIVATE[5].upper()
+    assert not any(x in out[6] for x in ("abcd1234", "efgh5678", "Keller")) and out[7] == "I miss Berlin" and out[9] == "JOHN AND ME"
+    upper, mixed = out[8].split(" and ")
+    assert upper.isupper() and mixed.istitle() and upper.title() == mixed != "John Smith"
+
+
 def test_colliding_surrogates_are_tried_again(spark, monkeypatch):
     frame = spark.createDataFrame([(i, f"at 10.0.{i}.1 now") for i in range(40)], "doc_id long, text string")
     real = pii._pick
