@@ -66,7 +66,7 @@ _name = r"\p{Lu}[\p{L}'-]{1,30}"
 #: is tested first: over prose the matcher stops at nearly every word after one or two characters per pattern.
 PATTERNS = {
     "email": r"(?<![._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}](?:[\p{L}\p{N}-]*\.)+\p{L}{2,24}",
-    "secret": r"(?<=[=:\"' ])(?<=[=:][\"' ]{0,4})(?<=\b(?i:" + "|".join(SECRET_NAMES) + r")[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_./+-]{8,128}|(?:" + "|".join(KEY_PREFIXES) + r")[A-Za-z0-9_-]{12,128}",
+    "secret": r"(?<=[=:\"'\s])(?<=[=:][\"'\s]{0,5})(?<=\b(?i:" + "|".join(SECRET_NAMES) + r")[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_./+-]{8,128}|(?:" + "|".join(KEY_PREFIXES) + r")[A-Za-z0-9_-]{12,128}",
     "ip": r"(?=\d)(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?=\d)(?<!-)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
@@ -74,7 +74,7 @@ PATTERNS = {
     "phone": r"(?=[+(\d])(?<!\+)(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{L}\p{N}-]))",
     "name": r"(?=\p{Lu})(?:(?<= )(?<=\b(?:" + _titles + r")\.? )" + _name + r"|(?<= )(?<=\b(?:" + _titles + r")\.? (?iu:" + _given + r") )" + _name + r"|(?iu:" + _given + r")(?= (?!(?:" + _small + r")(?!\p{L}))\p{Lu}\p{L})|(?<= )(?<=(?:^|[^\p{L}])(?iu:" + _given + r") )(?!(?:" + _small + r")(?!\p{L}))" + _name + r")",
 }
-PATTERN = r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}+(])(?:" + "|".join(PATTERNS.values()) + ")"
+PATTERN = r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}+(/_.-])(?:" + "|".join(PATTERNS.values()) + ")"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -126,6 +126,14 @@ def test_surrogates_whatever_the_case(spark):
     assert upper.isupper() and mixed.istitle() and upper.title() == mixed != "John Smith"
 
 
+def test_secrets_begin_with_any_of_their_characters(spark):
+    values = ["/xYz1234abcd", "_xYz1234abcd", ".xYz1234abcd", "-xYz1234abcd", "+xYz1234abcd", "xYz1234abcd"]
+    texts = [f"a password{sep}{v} b" for v in values for sep in ("=", ": ", ":\t", " =\n", "\t:\r\n\"")]
+    out = replaced(spark, *texts)
+    assert [t for t in out if "xYz1234" in t] == [] and all(t.startswith("a password") and t.endswith(" b") for t in out)
+    assert replaced(spark, "and/or ./path/to/file -option _name_ ...") == ["and/or ./path/to/file -option _name_ ..."]
+
+
 def test_colliding_surrogates_are_tried_again(spark, monkeypatch):
     frame = spark.createDataFrame([(i, f"at 10.0.{i}.1 now") for i in range(40)], "doc_id long, text string")
     real = pii._pick
