@@ -134,6 +134,13 @@ def test_secrets_begin_with_any_of_their_characters(spark):
     assert replaced(spark, "and/or ./path/to/file -option _name_ ...") == ["and/or ./path/to/file -option _name_ ..."]
 
 
+def test_long_entities_are_replaced_whole(spark):
+    values = [f"token={'aB3x' * n}" for n in (20, 33, 250, 5_000)] + ["sk-" + "aB3x" * 50, "Mr. " + "A" + "b" * 60]
+    out = replaced(spark, *(f"{v} end" for v in values))
+    assert all(t.endswith(" end") and not any(x in t for x in ("aB3xaB3x", "bbb")) for t in out)
+    assert [len(t) for t in out[:5]] == [len(v) + 4 for v in values[:5]] and out[4].startswith("sk-")
+
+
 def test_colliding_surrogates_are_tried_again(spark, monkeypatch):
     frame = spark.createDataFrame([(i, f"at 10.0.{i}.1 now") for i in range(40)], "doc_id long, text string")
     real = pii._pick
