@@ -9,6 +9,7 @@ that occurs again, in any document, gets the same surrogate: coreference holds w
 * Octets stay octets; a card number that satisfies the Luhn rule gets one that does.
 * A given name is replaced by the next one, in keyed order, of the same gender and script: one to one, never by itself.
   A surname is replaced by one built of syllables of its script.
+* A name that was found is replaced wherever it is a whole word of the same text, in capitals too.
 
 Collision check: all distinct entities get their surrogates; where one is also an entity of the corpus, or belongs to
 two entities, all but one of those concerned are tried again with a higher number until every surrogate is new and
@@ -61,7 +62,7 @@ _given = "|".join(n for names in GIVEN.values() for n in names)
 _titles = "(?iu:" + "|".join(t for titles in TITLES.values() for t in titles if t not in ("Miss", "Ms")) + ")|Miss|MISS|Ms|MS"
 #: Words that are no surname after a given name where all is in upper case.
 _small = "AND OR BUT THE AN IN ON AT OF TO FOR FROM BY WITH IS ARE WAS WERE HAS HAVE HAD WILL WOULD CAN DOES DID NOT WHO THAT THIS AS IF ET OU LE LA LES DE DU DES UN UNE EST QUI QUE DANS POUR PAR AVEC SUR UND ODER DER DIE DAS DEN IST WAR HAT MIT VON ZU AUF FÜR EL LOS LAS ES CON POR EN НА НЕ ЧТО".replace(" ", "|")
-_name = r"\p{Lu}[\p{L}'-]++"
+_name = r"\p{Lu}[\p{L}'-]+(?<!['-])(?<!'[sS])"
 #: Patterns by type, in order of precedence. Every entity begins at the start of a word, and what is cheap to test for
 #: is tested first: over prose the matcher stops at nearly every word after one or two characters per pattern.
 PATTERNS = {
@@ -203,10 +204,22 @@ def surrogate(key: str, m: Column, attempt: Column) -> Column:
 
 
 def entities(text: Column) -> Column:
-    """All matches in a text, in order; an empty array for null."""
+    """All matches of PATTERN in a text, in order; an empty array for null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
 
 
+def names_of(found: Column) -> Column:
+    """The distinct names among the entities of a text, in lower case, the longest first."""
+    names = F.transform(F.filter(found, lambda m: entity_type(m).isin("given", "surname") & (F.length(m) > 1)), F.lower)
+    by_length = F.array_sort(F.transform(F.array_distinct(names), lambda n: F.struct((-F.length(n)).alias("l"), n.alias("n"))))
+    return F.transform(by_length, lambda s: s["n"])
+
+
+def pattern_with(names: Column) -> Column:
+    """PATTERN, and last the names wherever they are whole words; names hold nothing but letters, ' and -."""
+    return F.concat(F.lit(PATTERN[:-1] + r"|(?=\p{Lu})(?iu:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{N}]))"))
+
+
 def collision_attempts(found: DataFrame, key: str, most_rounds: int = 50) -> DataFrame:
     """(kind, same, attempt) for the entities of ``found`` (kind, same, m: one spelling) that need an attempt other than 0."""
     tried = found.withColumn("attempt", F.lit(0))
@@ -247,9 +260,13 @@ def replace_personal_data(docs: DataFrame, key: str = "change-this-key", text: s
         work = docs.withColumn("_k", F.xxhash64(t)).join(of_text, "_k", "left")
         attempt = lambda m: F.coalesce(F.element_at(F.col("_known"), F.concat_ws(" ", entity_type(m), identity(entity_type(m), m))), F.lit(0))
     # Pieces between the matches, and the matches: one more piece than matches, since an empty match is not possible.
-    work = work.withColumn("_m", entities(t))
+    work = work.withColumn("_first", entities(t)).withColumn("_names", names_of(F.col("_first")))
+    named = F.size("_names") > 0
+    work = work.withColumn("_p", F.when(named, pattern_with(F.col("_names"))))
+    work = work.withColumn("_m", F.when(named, F.regexp_extract_all(t, F.col("_p"), F.lit(0))).otherwise(F.col("_first")))
+    pieces = F.when(named, F.split(t, F.col("_p"), -1)).otherwise(F.split(t, PATTERN, -1))
     new = F.transform("_m", lambda m: surrogate(key, m, attempt(m)))
-    whole = F.array_join(F.flatten(F.zip_with(F.split(t, PATTERN, -1), new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    whole = F.array_join(F.flatten(F.zip_with(pieces, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     work = work.withColumns({text: F.when(F.size("_m") > 0, whole).otherwise(t), "n_entities": F.size("_m").cast("long")})
     if "n_chars" in names:
         work = work.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

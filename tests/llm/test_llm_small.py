@@ -141,6 +141,14 @@ def test_long_entities_are_replaced_whole(spark):
     assert [len(t) for t in out[:5]] == [len(v) + 4 for v in values[:5]] and out[4].startswith("sk-")
 
 
+def test_names_found_are_replaced_throughout_their_text(spark):
+    out = replaced(spark, "Mrs. Keller's dog. Keller paid, KELLER (Keller) and Kellerman. Anna Lee-Keller, Anna said, Lee-Keller", "Keller and Anna", None, "Dr. Jürgen O'Brien: Jürgen's, O'Brien")
+    w = out[0].replace(".", "").replace(",", "").replace("(", "").replace(")", "").split()
+    assert w[1].endswith("'s") and w[1][:-2] == w[3] == w[6] == w[5].capitalize() != "Keller" and w[5].isupper() and w[8] == "Kellerman"
+    assert w[9] == w[11] != "Anna" and w[10] == w[13] and "Lee" not in w[10]
+    assert out[1:3] == ["Keller and Anna", None] and "Jürgen" not in out[3] and "Brien" not in out[3] and "'s, " in out[3]
+
+
 def test_colliding_surrogates_are_tried_again(spark, monkeypatch):
     frame = spark.createDataFrame([(i, f"at 10.0.{i}.1 now") for i in range(40)], "doc_id long, text string")
     real = pii._pick
