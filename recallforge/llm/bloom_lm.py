@@ -2,8 +2,8 @@
 
 All training documents are counted: single words and, as contexts with their next word, pairs. A count c is quantised to
 level 1 + floor(log_BASE(c / smallest)), and the filter holds an n-gram once for each level up to its own. A reader probes
-level 1, 2, ... until a probe fails, and so gets the level back, or with a small chance a higher one. Pairs that occur
-once are not held (smallest = 2); nothing else is left out.
+level 1, 2, ... until a probe fails, and so gets the level back, or with a small chance a higher one. Nothing is left out:
+pairs that occur once are held too.
 
 The filter is blocked: all bits of an n-gram lie in one segment of a fixed size, so segments are built by separate tasks
 of equal size. Segments grow in number with what is to be held, so the error rate is the same at every size. Up to
@@ -37,7 +37,7 @@ from ._shared import _MULTIPLIER, ensure_importable, frugal, hashed_words, id_bu
 
 BASE = 1.4
 #: Smallest counts held, by order.
-SMALLEST = {1: 1, 2: 2}
+SMALLEST = {1: 1, 2: 1}
 #: So many segments are sent to all workers; n-grams are sent to more.
 SEGMENT_BITS, MOST_SEGMENTS = 1 << 23, 128
 BITS_PER_ENTRY, PROBES = 12, 6
@@ -293,8 +293,7 @@ def score_documents(docs: DataFrame, frequent_words: int = FREQUENT_WORDS) -> Da
     ensure_importable(spark)
     held_out = F.coalesce(id_bucket(F.col("doc_id"), 5) == 1, F.lit(False))
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
-    counted = ngram_counts(docs.where(~F.col("held_out"))).where((F.col("order") == 1) | (F.col("c") >= SMALLEST[2]))
-    counted = stored(counted, "ngrams")
+    counted = stored(ngram_counts(docs.where(~F.col("held_out"))), "ngrams")
     words = counted.where("order = 1").withColumn("level", level_column())
     middle = F.element_at(F.array(*[F.lit(float(x)) for x in middles()[1:]]), F.col("level"))
     sums = words.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(middle).alias("taken")).first()

@@ -401,6 +401,14 @@ def test_filter_gives_levels_back(spark):
     assert (bloom.levels(bloom_lm.keyed(1, rng.integers(0, 2**63, 3000).view(np.uint64))) == 0).mean() > 0.97
 
 
+def test_pairs_that_occur_once_count(spark):
+    train, held = ([i for i in range(100) if (zlib.crc32(str(i).encode()) % 5 == 1) is out] for out in (False, True))
+    passage = [f"w{i}" for i in range(40)]
+    rows = [(train[0], " ".join(passage)), (held[0], " ".join(passage)), (held[1], " ".join(passage[::-1]))]
+    score = {r["doc_id"]: r["score"] for r in bloom_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert score[held[0]] > score[held[1]] + 0.5
+
+
 def test_filter_grows_with_its_entries(spark, monkeypatch):
     monkeypatch.setattr(bloom_lm, "MOST_SEGMENTS", 1)
     bloom = bloom_lm.build_filter(spark.range(3_000_000).select(F.lit(1).cast("byte").alias("order"), F.xxhash64("id").alias("h"), F.lit(1).alias("c")))
