@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from ..functions import vectors
 from .search import DIGITS, dense
 from .tables import stored
 
+#: Levels of a search after which what was reached is stored as one table.
+STORED_HOPS = 50
+
 
 def valid_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose ends both exist; repeats stay."""
@@ -64,22 +69,24 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return counts.groupBy("what", "kind").agg(F.count("*").alias("n"))
 
 
-def bfs(edges: DataFrame, start: str, goal: str | None = None, most_hops: int = 1000) -> DataFrame:
+def bfs(edges: DataFrame, start: str, goal: str | None = None) -> DataFrame:
     """(id, hops, prev) of what ``start`` reaches along edges, up to the level of ``goal`` if one is given.
 
     One join per level; the frontier is joined, nodes seen before are dropped, one row per node is kept, by the
-    smallest predecessor.
+    smallest predecessor. What was reached is stored anew now and then, so that plans do not grow with the levels.
     """
     spark = edges.sparkSession
     links = stored(edges.select("src", "dst").where("src <> dst").distinct(), "links")
     seen = stored(spark.createDataFrame([(start, 0, None)], "id string, hops long, prev string"), "seen")
     frontier = seen
-    for hop in range(1, most_hops + 1):
+    for hop in itertools.count(1):
         step = frontier.select(F.col("id").alias("src")).join(links, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("prev"))
         frontier = stored(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop).cast("long").alias("hops"), "prev"), "frontier")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if hop % STORED_HOPS == 0:
+            seen = stored(seen, "seen")
         if goal is not None and not frontier.where(F.col("id") == goal).isEmpty():
             break
     return seen

@@ -1,5 +1,6 @@
 """Operators on small tables, against what was worked out by hand or by plain models."""
 
+import inspect
 from collections import deque
 
 import pytest
@@ -73,6 +74,13 @@ def test_degrees_and_paths(spark):
     assert path("c", "a") == [] and path("a", "nowhere") == [] and path("alone", "alone") == ["alone"]
 
 
+def test_a_search_ends_at_an_empty_frontier_only(spark, monkeypatch):
+    monkeypatch.setattr(graph, "STORED_HOPS", 2)
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "Calls") for i in range(7)], "src string, dst string, kind string")
+    assert rows(graph.bfs(chain, "n0").select("id", "hops")) == [(f"n{i}", i) for i in range(8)]
+    assert "most_hops" not in inspect.signature(graph.bfs).parameters
+
+
 def test_edges_are_kept_with_repeats(spark):
     n, e = tables(spark)
     more = e.unionByName(spark.createDataFrame([("a", "gone", "Calls")], e.schema))
