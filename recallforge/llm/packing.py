@@ -25,22 +25,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import ensure_importable, frugal, stored
-from ._tokens import Encoder
+from ._tokens import Encoder, ranges
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Texts are encoded in portions of at most so many rows and about so many bytes, so that a worker's memory does not
 #: follow Spark's batches or a few long texts.
-PORTION_ROWS, PORTION_BYTES = 1000, 4 << 20
+PORTION_ROWS, PORTION_BYTES = 4000, 6 << 20
+
+
 def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batches`` whose second column is text."""
+    """The rows of ``batches``, whose second column is text, in portions."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
-            full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION_BYTES))
-            upto = min(at + PORTION_ROWS, max(at + 1, full), batch.num_rows)
-            yield batch.slice(at, upto - at)
+            before = ends[at - 1] if at else 0
+            full = int(np.searchsorted(ends, before + PORTION_BYTES - size))
+            upto = min(at + PORTION_ROWS - rows, max(at + 1, full), batch.num_rows)
+            held.append(batch.slice(at, upto - at))
+            rows, size = rows + upto - at, size + int(ends[upto - 1] - before)
             at = upto
+            if rows >= PORTION_ROWS or size >= PORTION_BYTES or at < batch.num_rows:
+                yield pa.concat_batches(held)
+                held, rows, size = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def cut_documents(docs: DataFrame, vocabulary: str, seq_len: int, end_id: int) -> DataFrame:
@@ -48,17 +59,17 @@ def cut_documents(docs: DataFrame, vocabulary: str, seq_len: int, end_id: int) -
 
     def cut(batches):
         encoder = Encoder.of(vocabulary)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in portions(batches):
-            rows: list[tuple] = []
-            for doc_id, data in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                data += end
-                total = len(data) // 4
-                for start in range(0, total, seq_len):
-                    piece = data[start * 4 : (start + seq_len) * 4]
-                    rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), total))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], PIECES.replace(" long", "").split(", "))
-        encoder.forget()
+            ids, ends = encoder.encode(batch.column(1), end_id)
+            data, totals = memoryview(ids).cast("B"), np.diff(ends, prepend=0)
+            pieces = -(-totals // seq_len)
+            doc = np.repeat(np.arange(len(totals)), pieces)
+            start = ranges(np.zeros(len(pieces), np.int64), pieces) * seq_len
+            length = np.minimum(totals[doc] - start, seq_len)
+            first = (ends - totals)[doc] + start
+            crc = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(first.tolist(), length.tolist())]
+            columns = [batch.column(0).take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, length, crc, totals[doc]))]
+            yield pa.RecordBatch.from_arrays(columns, PIECES.replace(" long", "").split(", "))
 
     ensure_importable(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(frugal(cut), PIECES)

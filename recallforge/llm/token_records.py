@@ -9,7 +9,7 @@ Shards hold ascending ranges of doc_id. Each is written by one task under anothe
 so a task that is run again after a lost executor leaves the same file.
 
 Defined cases: a null or empty text is a record with only the end id; a null doc_id sorts first; repeated rows are
-written each, ordered by text; an empty table writes no shard; other columns are ignored.
+written each, in an order of their texts; an empty table writes no shard; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,14 +70,15 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0
     ensure_importable(spark)
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = docs.repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows that repeat a doc_id are dealt by a hash of their text, and equal ones by where they lie.
+    keyed = docs.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
 
     def write(batches):
         from pyspark import TaskContext
 
         encoder = Encoder.of(vocabulary, 2)
         width = encoder.width
-        end = end_id.to_bytes(width, "little")
         shard = TaskContext.get().partitionId()
         store, root = filesystem(folder)
         store.create_dir(root, recursive=True)
@@ -90,14 +91,15 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0
                 out = store.open_output_stream(attempt)
                 out.write(head)
             chunk = []
-            for doc_id, data in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                record = frame(struct.pack("<?q", doc_id is not None, doc_id or 0) + data + end)
+            found, ends = encoder.encode(batch.column(1), end_id)
+            data, start = found.tobytes(), 0
+            for doc_id, end in zip(batch.column(0).to_pylist(), (ends * width).tolist()):
+                record = frame(struct.pack("<?q", doc_id is not None, doc_id or 0) + data[start:end])
                 index.append((at, len(record)))
-                at += len(record)
-                ids += len(data) // width + 1
+                at, start = at + len(record), end
                 chunk.append(record)
+            ids += len(found)
             out.write(b"".join(chunk))
-        encoder.forget()
         if out is None:
             return
         out.close()

@@ -194,18 +194,42 @@ def test_density_alone_finds_an_article_without_markup():
 def ids_of(text):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(default_tokenizer()).encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_encoder_is_exact():
-    odd = ["a  b", " x", "x ", "a \n b", "\ta b", "é  b", "it's 'll don't", "a  b", "", None, "<|endoftext|> a", "x\n\n y z1 2,3 -- 'tis", LONG]
-    assert [np.frombuffer(b, "<u4").tolist() for b in Encoder.of(default_tokenizer()).encode(odd)] == [ids_of(t) for t in odd]
+ODD = ["a  b", " x", "x ", "a \n b", "\ta b", "é  b", "it's 'll don't", "a\xa0 b", "", None, "<|endoftext|> a", "a <|endoftext|>b c", "x\n\n y z1 2,3 -- 'tis", "日本語 text ١٢٣ 日本,", LONG]
+ODD += ["x\x1cy z", "\x00 a\x00b", "  ", "\n", "a\x85 b", "it'S 'Re we'll've", " 's 't", " \n a", "²½ Ⅷ x²", "word, word. word.\nNext &&& word***", "ab'. ab', 'ab a'", "ǅ ʼn ʰ a\u0483b \u0531\u0532."]
+
+
+def test_encoder_is_exact(monkeypatch):
+    from recallforge.llm import _tokens
+
+    def found(encoder, texts):
+        ids, ends = encoder.encode(texts, 7)
+        return [ids[a:b].tolist() for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+    want = [[*ids_of(t), 7] for t in ODD]
+    for width in (2, 4):
+        assert found(Encoder(default_tokenizer(), width), ODD) == want
+    assert [found(Encoder.of(default_tokenizer()), [t])[0] for t in ODD] == want and found(Encoder.of(default_tokenizer()), []) == []
+    monkeypatch.setattr(_tokens, "_CACHE_PARTS", 50)
+    monkeypatch.setattr(_tokens, "_KEPT_PARTS", 10)
+    monkeypatch.setattr(_tokens, "_RUN", 3)
+    small = Encoder(default_tokenizer(), 4)
+    assert [found(small, ODD[i : i + 5]) for i in range(0, len(ODD), 5)] == [want[i : i + 5] for i in range(0, len(ODD), 5)]
+    small.cuts = False
+    assert found(small, ODD) == want
+
+
+def test_a_repeated_doc_id_fills_several_shards(spark, tmp_path):
+    rows = [(7, f"text {i} " + "word " * 200) for i in range(40)] + [(None, "same " * 200)] * 40
+    shards = token_records.write_records(spark.createDataFrame(rows, "doc_id long, text string"), default_tokenizer(), f"file://{tmp_path}/r", shard_bytes=10_000)
+    assert len([r for r in shards.collect() if r["records"]]) >= 6
+    assert sorted((r["doc_id"] or 0) for r in token_records.read_records(shards, f"file://{tmp_path}/r").collect()) == [0] * 40 + [7] * 40
 
 
 def test_packing(spark, docs, empty):
@@ -247,12 +271,15 @@ def test_records(spark, docs, empty, tmp_path):
     shards = token_records.write_records(docs, default_tokenizer(), folder, shard_bytes=20_000)
     got = token_records.read_records(shards, folder).orderBy("start").collect()
     assert shards.count() > 1 and len(got) == docs.count()
-    at = 0
-    want = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    want = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r[0] is not None, r[0] or 0))
+    got = sorted(got, key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [i for i, _ in want]
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
+    got.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], r["ids_crc32"]))
+    want.sort(key=lambda w: (w[0] is not None, w[0] or 0, len(ids_of(w[1])), crc([*ids_of(w[1]), 0])))
     for r, (doc_id, text) in zip(got, want):
         ids = [*ids_of(text), 0]
-        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (doc_id, at, len(ids), crc(ids))
-        at += len(ids)
+        assert (r["doc_id"], r["n_tokens"], r["ids_crc32"]) == (doc_id, len(ids), crc(ids))
     assert token_records.encode_round_trip(empty, default_tokenizer()).count() == 0
 
 
