@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ._shared import ranges
+
 #: At so many distinct parts all but the first so many are forgotten; one takes about 50 bytes.
 _CACHE_PARTS, _KEPT_PARTS = 1_000_000, 300_000
 #: So many distinct parts are encoded as one text.
@@ -32,12 +34,6 @@ _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _UNSURE = r"[^\x00-\x{52f}]"
 
 
-def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The numbers of each range start, start + 1, ..., one range after the other."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-
-
 def _rough(part: str) -> bool:
     """Whether white space stands at an end of the part, or a space inside it."""
     return not part or part[0].isspace() or part[-1].isspace() or " " in part

@@ -24,8 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import ensure_importable, frugal, stored
-from ._tokens import Encoder, ranges
+from ._shared import ensure_importable, frugal, ranges, stored
+from ._tokens import Encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Texts are encoded in portions of at most so many rows and about so many bytes, so that a worker's memory does not
@@ -161,8 +161,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, seq_len: int = 2048, end_id
     plan = slots(solve_patterns(demand, seq_len // unit))
     table = spark.createDataFrame(plan or [(0, 0, 0, 0, 1)], "size int, first long, after long, sequence long, per long")
 
-    ranges = max(32, -(-sum(demand.values()) // rows_per_range))
-    ranged = pieces.withColumn("range", F.pmod(F.xxhash64("doc_id", "start"), F.lit(ranges)).cast("int"))
+    spread = max(32, -(-sum(demand.values()) // rows_per_range))
+    ranged = pieces.withColumn("range", F.pmod(F.xxhash64("doc_id", "start"), F.lit(spread)).cast("int"))
     counts = ranged.groupBy("size", "range").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("size").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("size", "range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))

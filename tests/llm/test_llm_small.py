@@ -346,6 +346,58 @@ def test_chains_and_clouds(spark):
     assert got == groups(texts)[0]
 
 
+def cloud(n, changed, seed=3):
+    """Near copies of one text, each with some words of its own."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{i}" for i in range(60)]
+    texts = {}
+    for k in range(n):
+        w = list(base)
+        for at in rng.choice(60, rng.integers(*changed), replace=False):
+            w[at] = f"n{k}x{at}"
+        texts[k] = " ".join(w)
+    return texts
+
+
+def test_links_of_a_cloud_grow_with_its_documents(spark, monkeypatch):
+    """Rows that leave a block, of 1 or 2 changed words: linked with some only."""
+    seen = []
+    real = minhash.stored
+    monkeypatch.setattr(minhash, "stored", lambda df, name: seen.append((name, real(df, name))) or seen[-1][1])
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    rows = {}
+    for n in (125, 250, 500):
+        seen.clear()
+        texts = cloud(n, (1, 3))
+        frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame).collect()}
+        assert got == groups(texts)[0]
+        sizes = [(name, df.count()) for name, df in seen]
+        rows[n] = (sum(c for name, c in sizes if name in ("pairs", "links")), max(c for _, c in sizes))
+    assert rows[500][0] <= 2.6 * rows[250][0] <= 2.6 * 2.6 * rows[125][0]
+
+
+def test_long_documents_meet_in_blocks_of_their_size(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 30)
+    rng = np.random.default_rng(9)
+    texts = {}
+    for k in range(60):
+        w = [f"b{i}" for i in range(int(rng.integers(40, 160)))]
+        for at in rng.choice(len(w), int(rng.integers(0, 4)), replace=False):
+            w[at] = f"n{k}x{at}"
+        texts[k] = " ".join(w)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame).collect()}
+    assert got == groups(texts)[0] and len(set(got.values())) > 1
+
+
+def test_a_doc_id_with_several_texts_is_one_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (7, a), (7, b), (9, b), (4, c), (7, b), (11, a + " tail"), (12, c), (12, "short")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(4, 36, 4, True), (5, 36, 5, True), (7, 36, 5, False), (7, 36, 5, False), (7, 36, 5, False), (9, 36, 5, False), (11, 37, 5, False), (12, 1, 4, False), (12, 36, 4, False)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 100), (7, 7), (60, 61)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
