@@ -7,8 +7,9 @@ to the block at which the words come closest to the target. That is the source's
 
 The quotas are dealt to output shards by a binary tree: at each node the left half of the shards draws its blocks from
 the node's quotas by a multivariate hypergeometric distribution, one univariate conditional draw per source, inverted
-from its exact recursion; the right half keeps the rest. A leaf owns a range of each source's draws, so shards are
-disjoint and together hold the quotas exactly. Within its shard a block's place is the order of a keyed hash.
+from its exact recursion; the right half keeps the rest. What a leaf was dealt is a range of each source's draws, and a
+block is in the mix only as a draw that a leaf holds: shards are disjoint and together hold the quotas exactly. Within
+its shard a block's place is the order of a keyed hash.
 
 Running sums over a permutation are taken in two steps, per hash range of the source and within it, so a source with a
 third of all rows is spread over tasks. One row per source meets in one task, nothing else does.
@@ -32,6 +33,10 @@ WEIGHTS = (5, 2, 1)
 SPREAD = 8.0
 #: So many sources are joined by broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 20_000
+#: So many ranges of draws, of six numbers each, are joined by broadcast; more are joined by shuffle.
+BROADCAST_RANGES = 200_000
+#: At this depth, the tree's nodes are spread over tasks.
+SPREAD_LEVEL = 6
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -101,7 +106,9 @@ def shard_quotas(sources: DataFrame, levels: int, seed: int) -> DataFrame:
     """
     nodes = sources.agg(F.transform(F.array_sort(F.collect_list(F.struct("index", "quota"))), lambda s: s["quota"]).alias("quotas"))
     nodes = nodes.select(F.lit(1).cast("long").alias("node"), "quotas")
-    for _ in range(levels):
+    for level in range(levels):
+        if level == SPREAD_LEVEL:
+            nodes = nodes.repartition(1 << SPREAD_LEVEL, "node")
         halves = let(
             left_half(F.col("quotas"), seed, F.col("node")),
             lambda xs: F.array(
@@ -140,6 +147,7 @@ class Mix:
 
     ``documents``: doc_id, source, size, copy, source_size, target; one row per document.
     ``draws``: doc_id, source, size, copy, block, words, repeat, shard, place; one row per drawn block.
+    ``levels``, ``quotas``: depth and leaves of the tree.
     """
 
     def __init__(self, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3, block_words: int = 128, shard_words: int = 4_000_000, seed: int = 20_240_601, rows_per_range: int = 20_000) -> None:
@@ -180,44 +188,64 @@ class Mix:
             .withColumn("rows_in", F.row_number().over(within) - 1)
             .join(bases, ["index", "range"])
             .withColumn("rank", F.col("rows_base") + F.col("rows_in"))
-            .withColumn("times", F.col("full") + (F.col("words_base") + F.col("words_in") + F.col("words") / 2 <= F.col("rest")).cast("long"))
-            .where("times > 0")
+            .withColumn("held", F.col("words_base") + F.col("words_in") + F.col("words") / 2 <= F.col("rest"))
         )
-        ranked = stored(ranked.select("doc_id", "source", "size", "copy", "block", "words", "index", "blocks", "rank", "times"), "ranked")
-        quotas = ranked.groupBy("index").agg(F.sum("times").alias("quota"))
-        quotas = targets.select("index").join(quotas, "index", "left").select("index", F.coalesce("quota", F.lit(0)).alias("quota"))
-        total = ranked.agg(F.sum(F.col("words") * F.col("times"))).first()[0] or 0
+        ranked = stored(ranked.select("doc_id", "source", "size", "copy", "block", "words", "index", "full", "blocks", "rank", "held"), "ranked")
+        whole = targets.select("index", (F.col("full") * F.col("blocks")).alias("whole"), (F.col("full") * F.col("source_size")).alias("words"))
+        more = ranked.where("held").groupBy("index").agg(F.count("*").alias("more"), F.sum("words").alias("more_words"))
+        dealt = whole.join(more, "index", "left").select("index", (F.col("whole") + F.coalesce("more", F.lit(0))).alias("quota"), (F.col("words") + F.coalesce("more_words", F.lit(0))).alias("words"))
+        dealt = stored(dealt, "dealt")
+        total = dealt.agg(F.sum("words")).first()[0] or 0
         self.levels = max(0, (-(-total // shard_words) - 1).bit_length())
-        self.quotas = stored(shard_quotas(quotas, self.levels, seed), "quotas")
-        firsts = self.quotas.groupBy("index").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "first"))), lambda s: s["first"]).alias("firsts"))
-        draws = ranked.withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
-        draw = F.col("repeat") * F.col("blocks") + F.col("rank")
-        draws = draws.join(maybe_broadcast(firsts, BROADCAST_SOURCES), "index").withColumn("shard", F.size(F.filter("firsts", lambda x: x <= draw)) - 1)
-        order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "index", draw), "index", draw)
-        self.draws = draws.withColumn("place", F.row_number().over(order) - 1).select("doc_id", "source", "size", "copy", "block", "words", "repeat", "shard", "place")
+        self.quotas = stored(shard_quotas(dealt, self.levels, seed).where("count > 0"), "quotas")
+        # A source's draws are numbered round after round, in order of rank. Ranges and draws meet in buckets as wide as
+        # a source's mean range, so that few ranges lie in a bucket and few buckets in a range.
+        width = F.greatest(F.lit(1), F.ceil(F.col("quota") / (1 << self.levels))).cast("long")
+        widths = dealt.select("index", "quota", width.alias("width"))
+        leaves = self.quotas.join(widths.select("index", "width"), "index")
+        bucket = lambda x: F.floor(x / F.col("width")).cast("long")
+        leaves = leaves.select("index", "shard", "first", (F.col("first") + F.col("count")).alias("after"), F.explode(F.sequence(bucket(F.col("first")), bucket(F.col("first") + F.col("count") - 1))).alias("bucket"))
+        leaves = stored(leaves, "leaves")
+        draws = ranked.join(maybe_broadcast(widths, BROADCAST_SOURCES), "index").where("rank < quota")
+        draws = draws.withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1 - F.col("rank")) / F.col("blocks")).cast("long"))))
+        draws = draws.withColumn("draw", F.col("repeat") * F.col("blocks") + F.col("rank")).withColumn("bucket", bucket(F.col("draw")))
+        draws = draws.join(maybe_broadcast(leaves, BROADCAST_RANGES), ["index", "bucket"]).where((F.col("draw") >= F.col("first")) & (F.col("draw") < F.col("after")))
+        self.drawn = draws.select("doc_id", "source", "size", "copy", "block", "words", "repeat", "shard", F.xxhash64(F.lit(seed + 1), "index", "draw").alias("order"), "index", "draw")
+        place = F.row_number().over(Window.partitionBy("shard").orderBy("order", "index", "draw")) - 1
+        self.draws = self.drawn.withColumn("place", place).drop("order", "index", "draw")
 
     def taken(self) -> DataFrame:
-        """doc_id, size, source_size, target, taken: how many words of each document are in the mix."""
+        """doc_id, size, source_size, target, taken, shards: how many words of each document are in the mix, and where."""
         keys = ["doc_id", "source", "size", "copy"]
-        words = self.draws.groupBy(keys).agg(F.sum("words").alias("taken"))
+        words = self.drawn.groupBy(keys).agg(F.sum("words").alias("taken"), F.array_sort(F.collect_set("shard")).alias("shards"))
         d = self.documents
         same = d["doc_id"].eqNullSafe(words["doc_id"]) & d["source"].eqNullSafe(words["source"]) & (d["size"] == words["size"]) & (d["copy"] == words["copy"])
-        return d.join(words, same, "left").select(d["doc_id"], d["size"], "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        none = F.array().cast("array<bigint>")
+        return d.join(words, same, "left").select(d["doc_id"], d["size"], "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", none).alias("shards"))
 
 
 def mixed_documents(docs: DataFrame, block_words: int = 128, **options) -> DataFrame:
-    """The mix as documents, with the columns of ``docs``: a row per document and repeat, cut to the drawn blocks."""
+    """The mix as documents, with the columns of ``docs``, shard by shard in the shard's order.
+
+    A row holds what a shard drew of a document in one round: the whole text, or the drawn blocks. n_chars follows the
+    new text; other columns are kept, whatever their names.
+    """
+    names = docs.columns
     mix = Mix(docs, block_words=block_words, **options)
     keys = ["doc_id", "source", "size", "copy"]
-    drawn = mix.draws.groupBy(*keys, "repeat").agg(F.collect_set("block").alias("_drawn")).select(*[F.col(k).alias(f"_{k}") for k in keys], "_drawn")
-    sized = docs.withColumn("_n", word_count(F.col("text")))
+    drawn = mix.drawn.groupBy(*keys, "repeat", "shard").agg(F.collect_set("block").alias("drawn"), F.min("order").alias("order"))
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    of = lambda name: plain[f"c{names.index(name)}"]
+    sized = plain.withColumn("words", word_count(of("text")))
     if mix.documents.where("copy > 1").isEmpty():
-        sized = sized.withColumn("_c", F.lit(1))
+        sized = sized.withColumn("nth", F.lit(1))
     else:
-        sized = sized.withColumn("_c", F.row_number().over(Window.partitionBy("doc_id", "source", "_n").orderBy("text")))
-    same = sized["doc_id"].eqNullSafe(drawn["_doc_id"]) & sized["source"].eqNullSafe(drawn["_source"]) & (sized["_n"] == drawn["_size"]) & (sized["_c"] == drawn["_copy"])
-    words = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
-    part = F.array_join(F.filter(words, lambda w, i: F.array_contains(F.col("_drawn"), F.floor(i / block_words).cast("long"))), "")
-    text = F.when(F.size("_drawn") * block_words >= F.col("_n"), F.col("text")).otherwise(part)
-    changed = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return sized.join(drawn, same).withColumns(changed).select(*docs.columns)
+        sized = sized.withColumn("nth", F.row_number().over(Window.partitionBy(of("doc_id"), of("source"), "words").orderBy(of("text"))))
+    same = of("doc_id").eqNullSafe(drawn["doc_id"]) & of("source").eqNullSafe(drawn["source"]) & (sized["words"] == drawn["size"]) & (sized["nth"] == drawn["copy"])
+    words = F.regexp_extract_all(of("text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    part = F.array_join(F.filter(words, lambda w, i: F.array_contains(F.col("drawn"), F.floor(i / block_words).cast("long"))), "")
+    text = F.when(F.size("drawn") * block_words >= F.col("words"), of("text")).otherwise(part)
+    cut = sized.join(drawn, same).withColumn(f"c{names.index('text')}", text)
+    if "n_chars" in names:
+        cut = cut.withColumn(f"c{names.index('n_chars')}", F.length(f"c{names.index('text')}").cast(docs.schema["n_chars"].dataType))
+    return cut.repartition("shard").sortWithinPartitions("shard", "order").select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

@@ -632,6 +632,28 @@ def test_mixing(spark, docs, empty):
     assert mixing.Mix(empty).taken().count() == 0
 
 
+def test_the_tree_decides_the_mix(spark, docs, monkeypatch):
+    """Each leaf draws what it was dealt, by brute force over the same quotas; other quotas give another mix."""
+    mix = mixing.Mix(docs, shard_words=3_000)
+    draws, leaves = mix.draws.collect(), mix.quotas.collect()
+    order = sorted({r["source"] for r in docs.collect()}, key=lambda s: (s is None, s or ""))
+    held = Counter((order.index(r["source"]), r["shard"]) for r in draws)
+    assert held == {(r["index"], r["shard"]): r["count"] for r in leaves}
+    shards = defaultdict(set)
+    for r in draws:
+        shards[r["doc_id"], r["size"], r["copy"]].add(r["shard"])
+    got = mix.taken().collect()
+    assert sorted(map(sorted, shards.values())) == sorted(r["shards"] for r in got if r["shards"])
+    real = mixing.shard_quotas
+    monkeypatch.setattr(mixing, "shard_quotas", lambda sources, levels, seed: real(sources, levels, seed + 1))
+    other = mixing.Mix(docs, shard_words=3_000)
+    assert sorted(map(str, other.taken().collect())) != sorted(map(str, got))
+    assert Counter(r["source"] for r in other.draws.collect()) == Counter(r["source"] for r in draws)
+    monkeypatch.setattr(mixing, "shard_quotas", lambda sources, levels, seed: real(sources, levels, seed).where("shard = 0"))
+    first = mixing.Mix(docs, shard_words=3_000)
+    assert sum(r["taken"] for r in first.taken().collect()) == sum(r["words"] for r in draws if r["shard"] == 0)
+
+
 def test_hypergeometric_draws(spark):
     """The mean and the spread of many draws, and the exact distribution of a small one."""
     n = 4000
@@ -656,12 +678,27 @@ def test_quotas_are_dealt_exactly(spark):
 
 
 def test_mixed_documents_hold_the_drawn_words(spark, docs):
-    got = mixing.mixed_documents(docs, block_words=4, shard_words=3_000)
-    assert got.columns == docs.columns
+    clashing = docs.withColumns({c: F.lit(1) for c in ("words", "nth", "drawn", "shard", "order", "_n", "_c")})
+    got = mixing.mixed_documents(clashing, block_words=4, shard_words=3_000)
+    assert got.columns == clashing.columns and got.where("words <> 1 or nth <> 1 or shard <> 1 or _n <> 1 or _c <> 1").isEmpty()
     mix = mixing.Mix(docs, block_words=4, shard_words=3_000)
     taken = {(r["doc_id"], r["size"]): r["taken"] for r in mix.taken().collect() if r["doc_id"] not in (None, 4)}
     held = Counter()
     for r in got.collect():
-        assert r["n_chars"] == len(r["text"]) or r["text"] == TEXTS.get(r["doc_id"])
+        assert r["n_chars"] == len(r["text"])
         held[r["doc_id"]] += len(words(r["text"]))
     assert all(held[i] == n for (i, _), n in taken.items())
+    assert got.count() == mix.draws.select("doc_id", "source", "size", "copy", "repeat", "shard").distinct().count()
+
+
+def test_mixed_documents_come_shard_by_shard(spark):
+    frame = spark.createDataFrame([(i, " ".join(f"d{i}w{j}" for j in range(40)), "ab"[i % 2]) for i in range(200)], "doc_id long, text string, source string")
+    place = {r["doc_id"]: (r["shard"], r["place"]) for r in mixing.Mix(frame, shard_words=1_000).draws.where("repeat = 0").collect()}
+    parts = mixing.mixed_documents(frame, shard_words=1_000).withColumn("p", F.spark_partition_id()).collect()
+    by_part = defaultdict(list)
+    for r in parts:
+        by_part[r["p"]].append(r["doc_id"])
+    assert len({s for s, _ in place.values()}) >= 8
+    for ids in by_part.values():
+        once = [place[i] for i in ids if ids.count(i) == 1 and sum(r["doc_id"] == i for r in parts) == 1]
+        assert once == sorted(once)
