@@ -1,13 +1,15 @@
 """Main text of web pages: flat text blocks, shallow features of neighbours, a decision tree.
 
-A page is read tag by tag into a flat list of text blocks; scripts, styles and other content that is not shown give
-none. Each block is described by its number of words and link density, those of the blocks before and after it, and
-whether an element around it marks it as page furniture or as article. A decision tree, grown on the small labelled
-table in html_blocks, says which blocks are main text.
-
-Defined cases: null html, no block of main text, or an empty page give empty text; a cut page is read as far as it
-goes; a null page_id or url is kept; repeated rows are answered each; an empty table gives no rows; other columns are
-ignored.
+A page is read tag by tag, in time that grows with its length only, into a flat list of text blocks; scripts, styles and
+other content that is not shown give none. Each block is described by its number of words and link density, those of the
+blocks before and after it, and by what the page says of the elements around it: whether they are page furniture, hold
+an article, or hold an article in something named like furniture. A decision tree, grown on the small labelled table in
+html_blocks, says from these which blocks are main text. Marks weigh most where a page has them; without an article
+element words and links decide, and a block can be main text or not by its neighbours alone.
+
+Defined cases: null html, no block of main text, or an empty page give empty text; a page that is cut inside a tag,
+comment, script or style ends there; other elements may stay open; a null page_id or url is kept; repeated rows are
+answered each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,42 +39,51 @@ FURNITURE_WORDS = frozenset(
 )
 ARTICLE_WORDS = frozenset("article post entry story content maincontent main".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
-_BROKEN = re.compile(r"<(?:[a-zA-Z/!?][^<]*)?$")
-_MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDES = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_WORDS = re.compile(r"[a-z]+")
+#: Names that begin so say what a layout goes with, not what the element is.
+MODIFIERS = frozenset("with has no is without js".split())
+
+#: A tag from its < on. A value in quotes follows its = at once; any other quote is a character like others. Nothing is
+#: tried twice, so a tag that never ends takes one pass.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|["'=])*+)>""")
+_MARKS = re.compile(r"""(?<![^\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_HIDES = re.compile(r"""(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_PARTS = re.compile(r"[^a-z]+")
 
 
 def _role(tag: str, attributes: str, in_article: bool) -> str:
-    """'x' for page furniture, 'a' for article, '-' for neither."""
+    """'x' for page furniture by its element, 'n' for page furniture by its name, 'a' for article, '-' for none of these."""
     if tag in FURNITURE or tag == "header" and not in_article:
         return "x"
-    if tag in ARTICLE:
-        return "a"
+    marks: set[str] = set()
+    furniture = False
     if attributes:
-        if "hidden" in attributes or "display" in attributes:
-            if _HIDES.search(attributes):
-                return "x"
-        marks = set()
-        for m in _MARKS.findall(attributes):
-            marks.update(_WORDS.findall(m.lower()))
-        if marks & FURNITURE_WORDS and tag not in ("body", "html"):
+        if _HIDES.search(attributes):
             return "x"
-        if marks & ARTICLE_WORDS:
-            return "a"
-    return "-"
+        for found in _MARKS.findall(attributes):
+            for name in "".join(found).lower().split():
+                parts = [x for x in _PARTS.split(name) if x]
+                if parts and parts[0] not in MODIFIERS:
+                    marks.update(parts)
+                    furniture |= not FURNITURE_WORDS.isdisjoint(parts)
+    if furniture and tag not in ("body", "html", "main"):
+        return "n"
+    return "a" if tag in ARTICLE or not ARTICLE_WORDS.isdisjoint(marks) else "-"
+
 
+Block = tuple[str, int, int, bool, bool, bool]
 
-def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
-    """(text, words, linked words, furniture, article) of each block that has text, in page order."""
-    out: list[tuple[str, int, int, bool, bool]] = []
+
+def blocks(html: str) -> list[Block]:
+    """(text, words, linked words, furniture, outer, article) of each block that has text, in page order."""
+    out: list[Block] = []
     open_: list[tuple[str, str]] = []
+    by_tag: dict[str, int] = {}  # how many of each are open
     parts: list[str] = []
     linked: list[str] = []
-    furniture = article = 0
+    counts = {"x": 0, "n": 0, "a": 0}
+    outside: list[int] = []  # for each open article, the names of furniture around it
     in_link = 0
-    hidden: str | None = None
+    unclosed: set[str] = set()  # elements that are not closed from here on
     at = 0
 
     def flush() -> None:
@@ -80,37 +91,66 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
             words = unescape("".join(parts)).split()
             if words:
                 in_links = len(unescape(" ".join(linked)).split()) if linked else 0
-                out.append((" ".join(words), len(words), min(in_links, len(words)), furniture > 0, article > 0))
+                around = outside[-1] if outside else 0
+                out.append((" ".join(words), len(words), min(in_links, len(words)), counts["x"] > 0 or counts["n"] > around, around > 0, counts["a"] > 0))
             parts.clear()
             linked.clear()
 
-    def pop(count: int) -> None:
-        nonlocal furniture, article
-        for _ in range(count):
-            role = open_.pop()[1]
-            furniture -= role == "x"
-            article -= role == "a"
-
-    for m in _TOKEN.finditer(html):
-        start = m.start()
-        if start < at:
-            continue
-        if hidden is None and start > at:
-            text = html[at:start]
-            parts.append(text)
+    def push(tag: str, role: str) -> None:
+        open_.append((tag, role))
+        by_tag[tag] = by_tag.get(tag, 0) + 1
+        if role != "-":
+            counts[role] += 1
+        if role == "a":
+            outside.append(counts["n"])
+
+    def pop() -> str:
+        tag, role = open_.pop()
+        by_tag[tag] -= 1
+        if role != "-":
+            counts[role] -= 1
+        if role == "a":
+            outside.pop()
+        return tag
+
+    def text(upto: int) -> None:
+        if upto > at:
+            parts.append(html[at:upto])
             if in_link:
-                linked.append(text)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+                linked.append(html[at:upto])
+
+    while (lt := html.find("<", at)) >= 0:
+        after = html[lt + 1 : lt + 2]
+        if after in ("!", "?"):
+            text(lt)
+            comment = html.startswith("<!--", lt)
+            end = html.find("-->" if comment else ">", lt + 2)
+            at = len(html) if end < 0 else end + (3 if comment else 1)
             continue
-        tag = tag.lower()
-        if hidden is not None:
+        m = _TAG.match(html, lt) if after.isascii() and (after.isalpha() or after == "/" and html[lt + 2 : lt + 3].isalpha()) else None
+        if m is None:
+            if after.isascii() and after.isalpha() or after in ("/", ""):
+                text(lt)
+                at = len(html) if html.find(">", lt) < 0 else lt + 1 if after not in ("/", "") else html.find(">", lt) + 1
+                if at == lt + 1:
+                    parts.append("<")
+                continue
+            text(lt + 1)
+            at = lt + 1
             continue
+        text(lt)
+        at = m.end()
+        tag = m[2].lower()
         if not m[1]:
             if tag in HIDDEN and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else len(html) if tag in ("script", "style") else at
+                if tag not in unclosed:
+                    end = re.compile(rf"</{re.escape(tag)}(?![\w-])[^>]*+>", re.I).search(html, at)
+                    if end:
+                        at = end.end()
+                    else:
+                        unclosed.add(tag)
+                if tag in unclosed and tag in ("script", "style", "textarea", "title"):
+                    at = len(html)
                 continue
             if tag in VOID:
                 if tag == "br":
@@ -124,37 +164,32 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
             flush()
             in_link = 0
             if tag in CLOSES_P and open_ and open_[-1][0] == tag:
-                pop(1)
-            role = _role(tag, m[3], article > 0)
-            open_.append((tag, role))
-            furniture += role == "x"
-            article += role == "a"
+                pop()
+            push(tag, _role(tag, m[3], counts["a"] > 0))
         elif tag in INLINE:
             if tag == "a" and in_link:
                 in_link -= 1
         else:
             flush()
             in_link = 0
-            for depth, (name, _) in enumerate(reversed(open_), 1):
-                if name == tag:
-                    pop(depth)
-                    break
-    if at < len(html):
-        parts.append(_BROKEN.sub("", html[at:]))
+            if by_tag.get(tag):
+                while pop() != tag:
+                    pass
+    text(len(html))
     flush()
     return out
 
 
-def features(found: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
+def features(found: list[Block]) -> np.ndarray:
     """One row per block, with the columns of LABELLED but the last."""
     words = np.array([b[1] for b in found], float)
     density = np.array([b[2] for b in found], float) / np.maximum(words, 1)
     shift = lambda x, by: np.concatenate([[0.0], x[:-1]] if by > 0 else [x[1:], [0.0]])
-    marks = np.array([b[3:] for b in found], float).reshape(-1, 2)
+    marks = np.array([b[3:] for b in found], float).reshape(-1, 3)
     return np.column_stack([shift(words, 1), shift(density, 1), words, density, shift(words, -1), shift(density, -1), marks])
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 2):
     """A classification tree by Gini impurity: (feature, cut, below or equal, above), or a leaf's label."""
     if depth == 0 or len(y) < 2 * least or y.min() == y.max():
         return bool(y.mean() >= 0.5)

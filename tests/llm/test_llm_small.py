@@ -182,6 +182,71 @@ def test_the_tree_knows_its_table():
     assert (html_extract.decide(html_extract.trained_tree(), rows[:, :-1]) == rows[:, -1]).mean() > 0.95
 
 
+def extracted(page):
+    return html_extract.main_text(page, html_extract.trained_tree())
+
+
+PROSE = "This is a paragraph of running text that goes on for quite a while, as articles do, with no link in it at all."
+
+
+def test_marks_around_an_article():
+    body = f"<article><h1>Head</h1><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p></article>"
+    want = f"Head\n{PROSE}\nShort one.\n{PROSE}"
+    for names in ("content with-sidebar", "has-header page", "js-nav wrap"):
+        assert extracted(f'<div class="{names}">{body}</div>') == want
+    assert extracted(f'<div class="page-header-layout"><article><p>{PROSE} {PROSE}</p><p>{PROSE} {PROSE}</p></article></div>') == f"{PROSE} {PROSE}\n{PROSE} {PROSE}"
+    assert extracted(f'<div class="comment-list">{body.replace("article", "div")}</div>') == ""
+    assert extracted(f'<main><h1>Head</h1><p>{PROSE}</p><section id=comments><article class="comment"><p>{PROSE}</p></article></section></main>') == f"Head\n{PROSE}"
+    assert extracted(f'<aside>{body}</aside><div class="ad-slot"><p>{PROSE}</p></div>') == ""
+
+
+def test_odd_markup():
+    assert extracted(f"<article><p title=it's>one {PROSE}<p data-x='a>b' title=\"c>d\">two<p>a < b <3 &lt; {PROSE}</article>") == f"one {PROSE}\ntwo\na < b <3 < {PROSE}"
+    assert extracted(f"<article><p>{PROSE}<svg><p>{PROSE}<br/>x</p><script>var a = '<p>'") == f"{PROSE}\n{PROSE} x"
+    assert extracted(f"<article><p>{PROSE}</p></nonsense></div><P CLASS=x>{PROSE}") == f"{PROSE}\n{PROSE}"
+
+
+def test_long_pages_take_time_in_proportion():
+    import time
+
+    for part in ('<a href="x ', '<p>a<div class="', "<svg>x", "<!-- ", "<div>x</p>", "< a <", "<p title='", "<script>", "<b", "<div "):
+        began = time.process_time()
+        extracted(part * (1_000_000 // len(part)))
+        assert time.process_time() - began < 6
+
+
+def test_neighbours_alone_decide():
+    """The same block of words is main text between paragraphs and none between links."""
+    tree, block = html_extract.trained_tree(), "Twelve words stand here and they could be part of anything at all."
+    between = lambda around: f"<div>{around}</div><div>{block}</div><div>{around}</div>"
+    assert block in html_extract.main_text(between(f"{PROSE} {PROSE}"), tree) and block not in html_extract.main_text(between("<a href=x>Read more</a>"), tree)
+    used = set()
+
+    def walk(t):
+        if not isinstance(t, bool):
+            used.add(t[0])
+            walk(t[2])
+            walk(t[3])
+
+    walk(tree)
+    assert {0, 1, 2, 3, 4, 5} <= used
+
+
+def test_pages_without_article_elements(spark):
+    """Real pages, their marks taken away: what share of the text found is main text, and the other way round."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()
+    hit = found = wanted = 0
+    for (html,) in pages:
+        want = Counter(extracted(html).split())
+        plain = html.replace(' class="ad"', "")
+        for name in ("article", "nav", "footer"):
+            plain = plain.replace(f"<{name}>", "<div>").replace(f"</{name}>", "</div>")
+        got = Counter(extracted(plain).split())
+        hit, found, wanted = hit + sum((got & want).values()), found + sum(got.values()), wanted + sum(want.values())
+    print(f"precision {hit / found:.3f}, recall {hit / wanted:.3f}")
+    assert hit / found > 0.95 and hit / wanted > 0.85
+
+
 def test_density_alone_finds_an_article_without_markup():
     prose = "This is a paragraph of running text that goes on for quite a while, as articles do, with no link in it at all."
     page = f"<div><a href=a>Home</a></div><div><a href=b>News</a></div><div>{prose}</div><div>{prose}</div><div><a href=c>About us</a></div>"
