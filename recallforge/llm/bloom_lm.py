@@ -1,20 +1,21 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-All training documents are counted: single words and, as contexts with their next word, pairs. A count c is quantised to
-level 1 + floor(log_BASE(c / smallest)), and the filter holds an n-gram once for each level up to its own. A reader probes
-level 1, 2, ... until a probe fails, and so gets the level back, or with a small chance a higher one. Nothing is left out:
-pairs that occur once are held too.
-
-The filter is blocked: all bits of an n-gram lie in one segment of a fixed size, so segments are built by separate tasks
-of equal size. Segments grow in number with what is to be held, so the error rate is the same at every size. Up to
-MOST_SEGMENTS of them go to the driver and from there to all workers. More are not collected: texts are dealt to portions
-by their hash, each portion's n-grams are sent to their segments, which are built and probed in one task each, and the
-levels go back to the portions. Both ways give the same scores.
-
-A word's probability mixes the pair's relative frequency with the word's own. How much weight the pair gets depends on
-the history alone: much if the last pair was far more likely than its words apart, as in a passage that the training
-documents repeat, little otherwise. Single words are smoothed by adding a half and scaled by the sum over the
-vocabulary of what the filter was given, so that probabilities sum to one but for false positives.
+All training documents are counted: single words and, as contexts with their next word, pairs. A count is quantised to
+a level (counts up to EXACT have levels of their own, from there on a level is a factor of BASE wide), and the filter
+holds an n-gram once for each level up to its own. A reader probes levels, each twice as far as the one before and then
+between the last two, and so gets the level back, or with a small chance a higher one. Nothing is left out: pairs that
+occur once are held too. Of a single word's count the filter also holds three bits that say where in its level it lies.
+
+The filter is blocked: all bits of an n-gram's level lie in one line of 64 bytes, and all of its lines in one segment of
+a fixed size, so segments are built by separate tasks of equal size. Segments grow in number with what is to be held, so
+the error rate is the same at every size. Up to MOST_SEGMENTS of them go to the driver and from there to all workers.
+More are not collected: texts are dealt to portions by their hash, each portion's n-grams are sent to their segments,
+which are built and probed in one task each, and the levels go back to the portions. Both ways give the same scores.
+
+A word's probability is ``(c(context, word) + m * p(word)) / (c(context) + m)``, m being ``c(context) ** PRIOR``: the
+rarer the context, the more its words weigh. A pair's count is taken as the mean of the counts that have its level, so
+counts of a context's pairs sum to the context's, and probabilities over the vocabulary sum to one, but for quantisation
+and false positives. p(word) adds a half to counts taken likewise, which sum to the number of training tokens.
 
 Exact counts, for the base score, come in two parts at every size. The most frequent words, at most ``frequent_words`` of
 them, are sent to all workers as a sorted table; they make up most of any text. A document's other words are joined with
@@ -35,14 +36,17 @@ from pyspark.sql import functions as F
 
 from ._shared import _MULTIPLIER, ensure_importable, frugal, hashed_words, id_bucket, mixed, stored
 
-BASE = 1.4
-#: Smallest counts held, by order.
-SMALLEST = {1: 1, 2: 1}
+#: Counts up to EXACT have a level each; above, a level holds counts of a factor of BASE.
+BASE, EXACT = 1.1, 10
+LEVELS = 330
 #: So many segments are sent to all workers; n-grams are sent to more.
 SEGMENT_BITS, MOST_SEGMENTS = 1 << 23, 128
-BITS_PER_ENTRY, PROBES = 12, 6
-#: Weight of the pair after an unremarkable and after a far likelier pair, and how much likelier that is.
-LITTLE, MUCH, FAR = 0.05, 0.8, 100.0
+LINE_BITS = 512
+BITS_PER_ENTRY, PROBES = 13, 5
+#: How fast a context's own counts outweigh those of single words.
+PRIOR = 0.75
+#: Bits that say where in its level a single word's count lies.
+FINE_BITS = 3
 #: A quarter of the tokens that are counted at a time.
 PORTION = 500_000
 #: Bytes of distinct texts that are scored at a time where n-grams are sent to segments.
@@ -102,21 +106,28 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
 
 
 def level_column():
-    """The quantised level of column c, for its order."""
-    smallest = F.when(F.col("order") == 1, float(SMALLEST[1])).otherwise(float(SMALLEST[2]))
-    return (F.floor(F.log(F.col("c") / smallest) / math.log(BASE) + 1e-9) + 1).cast("int")
+    """The quantised level of column c."""
+    above = F.lit(EXACT) + F.floor(F.log(F.col("c") / EXACT) / math.log(BASE) + 1e-9)
+    return F.when(F.col("c") <= EXACT, F.col("c")).otherwise(above).cast("int")
 
 
-def lower_edges(order: int, levels: int = 140) -> np.ndarray:
+def lower_edges() -> np.ndarray:
     """By level, the smallest count that has it; 0 for level 0."""
-    edges = np.ceil(SMALLEST[order] * BASE ** np.arange(levels) - 1e-6)
-    return np.concatenate([[0.0], edges])
+    levels = np.arange(LEVELS + 1)
+    return np.where(levels <= EXACT, levels, np.ceil(EXACT * BASE ** np.maximum(levels - EXACT, 0.0) - 1e-6)).astype(float)
 
 
-def middles(levels: int = 140) -> np.ndarray:
-    """By level, a single word's count as the model takes it: the middle of the counts that have the level."""
-    edge = lower_edges(1, levels + 1)
-    return np.concatenate([[0.0], (edge[1:-1] + np.maximum(edge[2:] - 1, edge[1:-1])) / 2])
+def fine_part(c: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """In which of 1 << FINE_BITS parts of its level a count lies."""
+    edges = lower_edges()
+    return np.floor((c - edges[level]) * (1 << FINE_BITS) / (edges[level + 1] - edges[level])).astype(np.int64)
+
+
+def fine_count(level: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The count that a level and a part of it stand for; exact where parts hold one count at most."""
+    edges = lower_edges()
+    step = (edges[level + 1] - edges[level]) / (1 << FINE_BITS)
+    return np.where(level > 0, edges[level] + np.ceil(part * step - 1e-9) + np.maximum(0.0, (step - 1) / 2), 0.0)
 
 
 class LogFrequencyBloom:
@@ -125,28 +136,44 @@ class LogFrequencyBloom:
         self.segments = len(segments)
 
     @staticmethod
-    def positions(key: np.ndarray, level: np.ndarray | int, probe: int) -> np.ndarray:
-        """A bit within the segment, for the n-gram, the level and the number of the probe."""
+    def places(key: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """The line within the segment, as its first bit, for the n-gram and the level, and a hash that has the probes."""
         with np.errstate(over="ignore"):
-            salt = np.uint64(0x632BE59BD9B4E019) * (np.asarray(level, np.uint64) * np.uint64(PROBES) + np.uint64(probe + 1))
-            return (mixed(key ^ salt) >> np.uint64(64 - 23)).astype(np.int64)
+            h = mixed(key ^ (np.asarray(level).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)))
+        return ((h >> np.uint64(64 - 14)) * np.uint64(LINE_BITS)).astype(np.int64), h
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """By n-gram, the level before the first one that a probe does not find."""
-        out = np.zeros(len(keys), np.int64)
+    @staticmethod
+    def probe(h: np.ndarray, number: int) -> np.ndarray:
+        return ((h >> np.uint64(9 * number)) & np.uint64(LINE_BITS - 1)).astype(np.int64)
+
+    def holds(self, keys: np.ndarray, level: np.ndarray | int) -> np.ndarray:
+        """Whether the filter has each n-gram at the level."""
+        line, h = self.places(keys, level)
+        line += (keys % np.uint64(self.segments)).astype(np.int64) * SEGMENT_BITS
+        out = np.zeros(len(keys), bool)
         live = np.arange(len(keys))
-        if not self.segments:
-            return out
-        base = (keys % np.uint64(self.segments)).astype(np.int64) * (SEGMENT_BITS // 8)
-        for level in range(1, 140):
-            for probe in range(PROBES):
-                at = self.positions(keys[live], level, probe)
-                live = live[(self.bits[base[live] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1]
-                if not len(live):
-                    return out
-            out[live] = level
+        for number in range(PROBES):
+            at = line[live] + self.probe(h[live], number)
+            live = live[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            if not len(live):
+                return out
+        out[live] = True
         return out
 
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """By n-gram, the highest level that the filter has: first in steps that double, then halving what is between."""
+        have, lack = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        live, level = np.arange(len(keys) if self.segments else 0), 1
+        while len(live):
+            hit = self.holds(keys[live], level) if level <= LEVELS else np.zeros(len(live), bool)
+            have[live[hit]], lack[live[~hit]] = level, level
+            live, level = live[hit], 2 * level
+        while len(live := np.flatnonzero(lack - have > 1)):
+            middle = (have[live] + lack[live]) // 2
+            hit = self.holds(keys[live], middle)
+            have[live[hit]], lack[live[~hit]] = middle[hit], middle[~hit]
+        return np.minimum(have, LEVELS - 1)
+
 
 def keyed(order: int, h: np.ndarray) -> np.ndarray:
     """What the filter holds of an n-gram: orders are kept apart."""
@@ -154,22 +181,45 @@ def keyed(order: int, h: np.ndarray) -> np.ndarray:
         return mixed(h + np.uint64(order) * _MULTIPLIER)
 
 
-def segments_for(counts: DataFrame) -> int:
-    """How many segments hold ``counts`` (order, h, c) at BITS_PER_ENTRY; one entry for each level of an n-gram."""
-    entries = counts.agg(F.sum(level_column())).first()[0] or 0
+def segments_for(entries: int) -> int:
+    """How many segments hold so many entries at BITS_PER_ENTRY."""
     return max(1, math.ceil(entries * BITS_PER_ENTRY / SEGMENT_BITS))
 
 
+class Quantised:
+    """What is known of all counts (order, h, c): how many there are at each level, and their mean."""
+
+    def __init__(self, counts: DataFrame) -> None:
+        rows = counts.groupBy("order", level_column().alias("level")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()  # a row per level
+        self.means, self.kinds, self.total, self.entries = {}, {1: 0, 2: 0}, {1: 0, 2: 0}, 0
+        for order in (1, 2):
+            self.means[order] = lower_edges()
+            for r in (r for r in rows if r["order"] == order):
+                self.means[order][r["level"]] = r["c"] / r["n"]
+                self.kinds[order] += r["n"]
+                self.total[order] += r["c"]
+                self.entries += r["n"] * (r["level"] + (FINE_BITS // 2 if order == 1 and r["level"] > EXACT else 0))
+        #: What single words' counts, each with a half added, sum to, one unseen word among them.
+        self.whole = self.total[1] + 0.5 * (self.kinds[1] + 1)
+
+
 def placed(counts: DataFrame, segments: int) -> DataFrame:
-    """(segment, k, level): the n-grams of ``counts`` as the filter holds them."""
+    """(segment, k, level): the n-grams of ``counts`` as the filter holds them, with the fine bits of single words."""
 
     def key(batches):
         for b in batches:
-            h, order = b.column(1).to_numpy().view(np.uint64), b.column(0).to_numpy()
-            k = np.where(order == 1, keyed(1, h), keyed(2, h))
-            yield pa.RecordBatch.from_arrays([pa.array((k % np.uint64(segments)).astype(np.int32)), pa.array(k.view(np.int64)), b.column(2)], ["segment", "k", "level"])
+            order, h, c, level = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(), b.column(3).to_numpy()
+            keys, levels = [np.where(order == 1, keyed(1, h), keyed(2, h))], [level]
+            wide = np.flatnonzero((order == 1) & (level > EXACT))
+            part = fine_part(c[wide], level[wide])
+            for bit in range(FINE_BITS):
+                has = wide[(part >> bit) & 1 == 1]
+                keys.append(keyed(3 + bit, h[has]))
+                levels.append(np.ones(len(has), np.int32))
+            k = np.concatenate(keys)
+            yield pa.RecordBatch.from_arrays([pa.array((k % np.uint64(segments)).astype(np.int32)), pa.array(k.view(np.int64)), pa.array(np.concatenate(levels).astype(np.int32))], ["segment", "k", "level"])
 
-    return counts.select("order", "h", level_column().alias("level")).mapInArrow(frugal(key), "segment int, k long, level int")
+    return counts.select("order", "h", "c", level_column().alias("level")).mapInArrow(frugal(key), "segment int, k long, level int")
 
 
 def built_segment(held: pa.Table) -> bytes:
@@ -177,15 +227,16 @@ def built_segment(held: pa.Table) -> bytes:
     bits = np.zeros(SEGMENT_BITS, bool)
     k, most = held.column("k").to_numpy().view(np.uint64), held.column("level").to_numpy()
     for level in range(1, int(most.max(initial=0)) + 1):
-        k, most = k[most >= level], most[most >= level]
-        for probe in range(PROBES):
-            bits[LogFrequencyBloom.positions(k, level, probe)] = True
+        up = most >= level
+        k, most = k[up], most[up]
+        line, h = LogFrequencyBloom.places(k, level)
+        for number in range(PROBES):
+            bits[line + LogFrequencyBloom.probe(h, number)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def build_filter(counts: DataFrame, segments: int | None = None) -> LogFrequencyBloom:
+def build_filter(counts: DataFrame, segments: int) -> LogFrequencyBloom:
     """The filter that holds ``counts`` (order, h, c), in the driver's memory."""
-    segments = segments or segments_for(counts)
 
     def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([built_segment(table)], pa.binary())})
@@ -206,7 +257,7 @@ class Levels:
         return self.level[np.searchsorted(self.k, keys)]
 
 
-def sent_scores(docs: DataFrame, counts: DataFrame, segments: int, scale: float) -> DataFrame:
+def sent_scores(docs: DataFrame, counts: DataFrame, segments: int, known: Quantised) -> DataFrame:
     """(k, score) of the distinct texts of ``docs`` (k, text), k being the hash of the text; n-grams are sent to segments.
 
     A portion sends each of its n-grams once, so the most common one is sent once for each PORTION_BYTES of text.
@@ -218,7 +269,8 @@ def sent_scores(docs: DataFrame, counts: DataFrame, segments: int, scale: float)
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         h, n = tokens(table.column("text").to_pylist())
-        k = np.unique(np.concatenate([keyed(1, np.unique(h)), keyed(2, np.unique(pairs(h, n)[1]))]))
+        seen = np.unique(h)
+        k = np.unique(np.concatenate([keyed(1, seen), *(keyed(3 + bit, seen) for bit in range(FINE_BITS)), keyed(2, np.unique(pairs(h, n)[1]))]))
         return pa.table({"segment": pa.array((k % np.uint64(segments)).astype(np.int32)), "portion": pa.array(np.full(len(k), key[0].as_py())), "k": pa.array(k.view(np.int64))})
 
     def answer(held: pa.Table, asked: pa.Table) -> pa.Table:
@@ -228,8 +280,8 @@ def sent_scores(docs: DataFrame, counts: DataFrame, segments: int, scale: float)
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         h, n = tokens(table.column("text").to_pylist())
         seen, at = np.unique(h, return_inverse=True)
-        known = Levels(answers.column("k").to_numpy().view(np.uint64), answers.column("level").to_numpy().astype(np.int64))
-        logs = log_probabilities(known, scale, h, n, seen, at)
+        levels = Levels(answers.column("k").to_numpy().view(np.uint64), answers.column("level").to_numpy().astype(np.int64))
+        logs = log_probabilities(levels, known, h, n, seen, at)
         return pa.table({"k": table.column("k"), "score": pa.array(np.add.reduceat(logs, np.cumsum(n) - n))})
 
     asked = texts.groupBy("portion").applyInArrow(ask, "segment int, portion long, k long")
@@ -237,26 +289,21 @@ def sent_scores(docs: DataFrame, counts: DataFrame, segments: int, scale: float)
     return stored(texts.groupBy("portion").cogroup(answers.groupBy("portion")).applyInArrow(score, "k long, score double"), "sent")
 
 
-def log_probabilities(bloom: LogFrequencyBloom | Levels, scale: float, h: np.ndarray, counts: np.ndarray, seen: np.ndarray, at: np.ndarray) -> np.ndarray:
+def log_probabilities(bloom: LogFrequencyBloom | Levels, known: Quantised, h: np.ndarray, counts: np.ndarray, seen: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log10 probability of every token given the one before it; ``seen[at]`` is ``h``."""
-    both = pairs(h, counts)[1]
     single = bloom.levels(keyed(1, seen))
-    own = ((middles()[single] + 0.5) / scale)[at]
-    edges = lower_edges(1)
-    most = np.append(np.maximum(edges[1:][single] - 1, 1), 0.0)  # the largest count of the level; last, that of the start
-    pair, where = np.unique(both, return_inverse=True)
-    found = lower_edges(2)[bloom.levels(keyed(2, pair))][where]
-    context_at = np.empty(len(h), np.int64)
-    context_at[1:] = at[:-1]
-    starts = np.cumsum(counts) - counts
-    context_at[starts] = len(seen)
-    most[-1] = edges[1:][bloom.levels(keyed(1, np.array([END], np.uint64)))[0]] - 1  # texts begin as often as they end
-    relative = np.minimum(found / np.maximum(most[context_at], 1), 1.0)
-    likelier = relative > FAR * own
-    weight = np.full(len(h), LITTLE)
-    weight[1:][likelier[:-1]] = MUCH
-    weight[starts] = LITTLE
-    return np.log10(weight * relative + (1 - weight) * own)
+    own = ((known.means[1][single] + 0.5) / known.whole)[at]
+    part, wide = np.zeros(len(seen), np.int64), np.flatnonzero(single > EXACT)
+    for bit in range(FINE_BITS):
+        part[wide] |= (bloom.levels(keyed(3 + bit, seen[wide])) > 0).astype(np.int64) << bit
+    of_word = fine_count(single, part)
+    pair, where = np.unique(pairs(h, counts)[1], return_inverse=True)
+    both = known.means[2][bloom.levels(keyed(2, pair))][where]
+    context = np.empty(len(h))
+    context[1:] = of_word[at[:-1]]
+    context[np.cumsum(counts) - counts] = of_word[np.searchsorted(seen, END)]  # texts begin as often as they end
+    prior = np.maximum(context, 1.0) ** PRIOR
+    return np.log10((np.minimum(both, context) + prior * own) / (context + prior))
 
 
 SCORES = "doc_id long, k long, h long, tf long, held_out boolean, n_tokens long, score double, n_known long, base_score double"
@@ -295,16 +342,13 @@ def score_documents(docs: DataFrame, frequent_words: int = FREQUENT_WORDS) -> Da
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
     counted = stored(ngram_counts(docs.where(~F.col("held_out"))), "ngrams")
     words = counted.where("order = 1").withColumn("level", level_column())
-    middle = F.element_at(F.array(*[F.lit(float(x)) for x in middles()[1:]]), F.col("level"))
-    sums = words.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(middle).alias("taken")).first()
-    n, v = sums["n"] or 0, sums["v"]
-    segments = segments_for(counted)
+    quantised = Quantised(counted)
+    n, whole = quantised.total[1], quantised.whole
+    segments = segments_for(quantised.entries)
     bloom = build_filter(counted, segments) if segments <= MOST_SEGMENTS else None
-    scale = (sums["taken"] or 0.0) + 0.5 * (v + 1)
     counts_ = Counts(words, frequent_words)
     least = counts_.least
     filter_, known = spark.sparkContext.broadcast(bloom), spark.sparkContext.broadcast(counts_)
-    whole = n + 0.5 * (v + 1)
 
     def score(batches):
         """A row with the word 0 for each document, and one for each of its words whose count is not held here."""
@@ -316,7 +360,7 @@ def score_documents(docs: DataFrame, frequent_words: int = FREQUENT_WORDS) -> Da
             c = known.value.of(seen)
             logs = np.log10((np.maximum(c, 0) + 0.5) / whole) * (c >= 0)
             add = lambda x: pa.array(np.add.reduceat(x, starts))
-            scores = pa.nulls(len(counts), pa.float64()) if bloom is None else add(log_probabilities(bloom, scale, h, counts, seen, at))
+            scores = pa.nulls(len(counts), pa.float64()) if bloom is None else add(log_probabilities(bloom, quantised, h, counts, seen, at))
             own = [part.column(1), pa.array(counts), scores, add((c > 0)[at].astype(np.int64)), add(logs[at])]
             rare = np.flatnonzero((c < 0)[at])
             row, word = np.repeat(np.arange(len(counts)), counts)[rare], at[rare]
@@ -332,7 +376,7 @@ def score_documents(docs: DataFrame, frequent_words: int = FREQUENT_WORDS) -> Da
     keyed_docs = docs.select("doc_id", "held_out", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("k"))
     every = stored(keyed_docs.mapInArrow(frugal(score), SCORES), "scores")
     if bloom is None:
-        sent = sent_scores(keyed_docs.select("k", "text"), counted, segments, scale)
+        sent = sent_scores(keyed_docs.select("k", "text"), counted, segments, quantised)
         every = every.drop("score").join(sent, "k").select(every.columns)
     scored, each = every.where("h = 0").drop("h", "tf"), every.select("doc_id", "k", "h", "tf")
     found = each.join(words.where(F.col("level") < least).select("h", "c"), "h", "left")

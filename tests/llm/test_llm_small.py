@@ -533,13 +533,25 @@ def test_language_model_on_nothing(spark, empty):
     assert (row["train_tokens"], row["n_known"], row["n_tokens"]) == (0, 0, 3) and np.isfinite(row["score"])
 
 
+def level_of(c):
+    return c if c <= 10 else 10 + int(np.floor(np.log(c / 10) / np.log(1.1) + 1e-9))
+
+
+def test_levels_and_fine_counts():
+    edges, counts = bloom_lm.lower_edges(), np.arange(1, 200_000)
+    levels = np.array([level_of(c) for c in counts])
+    assert (edges[levels] <= counts).all() and (counts < edges[levels + 1]).all()
+    back = bloom_lm.fine_count(levels, bloom_lm.fine_part(counts, levels))
+    assert (back[:80] == counts[:80]).all() and (np.abs(back / counts - 1) < 0.015).all()
+
+
 def test_filter_gives_levels_back(spark):
     rng = np.random.default_rng(4)
     keys = rng.integers(-(2**63), 2**63, 3000)
     count = rng.integers(1, 5000, 3000)
     frame = spark.createDataFrame([(1, int(k), int(c)) for k, c in zip(keys, count)], "order byte, h long, c long")
-    bloom = bloom_lm.build_filter(frame)
-    want = np.floor(np.log(count) / np.log(bloom_lm.BASE) + 1e-9).astype(int) + 1
+    bloom = bloom_lm.build_filter(frame, 1)
+    want = np.array([level_of(c) for c in count])
     got = bloom.levels(bloom_lm.keyed(1, keys.view(np.uint64)))
     assert (got >= want).all() and (got == want).mean() > 0.97
     assert (bloom.levels(bloom_lm.keyed(1, rng.integers(0, 2**63, 3000).view(np.uint64))) == 0).mean() > 0.97
@@ -555,7 +567,8 @@ def test_pairs_that_occur_once_count(spark):
 
 def test_filter_grows_with_its_entries(spark, monkeypatch):
     monkeypatch.setattr(bloom_lm, "MOST_SEGMENTS", 1)
-    bloom = bloom_lm.build_filter(spark.range(3_000_000).select(F.lit(1).cast("byte").alias("order"), F.xxhash64("id").alias("h"), F.lit(1).alias("c")))
+    frame = spark.range(3_000_000).select(F.lit(1).cast("byte").alias("order"), F.xxhash64("id").alias("h"), F.lit(1).cast("long").alias("c"))
+    bloom = bloom_lm.build_filter(frame, bloom_lm.segments_for(bloom_lm.Quantised(frame).entries))
     unseen = np.random.default_rng(8).integers(0, 2**63, 20_000).view(np.uint64)
     assert bloom.segments == 5 and (bloom.levels(bloom_lm.keyed(1, unseen)) > 0).mean() < 0.01
 
@@ -573,19 +586,67 @@ def test_scores_are_the_same_when_segments_stay_where_they_are(spark, docs, empt
     assert bloom_lm.score_documents(empty).count() == 0
 
 
-def test_probabilities_sum_to_one_at_most(spark):
-    vocabulary = [f"v{i}" for i in range(30)]
-    rng = np.random.default_rng(6)
-    texts = [" ".join(rng.choice(vocabulary, 12, p=np.arange(1, 31) / 465)) for _ in range(200)]
-    counted = bloom_lm.ngram_counts(spark.createDataFrame([(t,) for t in texts], "text string")).where("order = 1 or c >= 2").cache()
-    bloom = bloom_lm.build_filter(counted)
-    taken = counted.where("order = 1").withColumn("level", bloom_lm.level_column()).select("level").toPandas()["level"]
-    scale = bloom_lm.middles()[taken].sum() + 0.5 * (len(taken) + 1)
-    for context in ("v29", "v3"):
-        h, n = bloom_lm.tokens([f"{context} {w}".encode() for w in vocabulary])
-        seen, at = np.unique(h, return_inverse=True)
-        p = 10 ** bloom_lm.log_probabilities(bloom, scale, h, n, seen, at)
-        assert 0.8 < p[1::3].sum() <= 1.03
+def brute_force_model(texts):
+    """log10 probability of a text, from exact counts at the levels that the filter keeps."""
+    ones, twos = Counter(), Counter()
+    for t in texts:
+        w = [*words(t), b" end"]
+        ones.update(w)
+        twos.update(zip([b" start", *w], w))
+    means = []
+    for counts in (ones, twos):
+        by = defaultdict(list)
+        for c in counts.values():
+            by[level_of(c)].append(c)
+        means.append({lv: sum(c) / len(c) for lv, c in by.items()})
+    whole = sum(ones.values()) + 0.5 * (len(ones) + 1)
+
+    def probability(context, word):
+        own = ((means[0][level_of(ones[word])] if ones[word] else 0) + 0.5) / whole
+        n = ones[b" end" if context == b" start" else context]
+        level = level_of(n) if n else 0
+        n = float(bloom_lm.fine_count(np.array([level]), bloom_lm.fine_part(np.array([n]), np.array([level])))[0])
+        both = means[1][level_of(twos[context, word])] if twos[context, word] else 0
+        prior = max(n, 1) ** bloom_lm.PRIOR
+        return (min(both, n) + prior * own) / (n + prior)
+
+    return probability, ones
+
+
+def random_texts(n=200, size=12):
+    vocabulary, rng = [f"v{i}" for i in range(30)], np.random.default_rng(6)
+    return [" ".join(rng.choice(vocabulary, size, p=np.arange(1, 31) / 465)) for _ in range(n)]
+
+
+def test_scores_equal_brute_force(spark):
+    texts = [*random_texts(), "a passage that is unlike all others", "a passage that is unlike all others", "", "new words only"]
+    rows = list(enumerate(texts))
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    probability, _ = brute_force_model(train)
+    for r in bloom_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        w = [*words(texts[r["doc_id"]]), b" end"]
+        assert r["score"] == pytest.approx(sum(log10(probability(a, b)) for a, b in zip([b" start", *w], w)))
+
+
+def test_probabilities_sum_to_one():
+    """Over the vocabulary and one unseen word, after contexts of all kinds."""
+    probability, ones = brute_force_model(random_texts(2_000))
+    for context in (b" start", b"v29", b"v3", b"v0", b"unseen"):
+        assert sum(probability(context, w) for w in [*ones, b"another"]) == pytest.approx(1, abs=0.01)
+    probability, ones = brute_force_model([" ".join(f"r{i}" for i in range(300)), "r1 r3"])
+    for context in (b"r1", b"r7", b" start", b"unseen"):
+        assert sum(probability(context, w) for w in [*ones, b"another"]) == pytest.approx(1, abs=0.01)
+
+
+def test_a_passage_of_the_training_documents_scores_higher(spark):
+    rng = np.random.default_rng(11)
+    train, held = ([i for i in range(3000) if (zlib.crc32(str(i).encode()) % 5 == 1) is out] for out in (False, True))
+    new = lambda: " ".join(rng.choice([f"w{i}" for i in range(3000)], 60))
+    texts = {i: new() for i in [*train[:400], *held[:100]]}
+    for i in range(50):
+        texts[held[i]] = texts[train[i]]
+    got = {r["doc_id"]: (r["score"] - r["base_score"]) / r["n_tokens"] for r in bloom_lm.score_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert min(got[i] for i in held[:50]) > max(got[i] for i in held[50:100])
 
 
 # --- 7
