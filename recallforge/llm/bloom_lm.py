@@ -6,11 +6,12 @@ holds an n-gram once for each level up to its own. A reader probes levels, each
 between the last two, and so gets the level back, or with a small chance a higher one. Nothing is left out: pairs that
 occur once are held too. Of a single word's count the filter also holds three bits that say where in its level it lies.
 
-The filter is blocked: all bits of an n-gram's level lie in one line of 64 bytes, and all of its lines in one segment of
-a fixed size, so segments are built by separate tasks of equal size. Segments grow in number with what is to be held, so
-the error rate is the same at every size. Up to MOST_SEGMENTS of them go to the driver and from there to all workers.
-More are not collected: texts are dealt to portions by their hash, each portion's n-grams are sent to their segments,
-which are built and probed in one task each, and the levels go back to the portions. Both ways give the same scores.
+N-grams are counted where they are held: a worker counts a portion of the text, packs what belongs to each bucket of
+n-grams into one row, and a bucket's task adds up its rows and builds its segment of the filter, as large as its entries
+need. So the error rate is the same at every size. Within a segment all bits of an n-gram's level lie in one line of 64
+bytes. Segments of at most MOST_BYTES together go to the driver and from there to all workers. More are not collected:
+texts are dealt to portions by their hash, each portion's n-grams are sent to their buckets, probed there, and the
+levels go back to the portions. Both ways give the same scores.
 
 A word's probability is ``(c(context, word) + m * p(word)) / (c(context) + m)``, m being ``c(context) ** PRIOR``: the
 rarer the context, the more its words weigh. A pair's count is taken as the mean of the counts that have its level, so
@@ -39,10 +40,11 @@ from ._shared import _MULTIPLIER, ensure_importable, frugal, hashed_words, id_bu
 #: Counts up to EXACT have a level each; above, a level holds counts of a factor of BASE.
 BASE, EXACT = 1.1, 10
 LEVELS = 330
-#: So many segments are sent to all workers; n-grams are sent to more.
-SEGMENT_BITS, MOST_SEGMENTS = 1 << 23, 128
-LINE_BITS = 512
-BITS_PER_ENTRY, PROBES = 13, 5
+#: Segments of so many bytes are sent to all workers; n-grams are sent to more.
+MOST_BYTES = 160 << 20
+#: Bytes of training text whose n-grams make a bucket, on average.
+BUCKET_BYTES = 2 << 20
+LINE_BITS, BITS_PER_ENTRY, PROBES = 512, 12, 5
 #: How fast a context's own counts outweigh those of single words.
 PRIOR = 0.75
 #: Bits that say where in its level a single word's count lies.
@@ -77,21 +79,28 @@ def slices(batches, rows: int = 400):
             yield batch.slice(at, rows)
 
 
-def ngram_counts(docs: DataFrame) -> DataFrame:
-    """(order, h, c): all single tokens and pairs of the column text, counted."""
+def packed_counts(docs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, words, data): the tokens and pairs of the column text, counted a portion at a time; ``data`` holds the
+    hashes and counts of so many ``words``, then those of pairs."""
 
     def count(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def out():
-            for order, kind in ((1, 0), (2, 1)):
-                h, c = np.unique(np.concatenate([x[kind] for x in held]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), order, np.int8)), pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["order", "h", "c"])
+            h, c = np.unique(np.concatenate([x[0] for x in held]), return_counts=True)
+            p, d = np.unique(np.concatenate([x[1] for x in held]), return_counts=True)
+            rows = []
+            words_, pairs_ = dealt(keyed(1, h), buckets), dealt(p, buckets)
+            for bucket in sorted(words_.keys() | pairs_.keys()):
+                w, q = words_.get(bucket, NONE), pairs_.get(bucket, NONE)
+                rows.append((bucket, len(w), b"".join(x.tobytes() for x in (h[w], c[w].astype("<u4"), p[q], d[q].astype("<u4")))))
+            for at in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 64]), (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "words", "data"])
 
         for part in slices(batches):
             h, n = tokens(part.column(0).to_pylist())
-            held.append((h, pairs(h, n)[1]))
+            held.append((h, keyed(2, pairs(h, n)[1])))
             size += len(h)
             if size >= 4 * PORTION:
                 yield from out()
@@ -101,14 +110,27 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
             yield from out()
 
     ensure_importable(docs.sparkSession)
-    found = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(frugal(count), "order byte, h long, c long")
-    return found.groupBy("order", "h").agg(F.sum("c").alias("c"))
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(frugal(count), "bucket int, words int, data binary")
 
 
-def level_column():
-    """The quantised level of column c."""
-    above = F.lit(EXACT) + F.floor(F.log(F.col("c") / EXACT) / math.log(BASE) + 1e-9)
-    return F.when(F.col("c") <= EXACT, F.col("c")).otherwise(above).cast("int")
+NONE = np.empty(0, np.int64)
+
+
+def dealt(keys: np.ndarray, buckets: int) -> dict[int, np.ndarray]:
+    """By bucket, where its keys are."""
+    of = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    present, firsts = np.unique(of[order], return_index=True)
+    return dict(zip(present.tolist(), np.split(order, firsts[1:])))
+
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    k, c = np.concatenate([NONE.astype(np.uint64), *keys]), np.concatenate([NONE, *counts]).astype(np.int64)
+    order = np.argsort(k)
+    k = k[order]
+    firsts = np.flatnonzero(np.diff(k, prepend=k[:1] + np.uint64(1)))
+    return k[firsts], np.add.reduceat(c[order], firsts) if len(firsts) else NONE
 
 
 def lower_edges() -> np.ndarray:
@@ -130,134 +152,178 @@ def fine_count(level: np.ndarray, part: np.ndarray) -> np.ndarray:
     return np.where(level > 0, edges[level] + np.ceil(part * step - 1e-9) + np.maximum(0.0, (step - 1) / 2), 0.0)
 
 
+def level_of(c: np.ndarray) -> np.ndarray:
+    """The quantised level of counts."""
+    above = EXACT + np.floor(np.log(np.maximum(c, 1) / EXACT) / math.log(BASE) + 1e-9)
+    return np.where(c <= EXACT, c, above).astype(np.int64)
+
+
+def keyed(order: int, h: np.ndarray) -> np.ndarray:
+    """What the filter holds of an n-gram: orders are kept apart."""
+    with np.errstate(over="ignore"):
+        return mixed(h + np.uint64(order) * _MULTIPLIER)
+
+
+def places(key: np.ndarray, level: np.ndarray | int, lines: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """The line of an n-gram's level, among the ``lines`` of its segment, and a hash that has its probes."""
+    with np.errstate(over="ignore"):
+        h = mixed(key ^ (np.asarray(level).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)))
+        return (((h >> np.uint64(40)) * np.asarray(lines).astype(np.uint64)) >> np.uint64(24)).astype(np.int64), h
+
+
+def probe(h: np.ndarray, number: int) -> np.ndarray:
+    return ((h >> np.uint64(9 * number)) & np.uint64(LINE_BITS - 1)).astype(np.int64)
+
+
+def built_segment(words: np.ndarray, counts: np.ndarray, pair_keys: np.ndarray, pair_counts: np.ndarray) -> bytes:
+    """The bits of the segment that holds words (by hash) and pairs (by key) with their counts."""
+    own, level = keyed(1, words), level_of(counts)
+    keys, levels = [own, pair_keys], [level, level_of(pair_counts)]
+    wide = np.flatnonzero(level > EXACT)
+    part = fine_part(counts[wide], level[wide])
+    for bit in range(FINE_BITS):
+        has = wide[(part >> bit) & 1 == 1]
+        keys.append(keyed(3 + bit, words[has]))
+        levels.append(np.ones(len(has), np.int64))
+    k, most = np.concatenate(keys), np.concatenate(levels)
+    lines = max(1, math.ceil(int(most.sum()) * BITS_PER_ENTRY / LINE_BITS))
+    bits = np.zeros(lines * LINE_BITS, bool)
+    for at in range(1, int(most.max(initial=0)) + 1):
+        up = most >= at
+        k, most = k[up], most[up]
+        line, h = places(k, at, lines)
+        for number in range(PROBES):
+            bits[line * LINE_BITS + probe(h, number)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 class LogFrequencyBloom:
+    """Segments by bucket; a bucket that holds nothing has an empty one."""
+
     def __init__(self, segments: list[bytes]) -> None:
         self.bits = np.frombuffer(b"".join(segments), np.uint8)
-        self.segments = len(segments)
-
-    @staticmethod
-    def places(key: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-        """The line within the segment, as its first bit, for the n-gram and the level, and a hash that has the probes."""
-        with np.errstate(over="ignore"):
-            h = mixed(key ^ (np.asarray(level).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)))
-        return ((h >> np.uint64(64 - 14)) * np.uint64(LINE_BITS)).astype(np.int64), h
-
-    @staticmethod
-    def probe(h: np.ndarray, number: int) -> np.ndarray:
-        return ((h >> np.uint64(9 * number)) & np.uint64(LINE_BITS - 1)).astype(np.int64)
+        self.lines = np.array([len(x) * 8 // LINE_BITS for x in segments], np.int64)
+        self.first = np.cumsum(self.lines) - self.lines
 
-    def holds(self, keys: np.ndarray, level: np.ndarray | int) -> np.ndarray:
+    def holds(self, bucket: np.ndarray, keys: np.ndarray, level: np.ndarray | int) -> np.ndarray:
         """Whether the filter has each n-gram at the level."""
-        line, h = self.places(keys, level)
-        line += (keys % np.uint64(self.segments)).astype(np.int64) * SEGMENT_BITS
+        line, h = places(keys, level, self.lines[bucket])
+        line = (line + self.first[bucket]) * LINE_BITS
         out = np.zeros(len(keys), bool)
-        live = np.arange(len(keys))
+        live = np.flatnonzero(self.lines[bucket] > 0)
         for number in range(PROBES):
-            at = line[live] + self.probe(h[live], number)
+            at = line[live] + probe(h[live], number)
             live = live[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
             if not len(live):
                 return out
         out[live] = True
         return out
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
+    def levels(self, bucket: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """By n-gram, the highest level that the filter has: first in steps that double, then halving what is between."""
         have, lack = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        live, level = np.arange(len(keys) if self.segments else 0), 1
+        live, level = np.arange(len(keys)), 1
         while len(live):
-            hit = self.holds(keys[live], level) if level <= LEVELS else np.zeros(len(live), bool)
+            hit = self.holds(bucket[live], keys[live], level) if level <= LEVELS else np.zeros(len(live), bool)
             have[live[hit]], lack[live[~hit]] = level, level
             live, level = live[hit], 2 * level
         while len(live := np.flatnonzero(lack - have > 1)):
             middle = (have[live] + lack[live]) // 2
-            hit = self.holds(keys[live], middle)
+            hit = self.holds(bucket[live], keys[live], middle)
             have[live[hit]], lack[live[~hit]] = middle[hit], middle[~hit]
         return np.minimum(have, LEVELS - 1)
 
+    def of_pairs(self, keys: np.ndarray) -> np.ndarray:
+        return self.levels((keys % np.uint64(len(self.lines))).astype(np.int64), keys)
 
-def keyed(order: int, h: np.ndarray) -> np.ndarray:
-    """What the filter holds of an n-gram: orders are kept apart."""
-    with np.errstate(over="ignore"):
-        return mixed(h + np.uint64(order) * _MULTIPLIER)
+    def of_words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Levels, and the parts of them that counts lie in."""
+        own = keyed(1, h)
+        bucket = (own % np.uint64(len(self.lines))).astype(np.int64)
+        level, part = self.levels(bucket, own), np.zeros(len(h), np.int64)
+        wide = np.flatnonzero(level > EXACT)
+        for bit in range(FINE_BITS):
+            part[wide] |= self.holds(bucket[wide], keyed(3 + bit, h[wide]), 1).astype(np.int64) << bit
+        return level, part
 
 
-def segments_for(entries: int) -> int:
-    """How many segments hold so many entries at BITS_PER_ENTRY."""
-    return max(1, math.ceil(entries * BITS_PER_ENTRY / SEGMENT_BITS))
+class Levels:
+    """What the filter said of some n-grams, to be asked like the filter; keys in order."""
+
+    def __init__(self, words: np.ndarray, levels: np.ndarray, parts: np.ndarray, pair_keys: np.ndarray, pair_levels: np.ndarray) -> None:
+        self.words, self.word_levels, self.parts, self.pairs, self.pair_levels = words, levels, parts, pair_keys, pair_levels
+
+    def of_pairs(self, keys: np.ndarray) -> np.ndarray:
+        return self.pair_levels[np.searchsorted(self.pairs, keys)]
+
+    def of_words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.words, h)
+        return self.word_levels[at], self.parts[at]
+
+
+#: kind 0: a bucket's segment, in data; 1: a word h and its count c; 2: how many (n) words (h = 1) or pairs (h = 2) of a
+#: level there are, and the sum of their counts.
+MODEL = "kind byte, bucket int, h long, c long, level int, n long, data binary"
+
+
+def model_table(docs: DataFrame) -> tuple[DataFrame, int]:
+    """A table of MODEL of the column text of ``docs``, and how many buckets it has."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, math.ceil(size / BUCKET_BYTES))
+    schema = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("level", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
+
+    def fold(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        found: list[list[np.ndarray]] = [[], [], [], []]
+        for n, data in zip(table.column("words").to_pylist(), table.column("data").to_pylist()):
+            m = len(data) // 12 - n
+            at = 0
+            for out, (kind, count) in zip(found, (("<u8", n), ("<u4", n), ("<u8", m), ("<u4", m))):
+                out.append(np.frombuffer(data, kind, count, at))
+                at += count * int(kind[2])
+        h, c = summed(found[0], found[1])
+        p, d = summed(found[2], found[3])
+        parts = [pa.table([pa.array([x], f.type) for x, f in zip((0, key[0].as_py(), None, None, None, None, built_segment(h, c, p, d)), schema)], schema)]
+        none = lambda n, f: pa.nulls(n, f.type)
+        level = level_of(c)
+        columns = {"kind": np.ones(len(h), np.int8), "h": h.view(np.int64), "c": c, "level": level.astype(np.int32)}
+        parts.append(pa.table([pa.array(columns[f.name], f.type) if f.name in columns else none(len(h), f) for f in schema], schema))
+        for order, counts, levels in ((1, c, level), (2, d, level_of(d))):
+            at = np.unique(levels)
+            columns = {"kind": np.full(len(at), 2, np.int8), "h": np.full(len(at), order), "c": np.bincount(levels, counts)[at].astype(np.int64) if len(at) else NONE, "level": at.astype(np.int32), "n": np.bincount(levels)[at] if len(at) else NONE}
+            parts.append(pa.table([pa.array(columns[f.name], f.type) if f.name in columns else none(len(at), f) for f in schema], schema))
+        return pa.concat_tables(parts)
+
+    return stored(packed_counts(docs, buckets).groupBy("bucket").applyInArrow(fold, MODEL), "model"), buckets
 
 
 class Quantised:
-    """What is known of all counts (order, h, c): how many there are at each level, and their mean."""
+    """What is known of all counts: how many there are at each level, and their mean."""
 
-    def __init__(self, counts: DataFrame) -> None:
-        rows = counts.groupBy("order", level_column().alias("level")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()  # a row per level
-        self.means, self.kinds, self.total, self.entries = {}, {1: 0, 2: 0}, {1: 0, 2: 0}, 0
+    def __init__(self, model: DataFrame) -> None:
+        rows = model.where("kind = 2").groupBy("h", "level").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).collect()  # a row per level
+        self.means, self.kinds, self.total = {}, {1: 0, 2: 0}, {1: 0, 2: 0}
         for order in (1, 2):
             self.means[order] = lower_edges()
-            for r in (r for r in rows if r["order"] == order):
+            for r in (r for r in rows if r["h"] == order):
                 self.means[order][r["level"]] = r["c"] / r["n"]
                 self.kinds[order] += r["n"]
                 self.total[order] += r["c"]
-                self.entries += r["n"] * (r["level"] + (FINE_BITS // 2 if order == 1 and r["level"] > EXACT else 0))
         #: What single words' counts, each with a half added, sum to, one unseen word among them.
         self.whole = self.total[1] + 0.5 * (self.kinds[1] + 1)
 
 
-def placed(counts: DataFrame, segments: int) -> DataFrame:
-    """(segment, k, level): the n-grams of ``counts`` as the filter holds them, with the fine bits of single words."""
-
-    def key(batches):
-        for b in batches:
-            order, h, c, level = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(), b.column(3).to_numpy()
-            keys, levels = [np.where(order == 1, keyed(1, h), keyed(2, h))], [level]
-            wide = np.flatnonzero((order == 1) & (level > EXACT))
-            part = fine_part(c[wide], level[wide])
-            for bit in range(FINE_BITS):
-                has = wide[(part >> bit) & 1 == 1]
-                keys.append(keyed(3 + bit, h[has]))
-                levels.append(np.ones(len(has), np.int32))
-            k = np.concatenate(keys)
-            yield pa.RecordBatch.from_arrays([pa.array((k % np.uint64(segments)).astype(np.int32)), pa.array(k.view(np.int64)), pa.array(np.concatenate(levels).astype(np.int32))], ["segment", "k", "level"])
-
-    return counts.select("order", "h", "c", level_column().alias("level")).mapInArrow(frugal(key), "segment int, k long, level int")
-
-
-def built_segment(held: pa.Table) -> bytes:
-    """The bits of the segment that holds ``held`` (k, level)."""
-    bits = np.zeros(SEGMENT_BITS, bool)
-    k, most = held.column("k").to_numpy().view(np.uint64), held.column("level").to_numpy()
-    for level in range(1, int(most.max(initial=0)) + 1):
-        up = most >= level
-        k, most = k[up], most[up]
-        line, h = LogFrequencyBloom.places(k, level)
-        for number in range(PROBES):
-            bits[line + LogFrequencyBloom.probe(h, number)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def build_filter(counts: DataFrame, segments: int) -> LogFrequencyBloom:
-    """The filter that holds ``counts`` (order, h, c), in the driver's memory."""
-
-    def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([built_segment(table)], pa.binary())})
-
-    built = placed(counts, segments).groupBy("segment").applyInArrow(build, "segment int, data binary")
-    found = {r["segment"]: bytes(r["data"]) for r in built.collect()}  # a row of 1 MB for each segment
-    return LogFrequencyBloom([found.get(i, bytes(SEGMENT_BITS // 8)) for i in range(segments)] if found else [])
-
-
-class Levels:
-    """What the filter said of some n-grams, to be asked like the filter."""
-
-    def __init__(self, keys: np.ndarray, levels: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.k, self.level = keys[order], levels[order]
+def collected(model: DataFrame, buckets: int, most: int = -1) -> LogFrequencyBloom | None:
+    """The filter in the driver's memory; None if it has more bytes than ``most``, or MOST_BYTES."""
+    held = model.where("kind = 0")
+    if (held.agg(F.sum(F.octet_length("data"))).first()[0] or 0) > (MOST_BYTES if most < 0 else most):
+        return None
+    segments = [b""] * buckets
+    for r in held.select("bucket", "data").toLocalIterator():
+        segments[r["bucket"]] = bytes(r["data"])
+    return LogFrequencyBloom(segments)
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        return self.level[np.searchsorted(self.k, keys)]
 
-
-def sent_scores(docs: DataFrame, counts: DataFrame, segments: int, known: Quantised) -> DataFrame:
+def sent_scores(docs: DataFrame, model: DataFrame, buckets: int, known: Quantised) -> DataFrame:
     """(k, score) of the distinct texts of ``docs`` (k, text), k being the hash of the text; n-grams are sent to segments.
 
     A portion sends each of its n-grams once, so the most common one is sent once for each PORTION_BYTES of text.
@@ -267,38 +333,49 @@ def sent_scores(docs: DataFrame, counts: DataFrame, segments: int, known: Quanti
     portions = math.ceil(size / PORTION_BYTES) + 1
     texts = texts.select(F.pmod(F.xxhash64("k"), F.lit(portions)).alias("portion"), "k", "text")
 
-    def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    def asks(table: pa.Table):
+        """Of a portion: tokens, how many each text has, distinct words and pairs in order, and which each bucket has."""
         h, n = tokens(table.column("text").to_pylist())
-        seen = np.unique(h)
-        k = np.unique(np.concatenate([keyed(1, seen), *(keyed(3 + bit, seen) for bit in range(FINE_BITS)), keyed(2, np.unique(pairs(h, n)[1]))]))
-        return pa.table({"segment": pa.array((k % np.uint64(segments)).astype(np.int32)), "portion": pa.array(np.full(len(k), key[0].as_py())), "k": pa.array(k.view(np.int64))})
+        w, p = np.unique(h), np.unique(keyed(2, pairs(h, n)[1]))
+        return h, n, w, p, dealt(keyed(1, w), buckets), dealt(p, buckets)
+
+    def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        _, _, w, p, words_, pairs_ = asks(table)
+        of = sorted(words_.keys() | pairs_.keys())
+        data = [(w[words_.get(b, NONE)].tobytes(), p[pairs_.get(b, NONE)].tobytes()) for b in of]
+        return pa.table({"bucket": pa.array(of, pa.int32()), "portion": pa.array([key[0].as_py()] * len(of), pa.int64()), "words": pa.array([x[0] for x in data], pa.binary()), "pairs": pa.array([x[1] for x in data], pa.binary())})
 
     def answer(held: pa.Table, asked: pa.Table) -> pa.Table:
-        levels = LogFrequencyBloom([built_segment(held)]).levels(asked.column("k").to_numpy().view(np.uint64)) if len(asked) else np.empty(0, np.int64)
-        return pa.table({"portion": asked.column("portion"), "k": asked.column("k"), "level": pa.array(levels.astype(np.int16))})
+        bloom = LogFrequencyBloom([held.column("data")[0].as_py() if held.num_rows else b""])
+        out = []
+        for w, p in zip(asked.column("words").to_pylist(), asked.column("pairs").to_pylist()):
+            level, part = bloom.of_words(np.frombuffer(w, "<u8"))
+            out.append(((level << FINE_BITS | part).astype("<u2").tobytes(), bloom.of_pairs(np.frombuffer(p, "<u8")).astype("<u2").tobytes()))
+        return pa.table({"portion": asked.column("portion"), "bucket": asked.column("bucket"), "words": pa.array([x[0] for x in out], pa.binary()), "pairs": pa.array([x[1] for x in out], pa.binary())})
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
-        h, n = tokens(table.column("text").to_pylist())
+        h, n, w, p, words_, pairs_ = asks(table)
+        told, levels = np.zeros(len(w), np.int64), np.zeros(len(p), np.int64)
+        for r in answers.to_pylist():
+            told[words_.get(r["bucket"], NONE)] = np.frombuffer(r["words"], "<u2")
+            levels[pairs_.get(r["bucket"], NONE)] = np.frombuffer(r["pairs"], "<u2")
         seen, at = np.unique(h, return_inverse=True)
-        levels = Levels(answers.column("k").to_numpy().view(np.uint64), answers.column("level").to_numpy().astype(np.int64))
-        logs = log_probabilities(levels, known, h, n, seen, at)
+        logs = log_probabilities(Levels(w, told >> FINE_BITS, told & ((1 << FINE_BITS) - 1), p, levels), known, h, n, seen, at)
         return pa.table({"k": table.column("k"), "score": pa.array(np.add.reduceat(logs, np.cumsum(n) - n))})
 
-    asked = texts.groupBy("portion").applyInArrow(ask, "segment int, portion long, k long")
-    answers = placed(counts, segments).groupBy("segment").cogroup(asked.groupBy("segment")).applyInArrow(answer, "portion long, k long, level short")
+    asked = texts.groupBy("portion").applyInArrow(ask, "bucket int, portion long, words binary, pairs binary")
+    held = model.where("kind = 0").select("bucket", "data")
+    answers = held.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, "portion long, bucket int, words binary, pairs binary")
     return stored(texts.groupBy("portion").cogroup(answers.groupBy("portion")).applyInArrow(score, "k long, score double"), "sent")
 
 
 def log_probabilities(bloom: LogFrequencyBloom | Levels, known: Quantised, h: np.ndarray, counts: np.ndarray, seen: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log10 probability of every token given the one before it; ``seen[at]`` is ``h``."""
-    single = bloom.levels(keyed(1, seen))
-    own = ((known.means[1][single] + 0.5) / known.whole)[at]
-    part, wide = np.zeros(len(seen), np.int64), np.flatnonzero(single > EXACT)
-    for bit in range(FINE_BITS):
-        part[wide] |= (bloom.levels(keyed(3 + bit, seen[wide])) > 0).astype(np.int64) << bit
-    of_word = fine_count(single, part)
-    pair, where = np.unique(pairs(h, counts)[1], return_inverse=True)
-    both = known.means[2][bloom.levels(keyed(2, pair))][where]
+    level, part = bloom.of_words(seen)
+    own = ((known.means[1][level] + 0.5) / known.whole)[at]
+    of_word = fine_count(level, part)
+    pair, where = np.unique(keyed(2, pairs(h, counts)[1]), return_inverse=True)
+    both = known.means[2][bloom.of_pairs(pair)][where]
     context = np.empty(len(h))
     context[1:] = of_word[at[:-1]]
     context[np.cumsum(counts) - counts] = of_word[np.searchsorted(seen, END)]  # texts begin as often as they end
@@ -340,12 +417,11 @@ def score_documents(docs: DataFrame, frequent_words: int = FREQUENT_WORDS) -> Da
     ensure_importable(spark)
     held_out = F.coalesce(id_bucket(F.col("doc_id"), 5) == 1, F.lit(False))
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
-    counted = stored(ngram_counts(docs.where(~F.col("held_out"))), "ngrams")
-    words = counted.where("order = 1").withColumn("level", level_column())
-    quantised = Quantised(counted)
+    model, buckets = model_table(docs.where(~F.col("held_out")))
+    words = model.where("kind = 1").select("h", "c", "level")
+    quantised = Quantised(model)
     n, whole = quantised.total[1], quantised.whole
-    segments = segments_for(quantised.entries)
-    bloom = build_filter(counted, segments) if segments <= MOST_SEGMENTS else None
+    bloom = collected(model, buckets)
     counts_ = Counts(words, frequent_words)
     least = counts_.least
     filter_, known = spark.sparkContext.broadcast(bloom), spark.sparkContext.broadcast(counts_)
@@ -376,7 +452,7 @@ def score_documents(docs: DataFrame, frequent_words: int = FREQUENT_WORDS) -> Da
     keyed_docs = docs.select("doc_id", "held_out", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("k"))
     every = stored(keyed_docs.mapInArrow(frugal(score), SCORES), "scores")
     if bloom is None:
-        sent = sent_scores(keyed_docs.select("k", "text"), counted, segments, quantised)
+        sent = sent_scores(keyed_docs.select("k", "text"), model, buckets, quantised)
         every = every.drop("score").join(sent, "k").select(every.columns)
     scored, each = every.where("h = 0").drop("h", "tf"), every.select("doc_id", "k", "h", "tf")
     found = each.join(words.where(F.col("level") < least).select("h", "c"), "h", "left")

@@ -545,16 +545,34 @@ def test_levels_and_fine_counts():
     assert (back[:80] == counts[:80]).all() and (np.abs(back / counts - 1) < 0.015).all()
 
 
-def test_filter_gives_levels_back(spark):
+def test_filter_gives_levels_back():
     rng = np.random.default_rng(4)
-    keys = rng.integers(-(2**63), 2**63, 3000)
-    count = rng.integers(1, 5000, 3000)
-    frame = spark.createDataFrame([(1, int(k), int(c)) for k, c in zip(keys, count)], "order byte, h long, c long")
-    bloom = bloom_lm.build_filter(frame, 1)
-    want = np.array([level_of(c) for c in count])
-    got = bloom.levels(bloom_lm.keyed(1, keys.view(np.uint64)))
-    assert (got >= want).all() and (got == want).mean() > 0.97
-    assert (bloom.levels(bloom_lm.keyed(1, rng.integers(0, 2**63, 3000).view(np.uint64))) == 0).mean() > 0.97
+    words_, pairs_, new = (rng.integers(0, 2**63, 3000).view(np.uint64) for _ in range(3))
+    counts = rng.integers(1, 5000, 3000)
+    for buckets in (1, 7):
+        of = [bloom_lm.dealt(k, buckets) for k in (bloom_lm.keyed(1, words_), pairs_)]
+        bloom = bloom_lm.LogFrequencyBloom([bloom_lm.built_segment(words_[of[0][b]], counts[of[0][b]], pairs_[of[1][b]], counts[of[1][b]]) for b in range(buckets)])
+        want = np.array([level_of(c) for c in counts])
+        (level, part), both = bloom.of_words(words_), bloom.of_pairs(pairs_)
+        assert (level >= want).all() and (both >= want).all() and (level == want).mean() > 0.96 and (both == want).mean() > 0.96
+        assert (np.abs(bloom_lm.fine_count(level, part) / counts - 1) < 0.015).mean() > 0.93
+        assert (bloom.of_pairs(new) == 0).mean() > 0.98 and (bloom.of_words(new)[0] == 0).mean() > 0.98
+
+
+def test_filter_grows_with_its_entries():
+    rng = np.random.default_rng(8)
+    rates, sizes = [], []
+    for n in (2_000, 20_000, 300_000):
+        data = bloom_lm.built_segment(np.empty(0, np.uint64), np.empty(0, np.int64), rng.integers(0, 2**63, n).view(np.uint64), np.ones(n, np.int64))
+        sizes.append(len(data) * 8 / n)
+        rates.append((bloom_lm.LogFrequencyBloom([data]).of_pairs(rng.integers(0, 2**63, 200_000).view(np.uint64)) > 0).mean())
+    assert max(sizes) < 12.5 and max(rates) < 0.01
+
+
+def test_hashes_are_summed():
+    keys = [np.array(x, np.uint64) for x in ([3, 9], [], [1, 3, 2**64 - 1])]
+    k, c = bloom_lm.summed(keys, [np.array(x, np.int64) for x in ([1, 2], [], [4, 5, 6])])
+    assert k.tolist() == [1, 3, 9, 2**64 - 1] and c.tolist() == [4, 6, 2, 6] and len(bloom_lm.summed([], [])[0]) == 0
 
 
 def test_pairs_that_occur_once_count(spark):
@@ -565,24 +583,16 @@ def test_pairs_that_occur_once_count(spark):
     assert score[held[0]] > score[held[1]] + 0.5
 
 
-def test_filter_grows_with_its_entries(spark, monkeypatch):
-    monkeypatch.setattr(bloom_lm, "MOST_SEGMENTS", 1)
-    frame = spark.range(3_000_000).select(F.lit(1).cast("byte").alias("order"), F.xxhash64("id").alias("h"), F.lit(1).cast("long").alias("c"))
-    bloom = bloom_lm.build_filter(frame, bloom_lm.segments_for(bloom_lm.Quantised(frame).entries))
-    unseen = np.random.default_rng(8).integers(0, 2**63, 20_000).view(np.uint64)
-    assert bloom.segments == 5 and (bloom.levels(bloom_lm.keyed(1, unseen)) > 0).mean() < 0.01
-
-
 def test_scores_are_the_same_when_segments_stay_where_they_are(spark, docs, empty, monkeypatch):
-    monkeypatch.setattr(bloom_lm, "BITS_PER_ENTRY", 1 << 19)  # many segments, though there is little to hold
+    monkeypatch.setattr(bloom_lm, "BUCKET_BYTES", 10_000)
     monkeypatch.setattr(bloom_lm, "PORTION_BYTES", 50_000)
     found = []
-    for most in (1 << 20, 3):
-        monkeypatch.setattr(bloom_lm, "MOST_SEGMENTS", most)
+    for most in (1 << 30, 100):
+        monkeypatch.setattr(bloom_lm, "MOST_BYTES", most)
         found.append(sorted(map(tuple, bloom_lm.score_documents(docs).collect()), key=str))
     assert len(found[0]) == docs.count() and [r[:5] for r in found[0]] == [r[:5] for r in found[1]]
     assert np.allclose(np.array([r[5:] for r in found[0]]), np.array([r[5:] for r in found[1]]), rtol=1e-12)
-    monkeypatch.setattr(bloom_lm, "MOST_SEGMENTS", 0)
+    monkeypatch.setattr(bloom_lm, "MOST_BYTES", 0)
     assert bloom_lm.score_documents(empty).count() == 0
 
 
@@ -618,7 +628,8 @@ def random_texts(n=200, size=12):
     return [" ".join(rng.choice(vocabulary, size, p=np.arange(1, 31) / 465)) for _ in range(n)]
 
 
-def test_scores_equal_brute_force(spark):
+def test_scores_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "BITS_PER_ENTRY", 1_000)  # no false positives
     texts = [*random_texts(), "a passage that is unlike all others", "a passage that is unlike all others", "", "new words only"]
     rows = list(enumerate(texts))
     train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
