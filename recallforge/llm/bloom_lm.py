@@ -50,7 +50,7 @@ PRIOR = 0.75
 #: Bits that say where in its level a single word's count lies.
 FINE_BITS = 3
 #: A quarter of the tokens that are counted at a time.
-PORTION = 500_000
+PORTION = 350_000
 #: Bytes of distinct texts that are scored at a time where n-grams are sent to segments.
 PORTION_BYTES = 4 << 20
 FREQUENT_WORDS = 1_000_000
@@ -175,7 +175,7 @@ def probe(h: np.ndarray, number: int) -> np.ndarray:
     return ((h >> np.uint64(9 * number)) & np.uint64(LINE_BITS - 1)).astype(np.int64)
 
 
-def built_segment(words: np.ndarray, counts: np.ndarray, pair_keys: np.ndarray, pair_counts: np.ndarray) -> bytes:
+def built_segment(words: np.ndarray, counts: np.ndarray, pair_keys: np.ndarray, pair_counts: np.ndarray, bits_per_entry: int = BITS_PER_ENTRY) -> bytes:
     """The bits of the segment that holds words (by hash) and pairs (by key) with their counts."""
     own, level = keyed(1, words), level_of(counts)
     keys, levels = [own, pair_keys], [level, level_of(pair_counts)]
@@ -186,7 +186,7 @@ def built_segment(words: np.ndarray, counts: np.ndarray, pair_keys: np.ndarray,
         keys.append(keyed(3 + bit, words[has]))
         levels.append(np.ones(len(has), np.int64))
     k, most = np.concatenate(keys), np.concatenate(levels)
-    lines = max(1, math.ceil(int(most.sum()) * BITS_PER_ENTRY / LINE_BITS))
+    lines = max(1, math.ceil(int(most.sum()) * bits_per_entry / LINE_BITS))
     bits = np.zeros(lines * LINE_BITS, bool)
     for at in range(1, int(most.max(initial=0)) + 1):
         up = most >= at
@@ -266,7 +266,7 @@ class Levels:
 MODEL = "kind byte, bucket int, h long, c long, level int, n long, data binary"
 
 
-def model_table(docs: DataFrame) -> tuple[DataFrame, int]:
+def model_table(docs: DataFrame, bits_per_entry: int = BITS_PER_ENTRY) -> tuple[DataFrame, int]:
     """A table of MODEL of the column text of ``docs``, and how many buckets it has."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
@@ -282,7 +282,7 @@ def model_table(docs: DataFrame) -> tuple[DataFrame, int]:
                 at += count * int(kind[2])
         h, c = summed(found[0], found[1])
         p, d = summed(found[2], found[3])
-        parts = [pa.table([pa.array([x], f.type) for x, f in zip((0, key[0].as_py(), None, None, None, None, built_segment(h, c, p, d)), schema)], schema)]
+        parts = [pa.table([pa.array([x], f.type) for x, f in zip((0, key[0].as_py(), None, None, None, None, built_segment(h, c, p, d, bits_per_entry)), schema)], schema)]
         none = lambda n, f: pa.nulls(n, f.type)
         level = level_of(c)
         columns = {"kind": np.ones(len(h), np.int8), "h": h.view(np.int64), "c": c, "level": level.astype(np.int32)}
@@ -411,13 +411,13 @@ class Counts:
         return np.where(self.h[at] == h, self.c[at], -1)
 
 
-def score_documents(docs: DataFrame, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
+def score_documents(docs: DataFrame, frequent_words: int = FREQUENT_WORDS, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
     spark = docs.sparkSession
     ensure_importable(spark)
     held_out = F.coalesce(id_bucket(F.col("doc_id"), 5) == 1, F.lit(False))
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
-    model, buckets = model_table(docs.where(~F.col("held_out")))
+    model, buckets = model_table(docs.where(~F.col("held_out")), bits_per_entry)
     words = model.where("kind = 1").select("h", "c", "level")
     quantised = Quantised(model)
     n, whole = quantised.total[1], quantised.whole

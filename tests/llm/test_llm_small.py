@@ -628,13 +628,13 @@ def random_texts(n=200, size=12):
     return [" ".join(rng.choice(vocabulary, size, p=np.arange(1, 31) / 465)) for _ in range(n)]
 
 
-def test_scores_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(bloom_lm, "BITS_PER_ENTRY", 1_000)  # no false positives
+def test_scores_equal_brute_force(spark):
     texts = [*random_texts(), "a passage that is unlike all others", "a passage that is unlike all others", "", "new words only"]
     rows = list(enumerate(texts))
     train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
     probability, _ = brute_force_model(train)
-    for r in bloom_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in bloom_lm.score_documents(frame, bits_per_entry=1_000).collect():  # no false positives
         w = [*words(texts[r["doc_id"]]), b" end"]
         assert r["score"] == pytest.approx(sum(log10(probability(a, b)) for a, b in zip([b" start", *w], w)))
 
