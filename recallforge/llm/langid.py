@@ -2,121 +2,172 @@
 
 A word seen in training scores by its log frequency in each language. An unseen word falls back to the longest of its
 character n-grams that training saw, then to shorter ones, and at last to nothing. A text's language is the one with
-the largest sum over all of its words; the score is its share when the sums are taken as log likelihoods.
+the largest sum over all of its words; the score is its share when the sums are taken as log likelihoods. A word is a
+maximal run of letters, in lower case.
 
 The tables are learned from labelled documents. ``sample_docs`` bounds, in expectation, how many are used (a hash of the
-text picks them), ``most_words`` and ``most_grams`` bound the tables by frequency, so what is sent to workers is bounded
-too. Every text is read whole, in training and in prediction.
+text picks them); all their words and n-grams are held, so what is sent to workers is bounded by the sample. Every text
+is read whole, in training and in prediction.
+
+Texts are split in Arrow's compiled functions; each distinct token is scored once per worker, a batch of new ones at a
+time, and a text's score is gathered from those of its tokens.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is every text when nothing was learned; a
-text of which no part is known goes to the language with most training words, with that language's share; a null or
-unlabelled row is never learned from; ties go to the language first in code-point order; repeated rows are answered
-each; other columns are ignored.
+text of which no part is known goes to the language with most training words, with an even share; a null or unlabelled
+row is never learned from; ties go to the language first in code-point order; repeated rows are answered each; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ensure_importable, frugal, id_bucket
+from ._shared import _MULTIPLIER, ensure_importable, frugal, id_bucket, mixed, ranges
 
 UNDETERMINED = "und"
 LONGEST = 5
 #: Added to each count.
 SMOOTHING = 0.5
-_LETTER = re.compile(r"[^\W\d_]")
-_WORDS = re.compile(r"[^\W\d_]+")
-_CACHE_TOKENS = 120_000
+#: Distinct tokens that a worker keeps, of so many bytes and a number per language each; words scored at a time.
+_CACHE_TOKENS, _KEPT_TOKENS, _CHUNK = 400_000, 100_000, 50_000
+
 
+def letter_runs(token: str) -> list[str]:
+    return [token] if token.isalpha() else "".join([c if c.isalpha() else " " for c in token]).split()
 
-def grams(word: str, n: int) -> list[str]:
-    """Character n-grams of the word between its marks; single characters without the marks."""
-    if n == 1:
-        return list(word)
-    marked = f"^{word}$"
-    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+
+def gram_hashes(words: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the character n-grams of each word between its marks (single characters without them), word after word,
+    and how many each word has."""
+    left, right = ("^", "$") if n > 1 else ("", "")
+    text = left + (right + left).join(words.to_pylist()) + right
+    chars = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+    lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + len(left + right)
+    counts = np.maximum(lengths - n + 1, 0)
+    at = ranges(np.cumsum(lengths) - lengths, counts)
+    h = np.full(len(at), np.uint64(n))
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            h = (h + chars[at + j]) * _MULTIPLIER
+            h ^= h >> np.uint64(29)
+        return mixed(h), counts
 
 
 class Model:
     """Log frequencies by language of words and of character n-grams."""
 
-    def __init__(self, counts: dict[str, dict[str, int]], most_grams: int) -> None:
-        """``counts``: by word, by language."""
-        self.languages = sorted({lang for by in counts.values() for lang in by})
-        number = {lang: i for i, lang in enumerate(self.languages)}
-        k = len(number)
-        words = sorted(counts)
-        table = np.zeros((len(words), k))
-        for i, w in enumerate(words):
-            for lang, c in counts[w].items():
-                table[i, number[lang]] = c
-        self.words = {w: i for i, w in enumerate(words)}
+    def __init__(self, words: pa.Array, languages: pa.Array, counts: np.ndarray) -> None:
+        """A row per word, language and its count."""
+        self.languages = sorted(set(languages.to_pylist()))
+        coded = words.dictionary_encode()
+        column = np.array([self.languages.index(x) for x in languages.dictionary_encode().dictionary.to_pylist()], np.int64)[languages.dictionary_encode().indices.to_numpy()] if len(languages) else np.empty(0, np.int64)
+        table = np.zeros((len(coded.dictionary), len(self.languages)))
+        np.add.at(table, (coded.indices.to_numpy(), column), counts)
+        self.words = coded.dictionary
         self.total = table.sum(axis=0)
         self.word_scores = self._logs(table)
-        self.grams: dict[str, int] = {}
-        rows = []
+        #: By length, the hashes of known n-grams in order, and their scores.
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in range(1, LONGEST + 1):
-            sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(k))
-            for w, i in self.words.items():
-                for g in grams(w, n):
-                    sums[g] += table[i]
-            kept = sorted(sums, key=lambda g: (-sums[g].sum(), g))[: most_grams // LONGEST]
-            self.grams.update({g: len(rows) + j for j, g in enumerate(kept)})
-            rows += list(self._logs(np.array([sums[g] for g in kept])) if kept else [])
-        self.gram_scores = np.array(rows).reshape(len(rows), k)
+            h, own = gram_hashes(self.words, n) if len(self.words) else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            keys, where = np.unique(h, return_inverse=True)
+            of = np.repeat(np.arange(len(own)), own)
+            sums = [np.bincount(where, table[of, k], len(keys)) for k in range(len(self.languages))]
+            self.grams[n] = keys, self._logs(np.column_stack(sums) if sums else np.empty((0, 0)))
 
     @staticmethod
     def _logs(table: np.ndarray) -> np.ndarray:
         return np.log(table + SMOOTHING) - np.log(table.sum(axis=0) + SMOOTHING * len(table))
 
+    def scores(self, words: pa.Array) -> np.ndarray:
+        """A row per word."""
+        out = np.zeros((len(words), len(self.languages)))
+        at = pc.index_in(words, self.words)
+        seen = at.is_valid().to_numpy(zero_copy_only=False)
+        out[seen] = self.word_scores[at.drop_null().to_numpy()]
+        rest = np.flatnonzero(~seen)
+        for i in range(0, len(rest), _CHUNK):
+            left = rest[i : i + _CHUNK]
+            for n in range(LONGEST, 0, -1):
+                if not len(left) or not len(self.grams[n][0]):
+                    continue
+                keys, rows = self.grams[n]
+                h, counts = gram_hashes(words.take(pa.array(left)), n)
+                place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = np.flatnonzero(keys[place] == h)
+                of = np.repeat(np.arange(len(left)), counts)[hit]
+                found, firsts, times = np.unique(of, return_index=True, return_counts=True)
+                if len(found):
+                    out[left[found]] = np.add.reduceat(rows[place[hit]], firsts, axis=0) / times[:, None]
+                    left = np.delete(left, found)
+        return out
+
     def word(self, word: str) -> np.ndarray:
-        at = self.words.get(word)
-        if at is not None:
-            return self.word_scores[at]
-        for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            known = [self.grams[g] for g in grams(word, n) if g in self.grams]
-            if known:
-                return self.gram_scores[known].mean(axis=0)
-        return np.zeros(len(self.languages))
+        return self.scores(pa.array([word]))[0]
 
 
-class Scorer(dict):
-    """Row numbers of white-space separated tokens in a table of their scores, filled as tokens come."""
+class Scorer:
+    """Scores of white-space separated tokens, kept as they come."""
 
     def __init__(self, model: Model) -> None:
-        super().__init__()
         self.model = model
-        self.table = np.zeros((1024, len(model.languages)))
-
-    def __missing__(self, token: str) -> int:
-        at = len(self)
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[at] = sum((self.model.word(w) for w in _WORDS.findall(token)), np.zeros(len(self.model.languages)))
-        self[token] = at
-        return at
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        languages = self.model.languages
-        if not text or not languages or not _LETTER.search(text):
-            return UNDETERMINED, 0.0
-        if len(self) > _CACHE_TOKENS:
-            self.clear()
-        at = list(map(self.__getitem__, text.lower().split()))
-        sums = self.table[at].sum(axis=0)
-        if not sums.any():
-            return languages[int(self.model.total.argmax())], 1 / len(languages)
-        best = int(sums.argmax())
-        return languages[best], float(1 / np.exp(sums - sums[best]).sum())
-
-
-def learn(labelled: DataFrame, sample_docs: int = 20_000, most_words: int = 60_000, most_grams: int = 100_000) -> Model:
+        self.tokens = pa.array([], pa.string())
+        self.table = np.zeros((0, len(model.languages)))
+        self.lettered = np.zeros(0, bool)
+
+    def _learn(self, tokens: pa.Array) -> None:
+        words: list[str] = []
+        counts = []
+        for token in tokens.to_pylist():
+            own = letter_runs(token)
+            counts.append(len(own))
+            words += own
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        rows = self.model.scores(coded.dictionary)[coded.indices.to_numpy()]
+        each = np.array(counts, np.int64)
+        table, some = np.zeros((len(tokens), len(self.model.languages))), np.flatnonzero(each)
+        if len(some):
+            table[some] = np.add.reduceat(rows, (np.cumsum(each) - each)[some], axis=0)
+        self.tokens = pa.concat_arrays([self.tokens, tokens])
+        self.table, self.lettered = np.concatenate([self.table, table]), np.concatenate([self.lettered, each > 0])
+
+    def _places(self, tokens: pa.Array) -> np.ndarray:
+        coded = tokens.dictionary_encode()
+        if len(self.tokens) > _CACHE_TOKENS:
+            self.tokens = pa.concat_arrays([self.tokens[:_KEPT_TOKENS]])
+            self.table, self.lettered = self.table[:_KEPT_TOKENS].copy(), self.lettered[:_KEPT_TOKENS].copy()
+        at = pc.index_in(coded.dictionary, self.tokens)
+        new = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        at = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new):
+            at[new] = len(self.tokens) + np.arange(len(new))
+            self._learn(coded.dictionary.take(pa.array(new)))
+        return at[coded.indices.to_numpy()]
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text."""
+        n, languages = len(texts), self.model.languages
+        if not languages or not n:
+            return [UNDETERMINED] * n, np.zeros(n)
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+        at = self._places(lists.flatten())
+        sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        firsts = np.cumsum(sizes) - sizes
+        sums = np.add.reduceat(self.table[at], firsts, axis=0)
+        known, lettered = sums.any(axis=1), np.add.reduceat(self.lettered[at], firsts) > 0
+        best = np.where(known, sums.argmax(axis=1), int(self.model.total.argmax()))
+        top = sums.max(axis=1, keepdims=True)
+        score = np.where(lettered, 1 / np.exp(sums - top).sum(axis=1), 0.0)
+        return [languages[b] if x else UNDETERMINED for b, x in zip(best.tolist(), lettered.tolist())], score
+
+
+def learn(labelled: DataFrame, sample_docs: int = 10_000) -> Model:
     """A model from the columns text and lang of ``labelled``."""
     ensure_importable(labelled.sparkSession)
     labelled = labelled.select("text", "lang").where("text is not null and lang is not null")
@@ -125,17 +176,22 @@ def learn(labelled: DataFrame, sample_docs: int = 20_000, most_words: int = 60_0
 
     def count(batches):
         for batch in batches:
+            tokens: dict[str, Counter] = defaultdict(Counter)
+            lower = pc.utf8_lower(batch.column(0)).to_pylist()
+            for text, lang in zip(lower, batch.column(1).to_pylist()):
+                tokens[lang].update(text.split())
             held: dict[tuple[str, str], int] = defaultdict(int)
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for word in _WORDS.findall(text.lower()):
-                    held[lang, word] += 1
+            for lang, own in tokens.items():
+                for token, c in own.items():
+                    for word in letter_runs(token):
+                        held[lang, word] += c
             langs, words = zip(*held) if held else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(list(held.values()), pa.int64())], ["lang", "word", "c"])
 
     each = sample.mapInArrow(frugal(count), "lang string, word string, c long").groupBy("word", "lang").agg(F.sum("c").alias("c"))
-    by_word = each.groupBy("word").agg(F.sum("c").alias("c"), F.collect_list(F.struct("lang", "c")).alias("by"))
-    top = by_word.where("c > 1 or length(word) < 3").orderBy(F.desc("c"), "word").limit(most_words)
-    return Model({r["word"]: {x["lang"]: x["c"] for x in r["by"]} for r in top.collect()}, most_grams)
+    found = each.orderBy("word", "lang").toArrow().combine_chunks()  # bounded by the sample
+    plain = lambda name: found.column(name).combine_chunks() if found.num_rows else pa.array([], found.schema.field(name).type)
+    return Model(plain("word").cast(pa.string()), plain("lang").cast(pa.string()), plain("c").to_numpy())
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -149,8 +205,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         if not made:
             made.append(Scorer(shared.value))
         for batch in batches:
-            found = [made[0].predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            languages, scores = made[0].predict(batch.column(batch.num_columns - 1))
+            new = [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*keep, "lang_pred", "score"])
 
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")

@@ -685,12 +685,63 @@ def test_held_out_accuracy(spark):
     assert (got["lang_pred"] == got["lang"]).mean() > 0.97
 
 
+def small_model(counts):
+    import pyarrow as pa
+
+    rows = [(w, lang, c) for w, by in sorted(counts.items()) for lang, c in by.items()]
+    return langid.Model(pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), np.array([r[2] for r in rows]))
+
+
 def test_unseen_words_fall_back_to_shorter_grams():
-    model = langid.Model({"abcde": {"x": 5}, "vwxyz": {"y": 5}}, 1000)
+    model = small_model({"abcde": {"x": 5}, "vwxyz": {"y": 5}})
     assert model.word("abcdq").argmax() == 0 and model.word("qqxyz").argmax() == 1 and model.word("aq").argmax() == 0
     assert not model.word("ω").any()
 
 
+def test_language_scores_equal_brute_force():
+    import pyarrow as pa
+
+    counts = {"hund": {"de": 3}, "und": {"de": 9, "en": 1}, "and": {"en": 8}, "hound": {"en": 2}, "über": {"de": 2}}
+    model, languages = small_model(counts), ["de", "en"]
+
+    def logs(table):
+        total = [sum(by.get(k, 0) for by in table.values()) for k in languages]
+        return {g: [np.log(by.get(k, 0) + 0.5) - np.log(t + 0.5 * len(table)) for k, t in zip(languages, total)] for g, by in table.items()}
+
+    def grams(w, n):
+        m = f"^{w}$" if n > 1 else w
+        return [m[i : i + n] for i in range(len(m) - n + 1)]
+
+    by_gram = {}
+    for n in range(1, 6):
+        table = defaultdict(Counter)
+        for w, by in counts.items():
+            for g in grams(w, n):
+                table[g].update(by)
+        by_gram[n] = logs(table)
+
+    def word(w):
+        if w in counts:
+            return logs(counts)[w]
+        for n in range(5, 0, -1):
+            if known := [by_gram[n][g] for g in grams(w, n) if g in by_gram[n]]:
+                return np.mean(known, axis=0)
+        return np.zeros(2)
+
+    texts = ["Hund und Hounds", "the-hund's ÜBERALL 3x", "zzz qqq", "½ ² Ⅷ 12", None, "", "und " * 500, "hun"]
+    scorer = langid.Scorer(model)
+    for _ in range(2):
+        got = list(zip(*scorer.predict(pa.array(texts, pa.string()))))
+        for text, (lang, score) in zip(texts, got):
+            parts = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+            if not parts:
+                assert (lang, score) == ("und", 0.0)
+                continue
+            sums = np.sum([word(w) for w in parts], axis=0)
+            assert score == pytest.approx(1 / np.exp(sums - sums.max()).sum())
+            assert lang == ("de" if not sums.any() else languages[int(np.argmax(sums))])
+
+
 # --- 9
 
 
