@@ -6,9 +6,11 @@ that occurs again, in any document, gets the same surrogate: coreference holds w
 
 * Characters are replaced class by class: a digit by a digit, a letter by a letter of its script and case; separators,
   country codes, top-level domains and key prefixes stay, so spellings of one number or address stay spellings of one.
-* Octets stay octets; a card number that satisfies the Luhn rule gets one that does.
+* Octets stay octets; a card number that satisfies the Luhn rule gets one that does, and an account number with right
+  check digits gets right ones.
 * A given name is replaced by the next one, in keyed order, of the same gender and script: one to one, never by itself.
-  A surname is replaced by one built of syllables of its script.
+  A surname is replaced part by part, hyphens and apostrophes kept, by syllables of its script; Slavic endings stay, and
+  a family's feminine and masculine names get surrogates of one stem.
 * A name that was found is replaced wherever it is a whole word of the same text, in capitals too.
 
 Collision check: all distinct entities get their surrogates; where one is also an entity of the corpus, or belongs to
@@ -17,7 +19,8 @@ distinct. The few tries that differ from 0 are exceptions, sent along as a liter
 them; more are joined to the documents that hold them.
 
 Defined cases: a null text stays null, a text without entities stays as it is; repeated rows are treated alike; an
-empty table gives no rows; further columns are kept as they are, n_chars follows the new text.
+empty table gives no rows; further columns are kept as they are, whatever their names, but n_chars follows the new text;
+where there is a column n_entities already, it stays and no count is added.
 """
 
 from __future__ import annotations
@@ -45,7 +48,13 @@ TITLES = {
 SYLLABLES = {
     "latin": "ba be bo da den der dor el fen gar hal har hol ik jor ka kel ker lan lar len lin lor mar mer mon nar nel nor pel per ral ran ren rin ros sal sen ser sol tan tel ter tor val van vel ver win".split(),
     "cyrillic": "ба бе бо да де до ка ке ко ла ле ло ма ме мо на не но ра ре ро са се со та те то ва ве во".split(),
+    "greek": "βα βε βο δα δε δο κα κε κο λα λε λο μα με μο να νε νο ρα ρε ρο σα σε σο τα τε το".split(),
+    "armenian": "բա կա մա նա րա սա տա վա լե մե նե րե սե տե բո կո մո նո րո տո".split(),
 }
+#: What Slavic surnames end in, by gender; the longest first.
+FEMININE, MASCULINE = "ская цкая ова ева ёва ина ына ая".split(), "ский цкий ов ев ёв ин ын ий ой".split()
+#: Country calling codes of one and two digits, as a pattern; the others have three.
+CALLING_CODES = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 LETTERS = {
     "latin": ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     "latin with marks": ("àáâãäåçèéêëìíîïñòóôõöùúûüý", "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"),
@@ -71,7 +80,7 @@ PATTERNS = {
     "ip": r"(?=\d)(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?=\d)(?<!-)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
-    "card": r"(?=\d)(?<!\+)\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
+    "card": r"(?=\d)(?<!\+)(?:(?:\d{4} ){3}\d{4}(?: \d{1,3})?|(?:\d{4}-){3}\d{4}(?:-\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19})(?![\p{L}\p{N}])",
     "phone": r"(?=[+(\d])(?<!\+)(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{L}\p{N}-]))",
     "name": r"(?=\p{Lu})(?:(?<= )(?<=\b(?:" + _titles + r")\.? )" + _name + r"|(?<= )(?<=\b(?:" + _titles + r")\.? (?iu:" + _given + r") )" + _name + r"|(?iu:" + _given + r")(?= (?!(?:" + _small + r")(?!\p{L}))\p{Lu}\p{L})|(?<= )(?<=(?:^|[^\p{L}])(?iu:" + _given + r") )(?!(?:" + _small + r")(?!\p{L}))" + _name + r")",
 }
@@ -99,8 +108,11 @@ def entity_type(m: Column) -> Column:
 
 
 def identity(kind: Column, m: Column) -> Column:
-    """What spellings of one entity have in common."""
-    return F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(m, r"\D", "")).when(kind == "iban", F.regexp_replace(m, " ", "")).when(kind.isin("email", "given", "surname"), F.lower(m)).otherwise(m)
+    """What spellings of one entity, and the names of one family, have in common."""
+    lower = F.lower(m)
+    family = F.when(m.rlike(r"\p{IsCyrillic}"), F.regexp_replace(F.regexp_replace(lower, "([оеё]в|[иы]н)а$", "$1"), "([сц]к)ая$", "$1ий")).otherwise(lower)
+    digits = F.regexp_replace(m, r"\D", "")
+    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.regexp_replace(m, " ", "")).when(kind == "surname", family).when(kind.isin("email", "given"), lower).otherwise(m)
 
 
 def _pick(seed: Column, n: Column | int) -> Column:
@@ -119,7 +131,7 @@ def _char(c: Column, seed: Column, hexadecimal: Column) -> Column:
 
 def _substitute(kind: Column, m: Column, seed: Column) -> Column:
     """Character by character; the nth letter or digit depends on n, not on separators before it."""
-    keep = F.when(kind == "phone", F.when(m.rlike(r"^\+"), F.length(F.regexp_extract(m, r"^\+(\d{1,3}?)(?=\D|\d{9,}$)", 1))).otherwise(0))
+    keep = F.when(kind == "phone", F.when(m.rlike(r"^\+"), F.length(F.regexp_extract(F.regexp_replace(m, r"\D", ""), rf"^({CALLING_CODES}|\d{{3}})", 1))).otherwise(0))
     keep = keep.when(kind == "secret", F.length(F.regexp_extract(m, "^(" + "|".join(KEY_PREFIXES) + ")", 1))).when(kind == "iban", 2).otherwise(0)
     tail = F.when(kind == "email", F.length(F.regexp_extract(m, r"\.(\p{L}+)$", 1))).otherwise(0)
     fixed = F.struct(keep.alias("keep"), (F.length(m) - tail).alias("end"), m.rlike("^[0-9a-f]+$").alias("hex"), seed.alias("seed"))
@@ -161,6 +173,27 @@ def _card(m: Column, spelled: Column) -> Column:
     return let(spelled, fix)
 
 
+def mod_97(letters_and_digits: Column) -> Column:
+    """The remainder that the check digits of account numbers rest on; letters count from A = 10."""
+
+    def step(r: Column, c: Column) -> Column:
+        return F.when(c.between("0", "9"), (r * 10 + c.cast("int")) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.split(letters_and_digits, ""), F.lit(0), step)
+
+
+def _iban(m: Column, spelled: Column) -> Column:
+    """``spelled``, with right check digits if those of ``m`` are right."""
+    turned = lambda x, check: F.concat(F.regexp_replace(x.substr(F.lit(5), F.length(x)), " ", ""), F.substring(x, 1, 2), check)
+
+    def fix(s: Column) -> Column:
+        check = F.lpad((F.lit(98) - mod_97(turned(s, F.lit("00")))).cast("string"), 2, "0")
+        right = mod_97(turned(m, F.substring(m, 3, 2))) == 1
+        return F.when(right, F.concat(F.substring(s, 1, 2), check, s.substr(F.lit(5), F.length(s)))).otherwise(s)
+
+    return let(spelled, fix)
+
+
 def _given_name(key: str, m: Column) -> Column:
     """The next name of the same list in keyed order, in the case of ``m``."""
     plain = F.initcap(F.lower(m))
@@ -175,12 +208,23 @@ def _given_name(key: str, m: Column) -> Column:
 
 
 def _surname(m: Column, seed: Column) -> Column:
-    def of(syllables: list[str]) -> Column:
-        part = lambda i: F.element_at(F.array(*map(F.lit, syllables)), _pick(F.xxhash64(seed, F.lit(i)), len(syllables)) + 1)
-        return F.initcap(F.concat(*[part(i) for i in range(4)]))
+    """A name for each part of ``m``, a part of one letter kept, with the separators, endings and case of ``m``."""
+
+    def part(p: Column, i: Column) -> Column:
+        ending = F.regexp_extract(F.lower(p), "(?<=.)(" + "|".join([*FEMININE, *MASCULINE]) + ")$", 1)
+
+        def of(syllables: list[str], n: int) -> Column:
+            names = F.array(*map(F.lit, syllables))
+            return F.concat(*[F.element_at(names, _pick(F.xxhash64(seed, i, F.lit(j)), len(syllables)) + 1) for j in range(n)])
+
+        name = F.when(p.rlike(r"\p{IsCyrillic}"), F.when(ending == "", of(SYLLABLES["cyrillic"], 4)).otherwise(F.concat(of(SYLLABLES["cyrillic"], 3), F.regexp_replace(ending, "^", "н"))))
+        for script in ("greek", "armenian"):
+            name = name.when(p.rlike(rf"\p{{Is{script.capitalize()}}}"), of(SYLLABLES[script], 4))
+        name = name.otherwise(of(SYLLABLES["latin"], 4))
+        cased = F.when((F.upper(p) == p) & (F.length(p) > 1), F.upper(name)).when(F.lower(p) == p, name).otherwise(F.initcap(name))
+        return F.when(p.rlike(r"^\p{L}{2,}"), cased).otherwise(p)
 
-    name = F.when(m.rlike(r"\p{IsCyrillic}"), of(SYLLABLES["cyrillic"])).otherwise(of(SYLLABLES["latin"]))
-    return F.when((F.upper(m) == m) & (F.length(m) > 1), F.upper(name)).otherwise(name)
+    return F.array_join(F.transform(F.regexp_extract_all(m, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0)), part), "")
 
 
 def surrogate(key: str, m: Column, attempt: Column) -> Column:
@@ -194,6 +238,7 @@ def surrogate(key: str, m: Column, attempt: Column) -> Column:
             .when(kind == "surname", _surname(m, seed))
             .when(kind == "ip", octets)
             .when(kind == "card", _card(m, _substitute(kind, m, seed)))
+            .when(kind == "iban", _iban(m, _substitute(kind, m, seed)))
             .otherwise(_substitute(kind, m, seed))
         )
 
@@ -247,27 +292,30 @@ def replace_personal_data(docs: DataFrame, key: str = "change-this-key", text: s
     exceptions = stored(collision_attempts(found, key), "exceptions")
     rows = exceptions.limit(literal_exceptions + 1).collect()
     names = docs.columns
-    t = F.col(text)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own = {n: f"c{i}" for i, n in enumerate(names)}
+    t = F.col(own[text])
     if len(rows) <= literal_exceptions:
         known = F.create_map(*[F.lit(x) for r in rows for x in (f"{r['kind']} {r['same']}", r["attempt"])]) if rows else None
         attempt = lambda m: F.coalesce(F.element_at(known, F.concat_ws(" ", entity_type(m), identity(entity_type(m), m))), F.lit(0)) if rows else F.lit(0)
-        work = docs
+        work = plain
     else:
         which = F.concat_ws(" ", "kind", "same")
-        of_text = docs.select(F.xxhash64(t).alias("_k"), F.explode(F.array_distinct(entities(t))).alias("m")).withColumn("kind", entity_type(F.col("m")))
-        of_text = of_text.withColumn("same", identity(F.col("kind"), F.col("m"))).join(exceptions, ["kind", "same"]).select("_k", which.alias("which"), "attempt").distinct()
-        of_text = of_text.groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("which", "attempt"))).alias("_known"))
-        work = docs.withColumn("_k", F.xxhash64(t)).join(of_text, "_k", "left")
-        attempt = lambda m: F.coalesce(F.element_at(F.col("_known"), F.concat_ws(" ", entity_type(m), identity(entity_type(m), m))), F.lit(0))
+        of_text = plain.select(F.xxhash64(t).alias("text_key"), F.explode(F.array_distinct(entities(t))).alias("m")).withColumn("kind", entity_type(F.col("m")))
+        of_text = of_text.withColumn("same", identity(F.col("kind"), F.col("m"))).join(exceptions, ["kind", "same"]).select("text_key", which.alias("which"), "attempt").distinct()
+        of_text = of_text.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("which", "attempt"))).alias("known"))
+        work = plain.withColumn("text_key", F.xxhash64(t)).join(of_text, "text_key", "left")
+        attempt = lambda m: F.coalesce(F.element_at(F.col("known"), F.concat_ws(" ", entity_type(m), identity(entity_type(m), m))), F.lit(0))
     # Pieces between the matches, and the matches: one more piece than matches, since an empty match is not possible.
-    work = work.withColumn("_first", entities(t)).withColumn("_names", names_of(F.col("_first")))
-    named = F.size("_names") > 0
-    work = work.withColumn("_p", F.when(named, pattern_with(F.col("_names"))))
-    work = work.withColumn("_m", F.when(named, F.regexp_extract_all(t, F.col("_p"), F.lit(0))).otherwise(F.col("_first")))
-    pieces = F.when(named, F.split(t, F.col("_p"), -1)).otherwise(F.split(t, PATTERN, -1))
-    new = F.transform("_m", lambda m: surrogate(key, m, attempt(m)))
+    work = work.withColumn("first", entities(t)).withColumn("names", names_of(F.col("first")))
+    named = F.size("names") > 0
+    work = work.withColumn("pattern", F.when(named, pattern_with(F.col("names"))))
+    work = work.withColumn("found", F.when(named, F.regexp_extract_all(t, F.col("pattern"), F.lit(0))).otherwise(F.col("first")))
+    pieces = F.when(named, F.split(t, F.col("pattern"), -1)).otherwise(F.split(t, PATTERN, -1))
+    new = F.transform("found", lambda m: surrogate(key, m, attempt(m)))
     whole = F.array_join(F.flatten(F.zip_with(pieces, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    work = work.withColumns({text: F.when(F.size("_m") > 0, whole).otherwise(t), "n_entities": F.size("_m").cast("long")})
+    work = work.withColumns({own[text]: F.when(F.size("found") > 0, whole).otherwise(t), "count": F.size("found").cast("long")})
     if "n_chars" in names:
-        work = work.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return work.select(*names, *(["n_entities"] if "n_entities" not in names else []))
+        n = own["n_chars"]
+        work = work.withColumn(n, F.when(F.col("count") > 0, F.length(own[text])).otherwise(F.col(n)).cast(docs.schema["n_chars"].dataType))
+    return work.select(*[F.col(c).alias(n) for n, c in own.items()], *([F.col("count").alias("n_entities")] if "n_entities" not in names else []))

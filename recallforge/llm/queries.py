@@ -16,7 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.replace_personal_data(docs).select("doc_id", "n_entities", "text")
+    key = spark.conf.get("spark.recallforge.surrogateKey", "change-this-key")
+    return pii.replace_personal_data(docs, key).select("doc_id", "n_entities", "text")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

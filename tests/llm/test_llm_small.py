@@ -149,6 +149,72 @@ def test_names_found_are_replaced_throughout_their_text(spark):
     assert out[1:3] == ["Keller and Anna", None] and "Jürgen" not in out[3] and "Brien" not in out[3] and "'s, " in out[3]
 
 
+def test_formats_of_surrogates(spark):
+    phones = ["+49 30 12345678", "+493012345678", "+1 (017) 555-7713", "+358 40 1234567", "+358401234567"]
+    names = ["Mr. Müller-Lüdenscheidt", "Mr. O'Brien", "Mrs. Παπαδοπούλου", "Госпожа Иванова", "Господин Иванов", "Госпожа Островская", "Господин Островский"]
+    ibans = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "DE00 3704 0044 0532 0130 00"]
+    dates = ["8 March 2024 1234567890123 items", "in 2023 2024 2025 2026 years", "amex 3782 822463 10005"]
+    out = replaced(spark, *phones, *names, *ibans, *dates)
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    assert digits(out[0]) == digits(out[1]) and out[1].startswith("+49") and out[1] != phones[1] and len(digits(out[1])) == 12
+    assert out[2].startswith("+1 (") and digits(out[3]) == digits(out[4]) and out[4].startswith("+358") and out[4] != phones[4]
+    names = [t.split(maxsplit=1)[1] for t in out[5:12]]
+    assert names[0].count("-") == 1 and all(x.istitle() and x.isalpha() for x in names[0].split("-")) and "Müller" not in names[0]
+    assert names[1].startswith("O'") and names[1][2:].istitle() and names[1] != "O'Brien"
+    assert all("Ͱ" <= c <= "Ͽ" for c in names[2]) and names[2] != "Παπαδοπούλου"
+    assert names[3] == names[4] + "а" and names[4].endswith("ов") and names[4] != "Иванов"
+    assert names[5].endswith("ская") and names[6] == names[5][:-2] + "ий" and names[6] != "Островский"
+
+    def check(iban):
+        plain = iban.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+    got = out[12:16]
+    assert [check(x) for x in got[:3]] == [1, 1, 1] and got[0].replace(" ", "") == got[1] and got[2][:2] == "GB" and got[2].count(" ") == 5 and got[3][:2] == "DE"
+    assert out[16].startswith("8 March 2024 ") and out[16].endswith(" items") and "1234567890123" not in out[16]
+    assert out[17] != "" and digits(out[18]) != digits(dates[2]) and [len(x) for x in out[18].split()] == [4, 4, 6, 5]
+
+
+def test_surrogates_equal_brute_force(spark):
+    """Entities found by another matcher, each replaced by what stands for it wherever it is; one for one."""
+    import regex
+
+    matcher = regex.compile(pii.PATTERN.replace(r"\p{IsCyrillic}", r"\p{Cyrillic}"))
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in frame.collect()}
+    texts |= {10_000 + i: t for i, t in enumerate(PRIVATE)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r["doc_id"]: r["e"] for r in frame.select("doc_id", pii.entities(F.col("text")).alias("e")).collect()}
+    assert {i: [m.group() for m in matcher.finditer(t)] for i, t in texts.items()} == found
+    every = sorted({e for es in found.values() for e in es})
+    mapping = frame.select(F.explode(pii.entities(F.col("text"))).alias("m")).distinct().withColumn("new", pii.surrogate("change-this-key", F.col("m"), F.lit(0)))
+    mapping = {r["m"]: r["new"] for r in mapping.collect()}
+    assert sorted(mapping) == every and len(set(mapping.values())) == len(mapping) and not set(mapping.values()) & {e for e in every if e not in {n for ns in pii.GIVEN.values() for n in ns}}
+    for r in pii.replace_personal_data(frame).collect():
+        names = sorted({e.lower() for e in found[r["doc_id"]] if regex.fullmatch(r"\p{Lu}[\p{L}'-]*", e) and len(e) > 1}, key=lambda n: (-len(n), n))
+        also = regex.compile(pii.PATTERN[:-1] + r"|(?=\p{Lu})(?i:" + "|".join(names) + r")(?![\p{L}\p{N}]))") if names else matcher
+        count = 0
+
+        def new(m):
+            nonlocal count
+            count += 1
+            return mapping.get(m.group()) or mapping.get(m.group().title(), "?").upper()
+
+        want = also.sub(new, texts[r["doc_id"]])
+        assert r["n_entities"] == count and ("?" in want or r["text"] == want)
+
+
+def test_clashing_columns_are_kept(spark):
+    names = ["_m", "first", "names", "found", "count", "text_key", "known", "pattern", "c0"]
+    frame = spark.createDataFrame([(1, "mail ann@x.org", 14)], "doc_id long, text string, n_chars long").select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for literal in (2_000, -1):
+        got = pii.replace_personal_data(frame, literal_exceptions=literal)
+        row = got.first()
+        assert got.columns == [*frame.columns, "n_entities"] and [row[n] for n in names] == list(range(len(names))) and row["n_entities"] == 1 and "ann" not in row["text"]
+    kept = pii.replace_personal_data(frame.withColumn("n_entities", F.lit("mine"))).first()
+    assert kept["n_entities"] == "mine" and "ann" not in kept["text"]
+
+
 def test_colliding_surrogates_are_tried_again(spark, monkeypatch):
     frame = spark.createDataFrame([(i, f"at 10.0.{i}.1 now") for i in range(40)], "doc_id long, text string")
     real = pii._pick
