@@ -52,10 +52,12 @@ def render_prompt(kind: Column, description: Column, source: Column, sources: Co
     return F.concat(head, *[F.coalesce(p, F.lit("")) for p in (warning, note, many, persona)])
 
 
-def stage_jobs(entries: DataFrame) -> DataFrame:
-    """(job_id, content, needs_split) of each entry (content); equal contents are one job."""
-    jobs = entries.select(text.slugify(F.col("content")).alias("job_id"), "content")
-    return jobs.groupBy("job_id").agg(F.first("content").alias("content")).withColumn("needs_split", F.octet_length("content") > SPLIT_BYTES)
+def stage_jobs(entries: DataFrame, seq: str | None = None) -> DataFrame:
+    """(job_id, content, needs_split) of each entry (content); equal contents are one job. Should different contents have
+    one id, the last by the column ``seq`` is the job's, or else the greatest."""
+    jobs = entries.withColumn("job_id", text.slugify(F.col("content")))
+    content = F.max_by("content", seq) if seq else F.max("content")
+    return jobs.groupBy("job_id").agg(content.alias("content")).withColumn("needs_split", F.octet_length("content") > SPLIT_BYTES)
 
 
 def stage_personas(manifests: DataFrame) -> DataFrame:
@@ -63,12 +65,14 @@ def stage_personas(manifests: DataFrame) -> DataFrame:
     return manifests.select(F.col("bank").alias("bank_id"), F.col("slug").alias("job_id"), F.lit("PersonaBuild").alias("kind"), "description", F.col("artifacts").alias("sources"), F.col("source_label").alias("source"), F.coalesce("self_build", F.lit(False)).alias("self_build"))
 
 
-def complete(results: DataFrame, wiki: DataFrame, pending: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def complete(results: DataFrame, wiki: DataFrame, pending: DataFrame, seq: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(wiki, index lines, pending) after ``results`` (job_id, result): an existing entry is kept and its result dropped.
 
-    A job id that is not pending still gets its entry.
+    A job id that is not pending still gets its entry. Of several results of one job the first by the column ``seq``
+    becomes its entry, as the others would find it there; without that column, the least.
     """
-    results = results.dropDuplicates(["job_id"])
+    result = F.min_by("result", seq) if seq else F.min("result")
+    results = results.groupBy("job_id").agg(result.alias("result"))
     now = results.join(wiki.select(F.col("slug").alias("job_id"), "content"), "job_id", "left").select("job_id", F.coalesce("content", "result").alias("content"), F.col("content").isNull().alias("new"))
     written = now.where("new").select(F.col("job_id").alias("slug"), "content")
     index = now.select(F.col("job_id").alias("slug"), text.summarize(F.col("content")).alias("summary"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import blobs, sessions, store
+from ..operators import blobs, sessions, staging, store
 from .registry import query, table
 from .text_queries import _ODD_HANDLES, _documents, _shortened, odd_handles, slug_sql
 
@@ -67,6 +67,14 @@ def stage_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.select("job_id", F.octet_length("content").cast("long").alias("n_bytes"), "needs_split")
 
 
+@query()
+def stage_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt of each document's job, with candidate concepts where it is long."""
+    d = _documents(spark, sf_dir)
+    staged = staging.stage(d.select(F.col("text").alias("content"), F.lit("a document").alias("description"), F.lit("web").alias("source")))
+    return staged.select("job_id", F.size("candidates").alias("n_candidates"), "prompt")
+
+
 def _jobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A job per conversation; those whose last turn is the assistant's are completed."""
     per = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("role", "turn").alias("last"), F.min_by("role", "turn").alias("bank_id"), F.count("*").alias("turns"))

@@ -7,6 +7,7 @@ import json
 import os
 import shutil
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -169,19 +170,56 @@ class Lease:
         return False
 
 
-def doctor(folder: str) -> list[tuple[str, str]]:
-    """(check, status) of a data root: writable, and its lock's state."""
-    checks = []
+def _writable(folder: str) -> str | None:
+    """Why nothing can be written to the folder, which is made if need be."""
     try:
         os.makedirs(folder, exist_ok=True)
         probe = os.path.join(folder, f".probe-{uuid.uuid4().hex}")
         write_atomically(probe, b"")
         os.remove(probe)
-        checks.append(("data_root", "pass"))
-    except OSError:
-        checks.append(("data_root", "fail"))
+    except OSError as e:
+        return str(e)
+    return None
+
+
+def _lock_state(folder: str) -> tuple[str, str]:
     lease = Lease(folder)
-    checks.append(("lock", "warn" if os.path.exists(lease.path) else "pass"))
+    try:
+        with open(lease.path, encoding="utf-8") as f:
+            pid = Lease.owner(f.read())
+    except FileNotFoundError:
+        return "pass", "no lock is held"
+    except (OSError, UnicodeDecodeError) as e:
+        return "warn", f"the lock cannot be read: {e}"
+    if pid is None:
+        return "warn", "a lock that names no process; it can be reclaimed"
+    live = os.path.exists(f"/proc/{pid}")
+    return "warn", f"held by live process {pid}" if live else f"stale: process {pid} is gone; it can be reclaimed"
+
+
+def doctor(folder: str, bank: str | None = None, models: str | None = None, make: Callable[[], object] | None = None, quick: bool = False) -> list[tuple[str, str, str]]:
+    """(check, status, message) of a data root: is it writable, does the bank's folder exist (else a warning, since the
+    first write makes it), its lock's state, is the folder of models writable, and does ``make`` give an embedder, which
+    ``quick`` leaves out. The sixth check, of the blobs' size and age, is operators.store.doctor_ccr."""
+    checks = []
+    problem = _writable(folder)
+    checks.append(("data_root", "fail" if problem else "pass", problem or f"{folder} is writable"))
+    bank = bank or folder
+    exists = os.path.isdir(bank)
+    checks.append(("bank", "pass" if exists else "warn", f"{bank} exists" if exists else f"{bank} is made at the first write"))
+    checks.append(("lock", *_lock_state(bank)))
+    if models is not None:
+        problem = _writable(models)
+        held = not problem and any(os.scandir(models))
+        checks.append(("models", "fail" if problem else "pass", problem or f"{models} is writable, " + ("with files" if held else "empty yet")))
+    if quick or make is None:
+        checks.append(("embedder", "skipped", "not loaded"))
+    else:
+        try:
+            make()
+            checks.append(("embedder", "pass", "loaded"))
+        except Exception as e:  # whatever a model raises is what the check reports
+            checks.append(("embedder", "fail", str(e) or type(e).__name__))
     return checks
 
 

@@ -1,11 +1,18 @@
 """State that outlives a run, as Parquet: graphs, manifests, checkpoints, embedding caches.
 
-What is missing or cannot be read is an empty table. A table is written under another name and then moved into place, so
-a reader sees the old one or the new one.
+A table is a folder of versions. A version is there when it is whole, which its _SUCCESS file says, and readers take the
+newest one; so a reader sees the old table or the new one, whenever a writer stops. The version before the newest stays
+for readers that have begun; older ones go.
+
+A table that was never saved is empty. One that cannot be read is an error, but a manifest, checkpoints or a cache whose
+files are spoilt are empty too: they only save work. An I/O fault is always an error, so nothing is saved over state that
+could not be seen.
 """
 
 from __future__ import annotations
 
+import re
+import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -21,25 +28,45 @@ CHECKPOINTS = "session_id string, archived boolean, last_staged_line long"
 SCHEMAS = {"nodes": NODES, "edges": EDGES, "manifest": MANIFEST, "checkpoints": CHECKPOINTS, "cache": CACHE}
 
 
+#: Tables that are made anew if their files are spoilt.
+REBUILT = frozenset(("manifest", "checkpoints", "cache"))
+
+
+def _versions(spark: SparkSession, root: str, name: str) -> list[str]:
+    """Paths of the whole versions, oldest first."""
+    paths = spark._jvm.org.apache.hadoop.fs
+    folder = paths.Path(f"{root}/{name}")
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return []
+    found = sorted(s.getPath().getName() for s in store.listStatus(folder) if s.getPath().getName().startswith("v"))
+    return [f"{root}/{name}/{v}" for v in found if store.exists(paths.Path(f"{root}/{name}/{v}/_SUCCESS"))]
+
+
 def save(df: DataFrame, root: str, name: str) -> None:
     spark = df.sparkSession
-    draft, place = f"{root}/.{name}-{uuid.uuid4().hex}", f"{root}/{name}"
-    df.write.parquet(draft)
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(place)
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    store.delete(path, True)
-    if not store.rename(jvm.org.apache.hadoop.fs.Path(draft), path):
-        raise OSError(f"{place} could not be replaced")
+    before = _versions(spark, root, name)
+    after = max([time.time_ns(), *(int(v.rpartition("/v")[2].split("-")[0]) + 1 for v in before[-1:])])
+    df.write.parquet(f"{root}/{name}/v{after:020d}-{uuid.uuid4().hex}")
+    paths = spark._jvm.org.apache.hadoop.fs
+    for old in before[:-1]:
+        path = paths.Path(old)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
+    versions = _versions(spark, root, name)
+    if not versions:
+        return spark.createDataFrame([], SCHEMAS[name])
     try:
-        found = spark.read.parquet(f"{root}/{name}")
+        found = spark.read.parquet(versions[-1])
         found.limit(1).count()
         return found
-    except (PySparkException, Py4JJavaError):
-        return spark.createDataFrame([], SCHEMAS[name])
+    except (PySparkException, Py4JJavaError) as e:
+        spoilt = re.search("not a Parquet file|CANNOT_READ_FILE_FOOTER|UNABLE_TO_INFER_SCHEMA|not parse|corrupt", str(e))
+        if name in REBUILT and spoilt:
+            return spark.createDataFrame([], SCHEMAS[name])
+        raise
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, root: str) -> None:

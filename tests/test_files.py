@@ -82,7 +82,23 @@ def test_lease_and_origin(tmp_path):
     assert lease.reclaim()
     assert files.origin_url('[remote "up"]\n url = a\n[remote "origin"]\n  url = b:c/d.git\n') == "b:c/d.git"
     assert files.origin_url("[core]\n") is None
-    assert dict(files.doctor(str(tmp_path)))["data_root"] == "pass"
+
+
+def test_doctor(tmp_path):
+    def status(**more):
+        return {name: s for name, s, _ in files.doctor(str(tmp_path), **more)}
+
+    assert status() == {"data_root": "pass", "bank": "pass", "lock": "pass", "embedder": "skipped"}
+    bank, models = str(tmp_path / "bank"), str(tmp_path / "models")
+    assert status(bank=bank, models=models, make=list) == {"data_root": "pass", "bank": "warn", "lock": "pass", "models": "pass", "embedder": "pass"}
+    assert status(make=lambda: 1 / 0)["embedder"] == "fail" and status(make=lambda: 1 / 0, quick=True)["embedder"] == "skipped"
+    write(tmp_path / "file", "x")
+    assert status(models=str(tmp_path / "file"))["models"] == "fail"
+    said = []
+    for text in (f"pid={os.getpid()}\n", "pid=999999999\n", "nonsense"):
+        write(tmp_path / ".lock", text)
+        said += [(s, m) for name, s, m in files.doctor(str(tmp_path)) if name == "lock"]
+    assert [s for s, _ in said] == ["warn"] * 3 and "live" in said[0][1] and "stale" in said[1][1] and "names no process" in said[2][1]
 
 
 RUST = """

@@ -279,9 +279,86 @@ def test_state_round_trip(spark, tmp_path):
     state.save_graph(n, e.unionByName(spark.createDataFrame([("a", "gone", "Uses")], e.schema)), root)
     nodes, edges = state.load_graph(spark, root)
     assert nodes.count() == 5 and edges.count() == 5
-    (tmp_path / "cache").mkdir()
-    (tmp_path / "cache" / "x.parquet").write_text("spoilt")
+    for name in ("cache", "nodes"):
+        spoilt = tmp_path / name / "v99999999999999999999-x"
+        spoilt.mkdir(parents=True)
+        (spoilt / "x.parquet").write_text("spoilt")
+        assert state._versions(spark, root, name)[-1:] != [f"{root}/{name}/{spoilt.name}"]  # not whole: not there
+        (spoilt / "_SUCCESS").write_text("")
     assert state.load(spark, root, "cache").count() == 0
+    with pytest.raises(Exception, match="(?i)parquet|footer"):
+        state.load_graph(spark, root)
+
+
+def test_a_stopped_writer_leaves_the_old_table(spark, tmp_path):
+    from recallforge.sources import state
+
+    root = f"file://{tmp_path}"
+    for i in range(4):
+        state.save(spark.createDataFrame([(f"f{i}", "h")], state.MANIFEST), root, "manifest")
+        (tmp_path / "manifest" / f"v{10**19 + i}-half").mkdir()
+        assert rows(state.load(spark, root, "manifest")) == [(f"f{i}", "h")]
+    assert len(state._versions(spark, root, "manifest")) == 2
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from recallforge.operators import tables as operator_tables
+
+    context = SimpleNamespace(getConf=dict, master="yarn")
+    with pytest.raises(ValueError):
+        operator_tables.shared_dir(SimpleNamespace(sparkContext=context, conf={}))
+
+
+def test_staged_jobs_carry_candidates_or_why_not(spark):
+    from recallforge.operators import staging
+
+    long = " ".join(f"The deploy key number {i} rotates every ninety days at noon." for i in range(60))
+    entries = spark.createDataFrame([(long, "a note", "direct"), ("short text here", "a note", "web"), (long, "a note", "direct"), ("x" * 2001, "blob", "direct")], "content string, description string, source string")
+    got = {r["content"][:5]: r for r in staging.stage(entries, 2.0).collect()}
+    assert len(got) == 3 and len(got["The d"]["candidates"]) == 60 and "60 candidate concepts" in got["The d"]["prompt"] and "1. The deploy key number 0" in got["The d"]["prompt"]
+    assert got["short"]["candidates"] == [] and "candidate" not in got["short"]["prompt"] and "Untrusted source: web" in got["short"]["prompt"]
+    assert len(got["xxxxx"]["candidates"]) <= 1 and got["xxxxx"]["split_failure"] is None
+    assert len({r["candidates"][0] for r in staging.stage(entries, 0.5).collect() if r["candidates"] and len(r["candidates"]) < 60}) >= 1
+
+    def broken(sentences, threshold):
+        raise RuntimeError("no model")
+
+    failed = {r["content"][:5]: r for r in staging.stage(entries, 0.8, broken).collect()}
+    assert failed["The d"]["split_failure"] == "no model" and "Splitting failed (no model)" in failed["The d"]["prompt"] and failed["short"]["split_failure"] is None
+    assert staging.stage(entries.limit(0)).count() == 0
+
+
+def test_staged_personas(spark):
+    manifests = spark.createDataFrame([("p-1", "b", "who", "web", None, ["a.md", "b.md"])], "slug string, bank string, description string, source_label string, self_build boolean, artifacts array<string>")
+    row = store.stage_personas(manifests).first()
+    assert (row["job_id"], row["bank_id"], row["kind"], row["sources"], row["source"], row["self_build"]) == ("p-1", "b", "PersonaBuild", ["a.md", "b.md"], "web", False)
+
+
+def test_curator_jobs_name_both_entries(spark):
+    from recallforge.operators import staging
+
+    pairs = spark.createDataFrame([("b", 1, 2, "exact-dup", 100), ("b", 1, 3, "curation", 87)], "bank string, a long, b long, kind string, percent long")
+    got = staging.curator_jobs(pairs, lambda i: F.concat(F.lit("e"), i.cast("string"))).orderBy("job_id").collect()
+    assert [r["job_id"] for r in got] == ["curation-e1-e3", "exact-dup-e1-e2"] and got[0]["sources"] == ["wiki/e1.md", "wiki/e3.md"]
+    assert {r["source"] for r in got} == {"internal"} and "87%" in got[0]["prompt"] and "Untrusted" not in got[0]["prompt"]
+
+
+def test_the_floor_holds_for_unrounded_scores(spark):
+    entries = spark.createDataFrame([(1, [0.2999999996, 1.0]), (2, [0.3000000004, 1.0])], "id long, vector array<double>")
+    x = (1 + 0.2999999996**2) ** 0.5
+    query = spark.createDataFrame([([1.0, 0.0],)], "vector array<double>")
+    assert [r["id"] for r in search.recall(entries, query, floor=0.30000000001 / x).collect()] == [2]
+
+
+def test_of_several_results_the_first_counts(spark):
+    results = spark.createDataFrame([("j", "later", 2), ("j", "first", 1)], "job_id string, result string, n long")
+    none = spark.createDataFrame([], "slug string, content string")
+    after, _, _ = store.complete(results, none, results.select("job_id"), "n")
+    assert rows(after) == [("j", "first")]
+    same = spark.createDataFrame([("one", 1), ("one", 2)], "content string, n long")
+    assert store.stage_jobs(same, "n").count() == 1
 
 
 def test_recall_windows_gives_the_matching_part(spark):
