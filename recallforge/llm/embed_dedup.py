@@ -28,11 +28,13 @@ from ._shared import ensure_importable, frugal, stored
 from .components import components
 
 #: Points in a cell on average, points compared at a time, and rows of the sample that centroids are fitted on.
-CELL, BLOCK, SAMPLE = 16_384, 2048, 20_000
+CELL, BLOCK, SAMPLE = 16_384, 4096, 20_000
 #: Rows of a block that are multiplied at a time.
 STRIP = 512
 #: What rounding may take from a distance bound.
 MARGIN = 1e-6
+#: Centroids nearer to one another than this are one: points that lie between them lie in the first.
+SAME = 1e-7
 
 
 def spherical_kmeans(points: np.ndarray, cells: int, rounds: int = 12) -> np.ndarray:
@@ -75,8 +77,7 @@ def _pack(batches):
 
 def _assign(width: int, centroids: np.ndarray, reach: float):
     """The cells that each point lives in or visits."""
-    gaps = np.linalg.norm(centroids[:, None] - centroids[None], axis=2)
-    gaps[gaps == 0] = np.inf  # equal centroids: only the first has residents
+    squares = (centroids * centroids).sum(axis=1)
 
     def assign(batches):
         for batch in batches:
@@ -86,7 +87,10 @@ def _assign(width: int, centroids: np.ndarray, reach: float):
                 dots = x @ centroids.T
                 home = dots.argmax(axis=1)
                 best = dots[np.arange(len(x)), home]
-                visits = (best[:, None] - dots) / gaps[home] <= reach
+                homes, of = np.unique(home, return_inverse=True)
+                gaps = np.sqrt(np.maximum(squares[homes, None] + squares[None] - 2 * centroids[homes] @ centroids.T, 0.0))
+                gaps[gaps < SAME] = np.inf  # equal centroids: only the first has residents
+                visits = (best[:, None] - dots) / gaps[of] <= reach
                 visits[np.arange(len(x)), home] = True
                 row, cell = np.nonzero(visits)
                 taken = part.take(pa.array(row))

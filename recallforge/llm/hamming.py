@@ -1,7 +1,7 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-Codes are dealt by the hash of their id into blocks of bounded size, and every block is searched for every query. In a
-block, each code is indexed by each of its segments. A query looks up its own segments, then all segment values at
+Codes are dealt by the hash of their id into blocks of bounded size, queries into batches, and every block is searched
+for every batch, in a task of its own. In a block, each code is indexed by each of its segments. A query looks up its own segments, then all segment values at
 distance 1, 2, ... Once all segments have been searched to radius r, every code within ``segments * (r + 1) - 1`` of the
 query has been seen: if that differed by more than r in every segment it would be farther. So the search ends when the
 kth verified distance is within this bound, and no earlier. The best k of each block are merged into the best k of all.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from ._shared import ensure_importable, stored
 
-#: Codes in an index block on average.
-BLOCK = 16_384
+#: Codes in an index block, and queries in a batch, on average.
+BLOCK, BATCH = 16_384, 65_536
 SEGMENT_BITS = 16
 
 
@@ -116,9 +116,15 @@ def top_k(vectors: DataFrame, asks: Column, bits: int = 64, k: int = 10) -> Data
     """
     ensure_importable(vectors.sparkSession)
     codes = stored(sign_codes(vectors, bits), "codes")
-    blocks = max(1, -(-codes.count() // BLOCK))
-    index = codes.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    asked = codes.where(asks).dropDuplicates(["id"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = index.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_search(k), "query_id long, vec_id long, distance long")
+    wanted = codes.where(asks).dropDuplicates(["id"])
+    blocks, batches = max(1, -(-codes.count() // BLOCK)), max(1, -(-wanted.count() // BATCH))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    index = codes.withColumn("block", dealt(blocks)).withColumn("batch", every(batches))
+    asked = wanted.withColumn("batch", dealt(batches)).withColumn("block", every(blocks))
+    # A number of partitions that is asked for is kept, so that small blocks are not put together in one task.
+    tasks, keys = min(4 * blocks * batches, 20_000), ["block", "batch"]
+    sides = [x.repartition(tasks, *keys).groupBy(*keys) for x in (index, asked)]
+    found = sides[0].cogroup(sides[1]).applyInArrow(_search(k), "query_id long, vec_id long, distance long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")

@@ -553,15 +553,15 @@ def test_top_k(spark):
     frame, rows = vectors_frame(spark)
     code = lambda v: [x is not None and x > 0 for x in v]
     known = [(i, np.array(code(v))) for i, v, _ in rows if i is not None and v is not None and len(v) == 64]
-    for block in (16_384, 20):
-        hamming.BLOCK = block
+    for block, batch in ((16_384, 65_536), (20, 2)):
+        hamming.BLOCK, hamming.BATCH = block, batch
         got = defaultdict(list)
         for r in hamming.top_k(frame, F.col("id") % 50 == 0, k=10).orderBy("query_id", "rank").collect():
             got[r["query_id"]].append((r["distance"], r["vec_id"]))
         for q, c in dict((i, c) for i, c in known if i % 50 == 0).items():
             want = sorted((int((c != d).sum()), i) for i, d in known if i != q)[:10]
             assert got[q] == want
-    hamming.BLOCK = 16_384
+    hamming.BLOCK, hamming.BATCH = 16_384, 65_536
     assert hamming.top_k(frame.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
@@ -841,7 +841,7 @@ def test_near_vectors(spark):
         for i in (500, 502, 550, 503):
             assert [(r["n_links"], r["component_id"], r["kept"]) for r in got[i]] == [(0, i, True)]
         assert sum(map(len, got.values())) == frame.count()
-    embed_dedup.CELL, embed_dedup.BLOCK = 4096, 1024
+    embed_dedup.CELL, embed_dedup.BLOCK = 16_384, 4096
     assert embed_dedup.near_duplicate_vectors(frame.limit(0)).count() == 0
 
 
