@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from ._shared import ranges
 
 #: At so many distinct parts all but the first so many are forgotten; one takes about 50 bytes.
-_CACHE_PARTS, _KEPT_PARTS = 1_000_000, 300_000
+_CACHE_PARTS, _KEPT_PARTS = 600_000, 250_000
 #: So many distinct parts are encoded as one text.
 _RUN = 512
 #: Single spaces between characters that are no white space.

@@ -75,15 +75,28 @@ class Model:
         #: By length, the hashes of known n-grams in order, and their scores.
         self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in range(1, LONGEST + 1):
-            h, own = gram_hashes(self.words, n) if len(self.words) else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            keys, where = np.unique(h, return_inverse=True)
-            of = np.repeat(np.arange(len(own)), own)
-            sums = [np.bincount(where, table[of, k], len(keys)) for k in range(len(self.languages))]
-            self.grams[n] = keys, self._logs(np.column_stack(sums) if sums else np.empty((0, 0)))
+            self.grams[n] = self._counted_grams(table, n)
+
+    def _counted_grams(self, table: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words are hashed a chunk at a time and hashes counted a sixteenth at a time, so that little is held at once."""
+        hashes, of = [np.empty(0, np.uint64)], [np.empty(0, np.int32)]
+        for i in range(0, len(self.words), _CHUNK):
+            h, own = gram_hashes(self.words[i : i + _CHUNK], n)
+            hashes.append(h)
+            of.append(np.repeat(np.arange(i, i + len(own), dtype=np.int32), own))
+        h, word = np.concatenate(hashes), np.concatenate(of)
+        del hashes, of
+        keys, sums = [], []
+        for part in range(16):
+            at = np.flatnonzero(h >> np.uint64(60) == part)
+            found, where = np.unique(h[at], return_inverse=True)
+            keys.append(found)
+            sums.append(np.column_stack([np.bincount(where, table[word[at], k], len(found)) for k in range(table.shape[1])]) if table.shape[1] else np.empty((len(found), 0)))
+        return np.concatenate(keys), self._logs(np.concatenate(sums))
 
     @staticmethod
     def _logs(table: np.ndarray) -> np.ndarray:
-        return np.log(table + SMOOTHING) - np.log(table.sum(axis=0) + SMOOTHING * len(table))
+        return (np.log(table + SMOOTHING) - np.log(table.sum(axis=0) + SMOOTHING * len(table))).astype(np.float32)
 
     def scores(self, words: pa.Array) -> np.ndarray:
         """A row per word."""

@@ -30,7 +30,7 @@ from ._tokens import Encoder
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Texts are encoded in portions of at most so many rows and about so many bytes, so that a worker's memory does not
 #: follow Spark's batches or a few long texts.
-PORTION_ROWS, PORTION_BYTES = 4000, 6 << 20
+PORTION_ROWS, PORTION_BYTES = 4000, 3 << 20
 
 
 def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
