@@ -139,8 +139,6 @@ class Encoder:
     def _numbers(self, parts: pa.Array) -> np.ndarray:
         """The places of ``parts``, learned where new."""
         coded = parts.dictionary_encode()
-        if len(self.parts) > _CACHE_PARTS:
-            self.forget()
         at = pc.index_in(coded.dictionary, self.parts)
         if at.null_count:
             new = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
@@ -181,6 +179,8 @@ class Encoder:
         """All ids, text after text, each followed by ``end_id`` if there is one, and where those of each text end."""
         column = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
         n = len(column)
+        if len(self.parts) > _CACHE_PARTS:  # here only: numbers of parts hold until the end
+            self.forget()
         whole = np.full(n, not self.cuts)
         for content in self.added:
             whole |= pc.match_substring(column, content).to_numpy(zero_copy_only=False)

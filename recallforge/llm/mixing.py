@@ -227,7 +227,8 @@ class Mix:
 def mixed_documents(docs: DataFrame, block_words: int = 128, **options) -> DataFrame:
     """The mix as documents, with the columns of ``docs``, shard by shard in the shard's order.
 
-    A row holds what a shard drew of a document in one round: the whole text, or the drawn blocks. n_chars follows the
+    A row holds what a shard drew of a document in one round: the whole text, or the drawn blocks with the white space
+    between them. n_chars follows the
     new text; other columns are kept, whatever their names.
     """
     names = docs.columns
@@ -244,6 +245,7 @@ def mixed_documents(docs: DataFrame, block_words: int = 128, **options) -> DataF
     same = of("doc_id").eqNullSafe(drawn["doc_id"]) & of("source").eqNullSafe(drawn["source"]) & (sized["words"] == drawn["size"]) & (sized["nth"] == drawn["copy"])
     words = F.regexp_extract_all(of("text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
     part = F.array_join(F.filter(words, lambda w, i: F.array_contains(F.col("drawn"), F.floor(i / block_words).cast("long"))), "")
+    part = F.regexp_replace(part, r"^[\x20\x09-\x0D]+", "")
     text = F.when(F.size("drawn") * block_words >= F.col("words"), of("text")).otherwise(part)
     cut = sized.join(drawn, same).withColumn(f"c{names.index('text')}", text)
     if "n_chars" in names:

@@ -352,6 +352,10 @@ def test_encoder_is_exact(monkeypatch):
     monkeypatch.setattr(_tokens, "_RUN", 3)
     small = Encoder(default_tokenizer(), 4)
     assert [found(small, ODD[i : i + 5]) for i in range(0, len(ODD), 5)] == [want[i : i + 5] for i in range(0, len(ODD), 5)]
+    monkeypatch.setattr(_tokens, "_CACHE_PARTS", 0)
+    monkeypatch.setattr(_tokens, "_KEPT_PARTS", 1)
+    for _ in range(2):
+        assert found(small, ODD) == want and found(small, ODD[::-1]) == want[::-1]
     small.cuts = False
     assert found(small, ODD) == want
 
