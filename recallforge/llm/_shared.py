@@ -68,6 +68,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    give_back()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -76,16 +77,21 @@ def few(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def give_back() -> None:
+    """Frees what is no longer used: in a worker and on the driver, whose dead frames also hold plans in the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def frugal(stage):
     """``stage`` for mapInArrow, such that a reused worker gives back at its end what its allocators keep for later."""
 
     @functools.wraps(stage)
     def run(batches):
         yield from stage(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return run
 
