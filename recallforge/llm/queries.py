@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, bpe, embed_dedup, hamming, html_extract, langid, minhash, mixing, packing, pii, token_records
+from . import bloom_lm, bpe, embed_dedup, hamming, html_extract, langid, merkle, minhash, mixing, packing, pii, token_records
 from ._shared import read_table
 from ._tokens import default_tokenizer
 
@@ -94,6 +94,10 @@ def op12_bpe_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"), default_tokenizer())
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_rows(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pii_surrogates": op1_pii_surrogates,
@@ -107,6 +111,7 @@ def queries() -> dict[str, Query]:
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_source_mixing": op10_source_mixing,
         "op12_bpe_prefixes": op12_bpe_prefixes,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
