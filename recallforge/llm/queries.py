@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, bpe, embed_dedup, hamming, html_extract, langid, merkle, minhash, mixing, packing, pii, token_records
+from . import bloom_lm, bpe, conversations, embed_dedup, hamming, html_extract, langid, merkle, minhash, mixing, packing, pii, token_records
 from ._shared import read_table
 from ._tokens import default_tokenizer
 
@@ -90,6 +90,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(read_table(spark, sf_dir, "documents")).taken()
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = read_table(spark, sf_dir, "conversations")
+    return conversations.repair_digests(conversations.damage(given), given.select("conv_id"))
+
+
 def op12_bpe_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"), default_tokenizer())
 
@@ -110,6 +115,7 @@ def queries() -> dict[str, Query]:
         "op8_token_records": op8_token_records,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_source_mixing": op10_source_mixing,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_bpe_prefixes": op12_bpe_prefixes,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
