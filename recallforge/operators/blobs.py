@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
+from .tables import before_ranges, dealt_in_order, maybe_broadcast
 
-#: Rows of the eviction order that one task sums, on average.
+#: Objects of a range of the eviction order, on average.
 ROWS_PER_RANGE = 100_000
 
 
@@ -43,28 +44,28 @@ def stats(objects: DataFrame) -> DataFrame:
     return objects.agg(F.count("*").alias("entry_count"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("total_bytes"), F.min("last_seen").alias("oldest_last_seen"))
 
 
-def evictions(objects: DataFrame, now: int, max_age: int, max_bytes: int) -> DataFrame:
+def evictions(objects: DataFrame, now: int, max_age: int, max_bytes: int, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """``objects`` (handle, last_seen, size) with evicted and by ('age', 'size' or null).
 
     Too old is what was seen ``max_age`` seconds ago or earlier. Of the rest, the longest unseen go, ties by handle,
-    until the total is within ``max_bytes``. The running sum is taken over ranges of last_seen first (one row each meets
-    in one task), then within ranges, so no task sorts all objects.
+    until the total is within ``max_bytes``. Objects are dealt out by quantiles of (last_seen, handle), so a bulk load of
+    one moment is split like any other; sums of ranges tell which go whole and which stay whole, and only the range in
+    which the total comes within bounds is summed row by row.
     """
     aged = objects.withColumn("old", F.greatest(F.lit(now) - F.col("last_seen"), F.lit(0)) >= max_age)
-    young = aged.where("not old")
-    span = young.agg(F.min("last_seen").alias("low"), F.max("last_seen").alias("high"), F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("total")).first()
+    young = aged.where("not old").drop("old")
+    total = int(young.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     old = aged.where("old").drop("old").withColumn("evicted", F.lit(True)).withColumn("by", F.lit("age"))
-    total = int(span["total"])
     if total <= max_bytes:
-        return old.unionByName(young.drop("old").withColumn("evicted", F.lit(False)).withColumn("by", F.lit(None).cast("string")))
-    ranges = max(1, -(-span["n"] // ROWS_PER_RANGE))
-    width = max(1, -(-(span["high"] - span["low"] + 1) // ranges))
-    placed = young.drop("old").withColumn("range", F.floor((F.col("last_seen") - span["low"]) / width).cast("long"))
-    sums = placed.groupBy("range").agg(F.sum("size").alias("size"))
-    base = sums.select("range", F.coalesce(F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    within = Window.partitionBy("range").orderBy("last_seen", "handle").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    summed = placed.join(base, "range").withColumn("evicted", F.lit(total) - before > max_bytes).drop("range", "base")
+        return old.unionByName(young.withColumn("evicted", F.lit(False)).withColumn("by", F.lit(None).cast("string")))
+    dealt = dealt_in_order(young, [F.col("last_seen"), F.col("handle")], rows_per_range)
+    placed = dealt.join(maybe_broadcast(before_ranges(dealt, F.col("size")), 1_000_000), "range")
+    left = F.lit(total) - F.col("base")
+    cut = (left > max_bytes) & (left - F.col("own") <= max_bytes)
+    within = Window.partitionBy("range").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    split = placed.where(cut).withColumn("evicted", F.lit(total) - F.col("base") - F.coalesce(F.sum("size").over(within), F.lit(0)) > max_bytes)
+    whole = placed.where(~cut).withColumn("evicted", left > max_bytes)
+    summed = split.unionByName(whole).drop("range", "pos", "base", "own")
     return old.unionByName(summed.withColumn("by", F.when(F.col("evicted"), "size")))
 
 

@@ -13,11 +13,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .tables import ensure_importable, stored
+from .tables import ensure_importable, ordinals, stored
 
 # File extensions by language, and folders that are never entered.
 LANGUAGES = {"rs": "rust", "ts": "script", "tsx": "script", "js": "script", "jsx": "script", "mjs": "script", "cjs": "script", "go": "go", "py": "python"}
@@ -329,7 +329,7 @@ def extract(files: DataFrame) -> DataFrame:
 
 def _nodes(rows: DataFrame, base: int) -> DataFrame:
     """Nodes in order of insertion: files by the components of their path, then by place; an id keeps its first place."""
-    order = rows.select("rel").distinct().withColumn("file", F.row_number().over(Window.orderBy(F.split("rel", "/"))).cast("long"))
+    order = ordinals(rows.select("rel").distinct(), [F.split("rel", "/")], "file")
     placed = rows.where("what = 'node'").join(order, "rel").withColumn("ord", F.lit(base) + F.col("file") * (1 << 32) + F.col("seq"))
     parts = F.split("b", "\t")
     return graph.upsert_nodes(placed.select(F.col("a").alias("id"), parts[0].alias("kind"), parts[1].alias("name"), "ord"), placed.limit(0).select(F.col("a").alias("id"), F.col("b").alias("kind"), F.col("b").alias("name"), "ord"))
@@ -359,7 +359,7 @@ def update(nodes: DataFrame, edges: DataFrame, old: DataFrame, files: DataFrame)
     """(nodes, edges, manifest) after ``files`` took the place of those in the manifest ``old``.
 
     Only changed and new files are read again. Their nodes go to the end, and only their own calls and bases are looked
-    up: an edge from an unchanged file into a changed one is lost until the next build.
+    up: an edge from an unchanged file into a changed one is lost until the next build. ``code_index.update`` keeps them.
     """
     from ..functions.hashing import content_hash
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,27 @@ def maybe_broadcast(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def dealt_in_order(df: DataFrame, keys: list[Column], rows_per_range: int = 100_000) -> DataFrame:
+    """``df``, sorted, with ``range`` and, ascending within it, ``pos``: ranges of about equal numbers of rows, by quantiles of
+    the keys, so that only rows which are equal in all of them must lie in one."""
+    ranges = max(1, -(-df.count() // rows_per_range))
+    dealt = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("pos", F.monotonically_increasing_id())
+    return stored(dealt.withColumn("range", F.shiftright("pos", 33)), "ordered")
+
+
+def before_ranges(dealt: DataFrame, value: Column) -> DataFrame:
+    """(range, base, own): the sums of ``value`` over earlier ranges and over this one. One row per range meets in a task."""
+    sums = dealt.groupBy("range").agg(F.coalesce(F.sum(value), F.lit(0)).alias("own"))
+    return sums.select("range", F.coalesce(F.sum("own").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), "own")
+
+
+def ordinals(df: DataFrame, keys: list[Column], name: str, rows_per_range: int = 100_000) -> DataFrame:
+    """``df`` with the place of each row in order of ``keys``, from 1 on, counted per range first."""
+    dealt = dealt_in_order(df, keys, rows_per_range)
+    place = F.col("base") + F.col("pos").bitwiseAND((1 << 33) - 1) + 1
+    return dealt.join(maybe_broadcast(before_ranges(dealt, F.lit(1)), 1_000_000), "range").select(*df.columns, place.cast("long").alias(name))
+
+
 def ensure_importable(spark: SparkSession) -> None:
     """Python workers find this package although the driver may have been started elsewhere."""
     import os

@@ -279,15 +279,48 @@ def test_state_round_trip(spark, tmp_path):
     state.save_graph(n, e.unionByName(spark.createDataFrame([("a", "gone", "Uses")], e.schema)), root)
     nodes, edges = state.load_graph(spark, root)
     assert nodes.count() == 5 and edges.count() == 5
-    for name in ("cache", "nodes"):
-        spoilt = tmp_path / name / "v99999999999999999999-x"
-        spoilt.mkdir(parents=True)
-        (spoilt / "x.parquet").write_text("spoilt")
-        assert state._versions(spark, root, name)[-1:] != [f"{root}/{name}/{spoilt.name}"]  # not whole: not there
-        (spoilt / "_SUCCESS").write_text("")
+    spoilt = tmp_path / "cache" / "v99999999999999999999-x"
+    spoilt.mkdir(parents=True)
+    (spoilt / "x.parquet").write_text("spoilt")
+    assert state._versions(spark, root, "cache")[-1:] != [f"{root}/cache/{spoilt.name}"]  # not whole: not there
+    (spoilt / "_SUCCESS").write_text("")
     assert state.load(spark, root, "cache").count() == 0
+    for part in (tmp_path / "graph" / "nodes").glob("v*/*.parquet"):
+        part.write_text("spoilt")
     with pytest.raises(Exception, match="(?i)parquet|footer"):
-        state.load_graph(spark, root)
+        state.load_graph(spark, root)[0].collect()
+
+
+def test_a_writer_stopped_between_two_tables_leaves_the_old_pair(spark, tmp_path, monkeypatch):
+    from recallforge.sources import state
+
+    root = f"file://{tmp_path}"
+    n, e = tables(spark)
+    state.save_graph(n, e, root)
+    old = [rows(x) for x in state.load_graph(spark, root)]
+
+    class Stopped(Exception):
+        pass
+
+    class Unwritable:
+        def __init__(self, df):
+            self.sparkSession = df.sparkSession
+
+        def select(self, *_):
+            return self
+
+        @property
+        def write(self):
+            raise Stopped
+
+    for _ in range(3):
+        with pytest.raises(Stopped):
+            state.save_graph(n.where("id = 'a'"), Unwritable(e), root)
+        assert [rows(x) for x in state.load_graph(spark, root)] == old
+    for hub in ("a", "b", "c"):
+        state.save_graph(n.where(f"id = '{hub}'"), e.limit(0), root)
+        assert [r["id"] for r in state.load_graph(spark, root)[0].collect()] == [hub]
+    assert len(list((tmp_path / "graph" / "nodes").glob("v*"))) == 2 and len(state._pointers(spark, root, "graph")) == 2
 
 
 def test_a_stopped_writer_leaves_the_old_table(spark, tmp_path):
