@@ -140,12 +140,10 @@ def test_similar_pairs_in_blocks(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(40, 5))
     v[7] = v[3]
-    search.BLOCK, old = 8, search.BLOCK
-    try:
-        entries = spark.createDataFrame([("b", i, [float(x) for x in r]) for i, r in enumerate(v)], "bank string, id long, vector array<double>")
-        got = {(r["a"], r["b"]) for r in search.similar_pairs(entries, 0.5).collect()}
-    finally:
-        search.BLOCK = old
+    entries = spark.createDataFrame([("b", i, [float(x) for x in r]) for i, r in enumerate(v)], "bank string, id long, vector array<double>")
+    got = [(r["a"], r["b"]) for r in search.similar_pairs(entries, 0.5, block=8).collect()]
+    assert len(got) == len(set(got))
+    got = set(got)
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     s = u @ u.T
     assert got == {(i, j) for i in range(40) for j in range(i + 1, 40) if s[i, j] >= 0.5}
