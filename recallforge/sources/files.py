@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_frontmatter, summarize
-from ..operators.extract import LANGUAGES, SKIPPED_FOLDERS
+from .folders import source_files
 
 INDEX_HEAD = "# Index\n\n## Pending\n\n## Entries\n"
 
@@ -63,10 +63,7 @@ def transcripts(spark: SparkSession, root: str) -> DataFrame:
 
 def source_tree(spark: SparkSession, root: str) -> DataFrame:
     """(rel, content) of supported source files; hidden and build folders are not entered; content that is no UTF-8 is null."""
-    rows = _whole(spark, root, "*.{" + ",".join(LANGUAGES) + "}", True).select(_relative(F.col("path"), root).alias("rel"), _text(F.col("bytes")).alias("content"))
-    folders = F.slice(F.split("rel", "/"), F.lit(1), F.size(F.split("rel", "/")) - 1)
-    pruned = F.exists(folders, lambda d: d.startswith(".") | d.isin(*SKIPPED_FOLDERS))
-    return rows.where(~pruned).orderBy(F.split("rel", "/"))
+    return source_files(spark, root).orderBy(F.split("rel", "/"))
 
 
 def blob_objects(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
