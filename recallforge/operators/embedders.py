@@ -6,10 +6,13 @@ executors, made once per worker process.
 
 from __future__ import annotations
 
+import hashlib
+import time
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark.serializers import CloudPickleSerializer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -19,6 +22,7 @@ from . import search
 from .tables import ensure_importable
 
 Embedder = Callable[[DataFrame, list[str]], DataFrame]
+Model = Callable[[list[str]], np.ndarray]
 #: Texts that a model gets at a time.
 BATCH = 32
 
@@ -45,16 +49,34 @@ def mean_pool(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.where(size > 0, mean / np.where(size > 0, size, 1), 0.0)
 
 
-def batched(make: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = BATCH) -> Embedder:
-    """``make`` builds the model on a worker; it maps texts to an array of vectors, in order."""
+#: The models that this worker process has made.
+_models: dict[str, Model] = {}
+
+
+def model_of(key: str, make: Callable[[], Model], attempts: int = 3, wait: float = 2.0) -> Model:
+    """The process's model of that key, made when it is asked for first; making it may fail all but the last time."""
+    while key not in _models:
+        try:
+            _models[key] = make()
+        except Exception:
+            attempts -= 1
+            if attempts <= 0:
+                raise
+            time.sleep(wait)
+    return _models[key]
+
+
+def batched(make: Callable[[], Model], batch: int = BATCH, attempts: int = 3, wait: float = 2.0) -> Embedder:
+    """``make`` builds the model, once in each worker process however many tasks it serves; the model maps texts to an array
+    of vectors, in order."""
+    key = hashlib.sha256(CloudPickleSerializer().dumps(make)).hexdigest()
 
     def embed(texts: DataFrame, keys: list[str]) -> DataFrame:
         ensure_importable(texts.sparkSession)
 
         def run(batches):
-            model = None
             for rows in batches:
-                model = model or make()
+                model = model_of(key, make, attempts, wait)
                 found: list[list[float]] = []
                 all_texts = [t or "" for t in rows.column(len(keys)).to_pylist()]
                 for at in range(0, len(all_texts), batch):

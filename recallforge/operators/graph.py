@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from .search import DIGITS, dense
-from .tables import stored
+from .tables import maybe_broadcast, stored
 
-#: Levels of a search after which what was reached is stored as one table.
+#: Rounds of a search after which what was reached is stored as one table.
 STORED_HOPS = 50
 
 
@@ -69,44 +69,97 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return counts.groupBy("what", "kind").agg(F.count("*").alias("n"))
 
 
+def chains(links: DataFrame, ends: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of distinct ``links`` (src, dst), and of the nodes with one way in and one way out that are not among ``ends``:
+
+    (id, root, place, before), the chain that each lies on, by its first node, the place from 0, and the node before; and
+    (src, dst, weight, via, root), the links between all other nodes, among them one for each whole chain, ``via`` being the
+    last node before dst. Places are found by pointer doubling, so a chain of n nodes takes log2(n) rounds; rings of such
+    nodes, which nothing else reaches, are in neither.
+    """
+    out = links.groupBy("src").agg(F.count("*").alias("n_out"), F.min("dst").alias("next"))
+    into = links.groupBy("dst").agg(F.count("*").alias("n_in"), F.min("src").alias("before"))
+    through = out.join(into, F.col("src") == F.col("dst")).where((F.col("n_out") == 1) & (F.col("n_in") == 1) & ~F.col("src").isin(ends))
+    inner = stored(through.select(F.col("src").alias("id"), "before", "next"), "inner")
+    inside = inner.select(F.col("id").alias("inside"))
+    first = inner.join(inside, F.col("before") == F.col("inside"), "left")
+    at = stored(first.select("id", F.coalesce("inside", "id").alias("to"), F.when(F.col("inside").isNull(), 0).otherwise(1).cast("long").alias("place"), F.col("inside").isNull().alias("done")), "pointers")
+    found = at.where("done")
+    waiting, most = at.where("not done"), max(1, inner.count()).bit_length() + 1
+    for _ in range(most):
+        if waiting.isEmpty():
+            break
+        # What waits points to a node each; what is done no longer takes part but as a target.
+        target = found.unionByName(waiting).select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("place").alias("more"), F.col("done").alias("ends"))
+        step = stored(waiting.join(target, "to").select("id", F.col("far").alias("to"), (F.col("place") + F.col("more")).alias("place"), F.col("ends").alias("done")), "pointers")
+        found, waiting = found.unionByName(step.where("done")), step.where("not done")
+    placed = stored(found.select("id", F.col("to").alias("root"), "place").join(inner, "id"), "chains")
+    whole = placed.groupBy("root").agg(F.max_by(F.struct("id", "next"), "place").alias("last"), F.min_by("before", "place").alias("src"), (F.max("place") + 2).alias("weight"))
+    jumps = whole.select("src", F.col("last.next").alias("dst"), "weight", F.col("last.id").alias("via"), "root")
+    plain = links.join(inside.withColumnRenamed("inside", "src"), "src", "left_anti").join(inside.withColumnRenamed("inside", "dst"), "dst", "left_anti")
+    return placed.select("id", "root", "place", "before"), stored(plain.select("src", "dst", F.lit(1).cast("long").alias("weight"), F.col("src").alias("via"), F.lit(None).cast("string").alias("root")).unionByName(jumps), "jumps")
+
+
 def bfs(edges: DataFrame, start: str, goal: str | None = None) -> DataFrame:
-    """(id, hops, prev) of what ``start`` reaches along edges, up to the level of ``goal`` if one is given.
+    """(id, hops, prev) of what ``start`` reaches along edges, up to the distance of ``goal`` if one is given; prev is the
+    smallest predecessor on a shortest path.
 
-    One join per level; the frontier is joined, nodes seen before are dropped, one row per node is kept, by the
-    smallest predecessor. What was reached is stored anew now and then, so that plans do not grow with the levels.
+    Chains are jumped over, so a round passes a branching, not a step. The nodes that a round has brought nearer are
+    joined with the links; distances are stored anew now and then, so that plans do not grow with the rounds.
     """
     spark = edges.sparkSession
     links = stored(edges.select("src", "dst").where("src <> dst").distinct(), "links")
-    seen = stored(spark.createDataFrame([(start, 0, None)], "id string, hops long, prev string"), "seen")
-    frontier = seen
-    for hop in itertools.count(1):
-        step = frontier.select(F.col("id").alias("src")).join(links, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("prev"))
-        frontier = stored(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop).cast("long").alias("hops"), "prev"), "frontier")
+    inner, jumps = chains(links, [x for x in (start, goal) if x is not None])
+    frontier = seen = stored(spark.createDataFrame([(start, 0)], "id string, hops long"), "seen")
+    for n in itertools.count(1):
+        step = frontier.join(jumps.withColumnRenamed("src", "id"), "id").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("hops") + F.col("weight")).alias("hops"))
+        known = seen.groupBy("id").agg(F.min("hops").alias("known"))
+        frontier = stored(step.join(known, "id", "left").where("known is null or hops < known").select("id", "hops"), "frontier")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-        if hop % STORED_HOPS == 0:
-            seen = stored(seen, "seen")
-        if goal is not None and not frontier.where(F.col("id") == goal).isEmpty():
-            break
-    return seen
+        if n % STORED_HOPS == 0:
+            seen = stored(seen.groupBy("id").agg(F.min("hops").alias("hops")), "seen")
+        if goal is not None:
+            there, least = seen.where(F.col("id") == goal).agg(F.min("hops")).first()[0], frontier.agg(F.min("hops")).first()[0]
+            if there is not None and least >= there:
+                break
+    seen = stored(seen.groupBy("id").agg(F.min("hops").alias("hops")), "seen")
+    froms = jumps.join(seen.select(F.col("id").alias("src"), F.col("hops").alias("from")), "src")
+    into = froms.join(seen.select(F.col("id").alias("dst"), "hops"), "dst").where(F.col("from") + F.col("weight") == F.col("hops"))
+    prev = into.groupBy(F.col("dst").alias("id")).agg(F.min("via").alias("prev"))
+    others = seen.join(prev, "id", "left").select("id", "hops", "prev")
+    within = inner.join(froms.where("root is not null").select("root", "from"), "root").select("id", (F.col("from") + F.col("place") + 1).alias("hops"), F.col("before").alias("prev"))
+    found = others.unionByName(within)
+    if goal is None:
+        return found
+    limit = seen.where(F.col("id") == goal).agg(F.min("hops")).first()[0]
+    return found if limit is None else found.where(F.col("hops") <= limit)
 
 
 def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, goal: str) -> DataFrame:
-    """(step, id) of a shortest directed path, of equal ones that of the smallest predecessors; no row if there is none."""
+    """(step, id) of a shortest directed path, of equal ones that of the smallest predecessors; no row if there is none.
+
+    The path is read off the predecessors by pointer doubling: from tables of the ancestors 1, 2, 4, ... steps before, the
+    farthest first, each of which doubles what is known of it.
+    """
     spark = edges.sparkSession
-    both = nodes.where(F.col("id").isin(start, goal)).select("id").distinct().count()
-    if both < len({start, goal}):
-        return spark.createDataFrame([], "step long, id string")
-    seen = stored(bfs(edges, start, goal), "reached")
-    path, at = [], goal
-    while at is not None:
-        row = seen.where(F.col("id") == at).first()
-        if row is None:
-            return spark.createDataFrame([], "step long, id string")
-        path.append((row["hops"], at))
-        at = row["prev"]
-    return spark.createDataFrame(path[::-1], "step long, id string")
+    nothing = spark.createDataFrame([], "step long, id string")
+    if nodes.where(F.col("id").isin(start, goal)).select("id").distinct().count() < len({start, goal}):
+        return nothing
+    reached = stored(bfs(edges, start, goal), "reached")
+    end = reached.where(F.col("id") == goal).first()
+    if end is None:
+        return nothing
+    ancestors, steps = [reached.where("prev is not null").select("id", F.col("prev").alias("to"))], 1
+    while 2 * steps <= end["hops"]:
+        near = ancestors[-1]
+        ancestors.append(stored(near.join(near.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to")), "ancestors"))
+        steps *= 2
+    path = stored(reached.where(F.col("id") == goal).select("id"), "path")
+    for table in reversed(ancestors):
+        path = stored(path.unionByName(table.join(maybe_broadcast(path, 1_000_000), "id").select(F.col("to").alias("id"))).distinct(), "path")
+    return reached.join(path, "id", "left_semi").select(F.col("hops").alias("step"), "id")
 
 
 def graph_query(nodes: DataFrame, query: DataFrame, limit: int = 5) -> DataFrame:

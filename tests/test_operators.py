@@ -81,6 +81,46 @@ def test_a_search_ends_at_an_empty_frontier_only(spark, monkeypatch):
     assert "most_hops" not in inspect.signature(graph.bfs).parameters
 
 
+def test_a_long_chain_takes_a_logarithm_of_rounds(spark, monkeypatch):
+    """10,000 steps, with a fork on the way whose branches are equally long: the smaller predecessor wins."""
+    n, written = 10_000, []
+    monkeypatch.setattr(graph, "stored", (lambda f: lambda df, name: written.append(name) or f(df, name))(graph.stored))
+    links = [(f"n{i}", f"n{i + 1}") for i in range(n)] + [("n4000", "m1"), ("m1", "m2"), ("m2", "n4003")]
+    links += [("ring1", "ring2"), ("ring2", "ring1"), ("n7", "n7")]
+    e = spark.createDataFrame([(a, b, "Calls") for a, b in links], "src string, dst string, kind string").repartition(4)
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    path = [r["id"] for r in graph.shortest_path(nodes, e, "n0", f"n{n}").orderBy("step").collect()]
+    assert path == [f"n{i}" for i in range(4001)] + ["m1", "m2"] + [f"n{i}" for i in range(4003, n + 1)]
+    assert len(written) <= 6 * n.bit_length()
+
+
+def test_models_are_made_once_in_a_process(spark):
+    import numpy as np
+
+    from recallforge.operators import embedders
+
+    made, tries = spark.sparkContext.accumulator(0), []
+
+    def make():
+        made.add(1)
+        return lambda texts: np.array([[float(len(t))] for t in texts])
+
+    texts = spark.range(40).selectExpr("id", "cast(id as string) as text").repartition(20)
+    embed = embedders.batched(make)
+    assert embed(texts, ["id"]).count() == embed(texts, ["id"]).count() == 40
+    assert 1 <= made.value <= 2 * spark.sparkContext.defaultParallelism < 40
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("not there yet")
+        return len
+
+    assert embedders.model_of("flaky", flaky, wait=0) is len and embedders.model_of("flaky", flaky) is len and len(tries) == 3
+    with pytest.raises(OSError):
+        embedders.model_of("broken", lambda: open("/none/such"), attempts=2, wait=0)
+
+
 def test_edges_are_kept_with_repeats(spark):
     n, e = tables(spark)
     more = e.unionByName(spark.createDataFrame([("a", "gone", "Calls")], e.schema))
