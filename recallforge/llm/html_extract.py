@@ -26,6 +26,7 @@ from .html_blocks import LABELLED
 
 # What HTML calls these elements.
 HIDDEN = frozenset("script style noscript template svg iframe object canvas math head title textarea select video audio".split())
+RAW = frozenset("script style textarea title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav footer aside form menu dialog button label fieldset".split())
@@ -39,37 +40,66 @@ FURNITURE_WORDS = frozenset(
 )
 ARTICLE_WORDS = frozenset("article post entry story content maincontent main".split())
 
+#: Parts of names that say how an element is laid out, or that it lists several of something.
+LAYOUT = frozenset(
+    "list lists item items wrap wrapper box container area section block body inner outer links link buttons button bar row col column columns grid panel slot unit holder group set "
+    "top bottom left right center content text title heading widget widgets icons icon thread entry entries posts articles stories news media module region zone".split()
+)
+
 #: Names that begin so say what a layout goes with, not what the element is.
 MODIFIERS = frozenset("with has no is without js".split())
 
 #: A tag from its < on. A value in quotes follows its = at once; any other quote is a character like others. Nothing is
 #: tried twice, so a tag that never ends takes one pass.
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|["'=])*+)>""")
-_MARKS = re.compile(r"""(?<![^\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDES = re.compile(r"""(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 _PARTS = re.compile(r"[^a-z]+")
 
 
+def is_furniture_name(parts: list[str], in_article: bool) -> bool:
+    """Whether a class, id or role, in parts, names page furniture: what it calls the element is its last part that is more
+    than layout. A share-story is a story, an article-sidebar a sidebar; an article's own header is no furniture."""
+    at = len(parts) - 1
+    while at > 0 and parts[at] in LAYOUT:
+        at -= 1
+    if at < 0 or parts[at] not in FURNITURE_WORDS:
+        return False
+    return parts[at] != "header" or not in_article and ARTICLE_WORDS.isdisjoint(parts)
+
+
 def _role(tag: str, attributes: str, in_article: bool) -> str:
     """'x' for page furniture by its element, 'n' for page furniture by its name, 'a' for article, '-' for none of these."""
     if tag in FURNITURE or tag == "header" and not in_article:
         return "x"
     marks: set[str] = set()
     furniture = False
-    if attributes:
-        if _HIDES.search(attributes):
+    for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
+        name, value = name.lower(), "".join(values).lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in "".join(value.split()):
             return "x"
-        for found in _MARKS.findall(attributes):
-            for name in "".join(found).lower().split():
-                parts = [x for x in _PARTS.split(name) if x]
-                if parts and parts[0] not in MODIFIERS:
-                    marks.update(parts)
-                    furniture |= not FURNITURE_WORDS.isdisjoint(parts)
+        for own in value.split() if name in ("class", "id", "role") else ():
+            parts = [x for x in _PARTS.split(own) if x]
+            if parts and parts[0] not in MODIFIERS:
+                marks.update(parts)
+                furniture |= is_furniture_name(parts, in_article)
     if furniture and tag not in ("body", "html", "main"):
         return "n"
     return "a" if tag in ARTICLE or not ARTICLE_WORDS.isdisjoint(marks) else "-"
 
 
+def _end_of(tag: str, html: str, at: int) -> int:
+    """Where an element ends whose start tag ends at ``at``, elements of its kind within it counted; -1 if it does not."""
+    if tag in RAW:
+        end = re.compile(rf"</{re.escape(tag)}(?![\w-])[^>]*+>", re.I).search(html, at)
+        return end.end() if end else -1
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?![\w-])[^>]*+>", re.I).finditer(html, at):
+        depth += -1 if m[1] else not m[0].endswith("/>")
+        if not depth:
+            return m.end()
+    return -1
+
+
 Block = tuple[str, int, int, bool, bool, bool]
 
 
@@ -144,12 +174,12 @@ def blocks(html: str) -> list[Block]:
         if not m[1]:
             if tag in HIDDEN and not m[3].endswith("/"):
                 if tag not in unclosed:
-                    end = re.compile(rf"</{re.escape(tag)}(?![\w-])[^>]*+>", re.I).search(html, at)
-                    if end:
-                        at = end.end()
+                    end = _end_of(tag, html, at)
+                    if end >= 0:
+                        at = end
                     else:
                         unclosed.add(tag)
-                if tag in unclosed and tag in ("script", "style", "textarea", "title"):
+                if tag in unclosed and tag in RAW:
                     at = len(html)
                 continue
             if tag in VOID:
