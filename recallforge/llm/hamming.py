@@ -112,11 +112,12 @@ def _search(k: int):
 def top_k(vectors: DataFrame, asks: Column, bits: int = 64, k: int = 10) -> DataFrame:
     """query_id, rank (from 1), vec_id, distance: the k nearest codes of each row of ``vectors`` for which ``asks`` holds.
 
-    ``asks`` is a condition on ``id``.
+    ``asks`` is a condition on ``id``. An id that has several vectors asks with each of them, and what they find is ranked
+    together.
     """
     ensure_importable(vectors.sparkSession)
     codes = stored(sign_codes(vectors, bits), "codes")
-    wanted = codes.where(asks).dropDuplicates(["id"])
+    wanted = codes.where(asks)
     blocks, batches = max(1, -(-codes.count() // BLOCK)), max(1, -(-wanted.count() // BATCH))
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
