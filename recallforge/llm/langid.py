@@ -5,9 +5,9 @@ character n-grams that training saw, then to shorter ones, and at last to nothin
 the largest sum over all of its words; the score is its share when the sums are taken as log likelihoods. A word is a
 maximal run of letters, in lower case.
 
-The tables are learned from labelled documents. ``sample_docs`` bounds, in expectation, how many are used (a hash of the
-text picks them); all their words and n-grams are held, so what is sent to workers is bounded by the sample. Every text
-is read whole, in training and in prediction.
+The tables are learned from labelled documents. ``sample_docs``, and ``least_docs`` of each language, bound in expectation
+how many are used (a hash of the text picks them); all their words and n-grams are held, so what is sent to workers is
+bounded by the sample. Every text is read whole, in training and in prediction.
 
 Texts are split in Arrow's compiled functions; each distinct token is scored once per worker, a batch of new ones at a
 time, and a text's score is gathered from those of its tokens.
@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import _MULTIPLIER, ensure_importable, frugal, id_bucket, mixed, ranges
+from ._shared import _MULTIPLIER, ensure_importable, frugal, id_bucket, maybe_broadcast, mixed, ranges, stored
 
 UNDETERMINED = "und"
 LONGEST = 5
@@ -180,12 +180,16 @@ class Scorer:
         return [languages[b] if x else UNDETERMINED for b, x in zip(best.tolist(), lettered.tolist())], score
 
 
-def learn(labelled: DataFrame, sample_docs: int = 10_000) -> Model:
-    """A model from the columns text and lang of ``labelled``."""
+def learn(labelled: DataFrame, sample_docs: int = 10_000, least_docs: int = 100) -> Model:
+    """A model from the columns text and lang of ``labelled``: of about ``sample_docs`` of its rows, but of about
+    ``least_docs`` of each language at least, or all that it has."""
     ensure_importable(labelled.sparkSession)
     labelled = labelled.select("text", "lang").where("text is not null and lang is not null")
-    share = min(1.0, sample_docs / max(1, labelled.count()))
-    sample = labelled.where(F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    counts = stored(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    share = min(1.0, sample_docs / max(1, counts.agg(F.sum("n")).first()[0] or 0))
+    limit = F.floor(F.least(F.lit(1.0), F.greatest(F.lit(share), F.lit(float(least_docs)) / F.col("n"))) * (1 << 30))
+    limits = maybe_broadcast(counts.select("lang", limit.cast("long").alias("limit")), 100_000)
+    sample = labelled.join(limits, "lang").where(F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(1 << 30)) < F.col("limit")).select("text", "lang")
 
     def count(batches):
         for batch in batches:
