@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import bloom_lm, bpe, conversations, embed_dedup, hamming, html_extract, langid, merkle, minhash, mixing, packing, pii, token_records
 from ._shared import read_table
 from ._tokens import default_tokenizer
+from .sql import OP11_SQL, OP13_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,4 +126,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_hamming_top_k": OP5_SQL,
         "op9_embedding_near_dedup": OP9_SQL,
+        "op11_conversation_repair": OP11_SQL,
+        "op13_merkle_manifest": OP13_SQL,
     }

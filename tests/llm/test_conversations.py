@@ -173,3 +173,17 @@ def test_a_conversation_that_lost_all_rows(spark):
     none = next(i for i in range(1000) if zlib.crc32(f"{i}:0".encode()) % 20 == 0)
     given = spark.createDataFrame([(none, 0, "user", "Hi.")], ROWS)
     assert results(c.repair_digests(c.damage(given), given.select("conv_id"))) == {none: (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())}
+
+
+def test_sql_says_the_same_of_nulls_and_ties():
+    import duckdb
+    import pandas as pd
+
+    from recallforge.llm.sql import OP11_SQL
+
+    rows = odd_rows()
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    con.execute("CREATE VIEW conversations AS SELECT * FROM given")
+    got = con.execute(f"SELECT conv_id, {', '.join(c.STATS)}, audit, repaired_sha256 FROM ({OP11_SQL})").fetchall()
+    assert {r[0]: tuple(r[1:]) for r in got} == expected(damaged(rows), rows)
