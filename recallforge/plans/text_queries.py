@@ -182,12 +182,16 @@ def embed_hashed_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.hashed_terms(_documents(spark, sf_dir), ["doc_id"]).withColumn("weight", F.round("weight", 9))
 
 
-@query(f"""WITH s AS {_DISTINCT}, v AS ({hashed_sql('doc_id, i', 'sentence', 's')}),
+#: (id, n, concept): a document's distinct sentences, but those that are similar to a kept one before them.
+CONCEPTS_SQL = f"""WITH s AS {_DISTINCT}, v AS ({hashed_sql('doc_id, i', 'sentence', 's')}),
 p AS (SELECT x.doc_id, x.i AS earlier, y.i FROM v x JOIN v y ON x.doc_id = y.doc_id AND x.bucket = y.bucket AND x.i < y.i GROUP BY ALL HAVING round(CAST(sum(x.weight * y.weight) AS DOUBLE), 12) >= 0.8),
 e AS (SELECT doc_id, i, list(earlier) AS earlier FROM p GROUP BY doc_id, i),
 f AS (SELECT doc_id, list({{'kept': []::BIGINT[], 'i': i, 'earlier': coalesce(earlier, [])}} ORDER BY i) AS items FROM s LEFT JOIN e USING (doc_id, i) GROUP BY doc_id),
 k AS (SELECT doc_id, unnest(list_reduce(list_prepend({{'kept': []::BIGINT[], 'i': 0::BIGINT, 'earlier': []::BIGINT[]}}, items),
  lambda a, x: {{'kept': CASE WHEN list_has_any(a.kept, x.earlier) THEN a.kept ELSE list_append(a.kept, x.i) END, 'i': 0::BIGINT, 'earlier': []::BIGINT[]}}).kept) AS i FROM f)
-SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS n, sentence AS concept FROM k JOIN s USING (doc_id, i)""")
+SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS n, sentence AS concept FROM k JOIN s USING (doc_id, i)"""
+
+
+@query(CONCEPTS_SQL)
 def concept_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.concept_split(_documents(spark, sf_dir).toDF("id", "content"))
