@@ -100,59 +100,108 @@ def chains(links: DataFrame, ends: list[str]) -> tuple[DataFrame, DataFrame]:
     return placed.select("id", "root", "place", "before"), stored(plain.select("src", "dst", F.lit(1).cast("long").alias("weight"), F.col("src").alias("via"), F.lit(None).cast("string").alias("root")).unionByName(jumps), "jumps")
 
 
-def bfs(edges: DataFrame, start: str, goal: str | None = None) -> DataFrame:
-    """(id, hops, prev) of what ``start`` reaches along edges, up to the distance of ``goal`` if one is given; prev is the
-    smallest predecessor on a shortest path.
+def _nearest(seen: DataFrame) -> DataFrame:
+    return seen.groupBy("id").agg(F.min("hops").alias("hops"))
+
+
+def _relaxed(frontier: DataFrame, seen: DataFrame, jumps: DataFrame) -> DataFrame:
+    """(id, hops) of the nodes that the links out of ``frontier`` (id, hops) bring nearer than ``seen`` has them."""
+    step = frontier.join(jumps.withColumnRenamed("src", "id"), "id").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("hops") + F.col("weight")).alias("hops"))
+    known = _nearest(seen).withColumnRenamed("hops", "known")
+    return stored(step.join(known, "id", "left").where("known is null or hops < known").select("id", "hops"), "frontier")
+
+
+def _with_prev(nodes: DataFrame, inner: DataFrame, jumps: DataFrame) -> DataFrame:
+    """(id, hops, prev) of ``nodes`` (id, hops) and of the chains on shortest ways between them; prev is the smallest node
+    from which the node is one step away."""
+    froms = jumps.join(nodes.select(F.col("id").alias("src"), F.col("hops").alias("from")), "src")
+    ways = froms.join(nodes.select(F.col("id").alias("dst"), "hops"), "dst").where(F.col("from") + F.col("weight") == F.col("hops"))
+    prev = ways.groupBy(F.col("dst").alias("id")).agg(F.min("via").alias("prev"))
+    within = inner.join(froms.where("root is not null").select("root", "from"), "root").select("id", (F.col("from") + F.col("place") + 1).alias("hops"), F.col("before").alias("prev"))
+    return nodes.join(prev, "id", "left").select("id", "hops", "prev").unionByName(within)
+
+
+def bfs(edges: DataFrame, start: str) -> DataFrame:
+    """(id, hops, prev) of what ``start`` reaches along edges; prev is the smallest predecessor on a shortest path.
 
     Chains are jumped over, so a round passes a branching, not a step. The nodes that a round has brought nearer are
     joined with the links; distances are stored anew now and then, so that plans do not grow with the rounds.
     """
     spark = edges.sparkSession
-    links = stored(edges.select("src", "dst").where("src <> dst").distinct(), "links")
-    inner, jumps = chains(links, [x for x in (start, goal) if x is not None])
+    inner, jumps = chains(stored(edges.select("src", "dst").where("src <> dst").distinct(), "links"), [start])
     frontier = seen = stored(spark.createDataFrame([(start, 0)], "id string, hops long"), "seen")
     for n in itertools.count(1):
-        step = frontier.join(jumps.withColumnRenamed("src", "id"), "id").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("hops") + F.col("weight")).alias("hops"))
-        known = seen.groupBy("id").agg(F.min("hops").alias("known"))
-        frontier = stored(step.join(known, "id", "left").where("known is null or hops < known").select("id", "hops"), "frontier")
+        frontier = _relaxed(frontier, seen, jumps)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
         if n % STORED_HOPS == 0:
-            seen = stored(seen.groupBy("id").agg(F.min("hops").alias("hops")), "seen")
-        if goal is not None:
-            there, least = seen.where(F.col("id") == goal).agg(F.min("hops")).first()[0], frontier.agg(F.min("hops")).first()[0]
-            if there is not None and least >= there:
+            seen = stored(_nearest(seen), "seen")
+    return _with_prev(stored(_nearest(seen), "seen"), inner, jumps)
+
+
+def _between(start: str, goal: str, jumps: DataFrame) -> DataFrame | None:
+    """(id, hops) of the nodes on shortest ways from ``start`` to ``goal``; None if there is none.
+
+    The search goes on from the end whose frontier is smaller, until what either end could still find makes no shorter way
+    than the best that has met. Then the ways are followed from where both ends met, towards each of them.
+    """
+    spark = jumps.sparkSession
+    links = [jumps.select("src", "dst", "weight"), jumps.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")]
+    seen = [stored(spark.createDataFrame([(x, 0)], "id string, hops long"), "seen") for x in (start, goal)]
+    frontier, sizes, least, best = list(seen), [1, 1], [0, 0], None
+    for n in itertools.count(1):
+        side = 0 if sizes[0] <= sizes[1] else 1
+        frontier[side] = _relaxed(frontier[side], seen[side], links[side])
+        told = frontier[side].agg(F.count("*").alias("n"), F.min("hops").alias("least")).first()
+        if not told["n"]:
+            break  # this end has found all that it reaches, with the least distances
+        sizes[side], least[side] = told["n"], told["least"]
+        seen[side] = seen[side].unionByName(frontier[side])
+        if n % STORED_HOPS == 0:
+            seen[side] = stored(_nearest(seen[side]), "seen")
+        met = frontier[side].join(_nearest(seen[1 - side]).withColumnRenamed("hops", "other"), "id").agg(F.min(F.col("hops") + F.col("other"))).first()[0]
+        best = met if best is None else best if met is None else min(best, met)
+        if best is not None and sum(least) >= best:
+            break
+    if best is None:
+        return None
+    near = [stored(_nearest(s), "seen") for s in seen]
+    both = near[0].join(near[1].withColumnRenamed("hops", "other"), "id").where(F.col("hops") + F.col("other") == best)
+    middle = stored(both.select("id", "hops"), "middle")
+    found = middle
+    for side in (0, 1):
+        at = middle.select("id", (F.col("hops") if side == 0 else best - F.col("hops")).alias("hops"))
+        while True:  # against the links of this end, to nodes that are nearer to it by a link's weight
+            back = at.join(links[1 - side].withColumnRenamed("src", "id"), "id").select(F.col("dst").alias("id"), (F.col("hops") - F.col("weight")).alias("hops"))
+            told_before = found.select("id")
+            at = stored(back.join(near[side], ["id", "hops"], "left_semi").distinct().join(told_before, "id", "left_anti"), "way")
+            if at.isEmpty():
                 break
-    seen = stored(seen.groupBy("id").agg(F.min("hops").alias("hops")), "seen")
-    froms = jumps.join(seen.select(F.col("id").alias("src"), F.col("hops").alias("from")), "src")
-    into = froms.join(seen.select(F.col("id").alias("dst"), "hops"), "dst").where(F.col("from") + F.col("weight") == F.col("hops"))
-    prev = into.groupBy(F.col("dst").alias("id")).agg(F.min("via").alias("prev"))
-    others = seen.join(prev, "id", "left").select("id", "hops", "prev")
-    within = inner.join(froms.where("root is not null").select("root", "from"), "root").select("id", (F.col("from") + F.col("place") + 1).alias("hops"), F.col("before").alias("prev"))
-    found = others.unionByName(within)
-    if goal is None:
-        return found
-    limit = seen.where(F.col("id") == goal).agg(F.min("hops")).first()[0]
-    return found if limit is None else found.where(F.col("hops") <= limit)
+            found = found.unionByName(at.select("id", (F.col("hops") if side == 0 else best - F.col("hops")).alias("hops")))
+    return stored(found, "between")
 
 
 def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, goal: str) -> DataFrame:
     """(step, id) of a shortest directed path, of equal ones that of the smallest predecessors; no row if there is none.
 
-    The path is read off the predecessors by pointer doubling: from tables of the ancestors 1, 2, 4, ... steps before, the
-    farthest first, each of which doubles what is known of it.
+    It is searched for from both ends, over chains at a jump. The path is read off the predecessors by pointer doubling:
+    from tables of the ancestors 1, 2, 4, ... steps before, the farthest first, each of which doubles what is known of it.
     """
     spark = edges.sparkSession
     nothing = spark.createDataFrame([], "step long, id string")
     if nodes.where(F.col("id").isin(start, goal)).select("id").distinct().count() < len({start, goal}):
         return nothing
-    reached = stored(bfs(edges, start, goal), "reached")
-    end = reached.where(F.col("id") == goal).first()
-    if end is None:
+    if start == goal:
+        return spark.createDataFrame([(0, start)], "step long, id string")
+    inner, jumps = chains(stored(edges.select("src", "dst").where("src <> dst").distinct(), "links"), [start, goal])
+    between = _between(start, goal, jumps)
+    if between is None:
         return nothing
+    reached = stored(_with_prev(between, inner, jumps), "reached")
+    length = reached.where(F.col("id") == goal).first()["hops"]
     ancestors, steps = [reached.where("prev is not null").select("id", F.col("prev").alias("to"))], 1
-    while 2 * steps <= end["hops"]:
+    while 2 * steps <= length:
         near = ancestors[-1]
         ancestors.append(stored(near.join(near.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to")), "ancestors"))
         steps *= 2

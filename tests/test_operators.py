@@ -31,12 +31,25 @@ def evict(objects, now, max_age, cap):
 @given(st.lists(st.tuples(st.integers(0, 50), st.integers(0, 20)), min_size=1, max_size=30), st.integers(0, 60), st.integers(0, 200))
 def test_eviction(spark, objects, age, cap):
     data = [(f"h{i:02}", t, s) for i, (t, s) in enumerate(objects)]
-    blobs.ROWS_PER_RANGE, old = 4, blobs.ROWS_PER_RANGE
-    try:
-        got = blobs.evictions(spark.createDataFrame(data, "handle string, last_seen long, size long"), 55, age, cap)
-        assert {r["handle"] for r in got.where("evicted").collect()} == evict(data, 55, age, cap)
-    finally:
-        blobs.ROWS_PER_RANGE = old
+    got = blobs.evictions(spark.createDataFrame(data, "handle string, last_seen long, size long"), 55, age, cap, rows_per_range=4)
+    assert {r["handle"] for r in got.where("evicted").collect()} == evict(data, 55, age, cap)
+
+
+@pytest.mark.parametrize("moments", [1, 3, 10_000])
+def test_a_bulk_load_of_one_moment_is_split(spark, moments, monkeypatch):
+    """Objects of equal times are dealt to ranges as evenly as others, and evicted in order of their handles."""
+    objects = [(f"h{i * 7919 % 10_007:05d}", i % moments, i % 9) for i in range(3000)]
+    seen = []
+    monkeypatch.setattr(blobs, "dealt_in_order", (lambda f: lambda *a: seen.append(x := f(*a)) or x)(blobs.dealt_in_order))
+    out = blobs.evictions(spark.createDataFrame(objects, "handle string, last_seen long, size long"), 0, 10**6, 4000, rows_per_range=300)
+    total, want = sum(o[2] for o in objects), set()
+    for handle, _, size in sorted(objects, key=lambda o: (o[1], o[0])):
+        if total > 4000:
+            want.add(handle)
+            total -= size
+    assert {r["handle"] for r in out.where("evicted").collect()} == want
+    sizes = [r["count"] for r in seen[0].groupBy("range").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 2 * sum(sizes) / len(sizes)
 
 
 def test_three_blobs_with_a_cap(spark):
@@ -91,7 +104,7 @@ def test_a_long_chain_takes_a_logarithm_of_rounds(spark, monkeypatch):
     nodes = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     path = [r["id"] for r in graph.shortest_path(nodes, e, "n0", f"n{n}").orderBy("step").collect()]
     assert path == [f"n{i}" for i in range(4001)] + ["m1", "m2"] + [f"n{i}" for i in range(4003, n + 1)]
-    assert len(written) <= 6 * n.bit_length()
+    assert len(written) <= 8 * n.bit_length()
 
 
 def test_models_are_made_once_in_a_process(spark):
@@ -160,6 +173,25 @@ def test_bfs(spark, edges):
     assert dict(rows(graph.bfs(e, "a").select("id", "hops"))) == hops(edges, "a")
 
 
+def smallest_path(links, start, goal):
+    """Of the shortest paths the one whose predecessors, from the goal on, are the smallest."""
+    at = hops(links, start)
+    if goal not in at:
+        return []
+    path = [goal]
+    while path[-1] != start:
+        path.append(min(a for a, b in links if b == path[-1] and a != b and at.get(a, -2) == at[b] - 1))
+    return path[::-1]
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("abcdefghij"), st.sampled_from("abcdefghij")), min_size=8, max_size=24), st.sampled_from("bij"))
+def test_paths(spark, links, goal):
+    e = spark.createDataFrame([(a, b, "Calls") for a, b in links], "src string, dst string, kind string")
+    nodes = spark.createDataFrame([(x,) for x in "abcdefghij"], "id string")
+    assert [r["id"] for r in graph.shortest_path(nodes, e, "a", goal).orderBy("step").collect()] == smallest_path(links, "a", goal)
+
+
 def test_manifest_diff(spark):
     now = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None), ("d", "4")], "rel string, hash string")
     old = spark.createDataFrame([("a", "1"), ("b", "x"), ("c", "3"), ("e", "5")], "rel string, hash string")
