@@ -84,6 +84,9 @@ def chains(links: DataFrame, ends: list[str]) -> tuple[DataFrame, DataFrame]:
     inside = inner.select(F.col("id").alias("inside"))
     first = inner.join(inside, F.col("before") == F.col("inside"), "left")
     at = stored(first.select("id", F.coalesce("inside", "id").alias("to"), F.when(F.col("inside").isNull(), 0).otherwise(1).cast("long").alias("place"), F.col("inside").isNull().alias("done")), "pointers")
+    if at.where("not done").isEmpty():  # no chain is longer than one node: nothing to jump over
+        none = links.sparkSession.createDataFrame([], "id string, root string, place long, before string")
+        return none, links.select("src", "dst", F.lit(1).cast("long").alias("weight"), F.col("src").alias("via"), F.lit(None).cast("string").alias("root"))
     found = at.where("done")
     waiting, most = at.where("not done"), max(1, inner.count()).bit_length() + 1
     for _ in range(most):
