@@ -63,7 +63,9 @@ def render_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH j AS (SELECT {slug_sql('text')} AS job_id, any_value(text) AS text FROM documents GROUP BY 1)
 SELECT job_id, CAST(strlen(text) AS BIGINT) AS n_bytes, strlen(text) > 2000 AS needs_split FROM j""")
 def stage_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = store.stage_jobs(_documents(spark, sf_dir).withColumnRenamed("text", "content"))
+    """The job of each text; where different texts have one id, the text of the first document, which is what any_value meets."""
+    d = _documents(spark, sf_dir).withColumnRenamed("text", "content")
+    jobs = store.stage_jobs(d.withColumn("first", F.struct(-F.col("doc_id"), "content")), "first")
     return jobs.select("job_id", F.octet_length("content").cast("long").alias("n_bytes"), "needs_split")
 
 
