@@ -19,16 +19,32 @@ from .tables import ensure_importable, maybe_broadcast, stored
 
 #: Vectors that settle among themselves in a task.
 BLOCK = 4096
+#: Of these, so many by one product, and rows that the new leaders among them are shown to at a time.
+TOGETHER, ROWS = 256, 4096
 
 
 def greedy_leaders(x: np.ndarray, threshold: float) -> np.ndarray:
-    """Places of the leaders among the rows of ``x``, in order."""
-    x, kept, gone = unit(x), [], np.zeros(len(x), bool)
-    for i in range(len(x)):
-        if not gone[i]:
-            kept.append(i)
-            gone[i + 1 :] |= np.round(x[i + 1 :] @ x[i], FLOOR_DIGITS) >= threshold
-    return np.array(kept, np.int64)
+    """Places of the leaders among the rows of ``x``, in order. Rows settle ``TOGETHER`` at a time, by one product of all of
+    them; then what is similar to a leader goes from the rest, by another."""
+    x, kept, left = unit(x), [], np.arange(len(x))
+    while len(left):
+        head, left = left[:TOGETHER], left[TOGETHER:]
+        near = np.round(x[head] @ x[head].T, FLOOR_DIGITS) >= threshold
+        gone, leaders = np.zeros(len(head), bool), []
+        if np.triu(near, 1).any():
+            for i in range(len(head)):
+                if not gone[i]:
+                    leaders.append(i)
+                    gone |= near[i]
+            new = head[leaders]
+        else:
+            new = head
+        kept.append(new)
+        for at in range(0, len(left), ROWS):
+            some = left[at : at + ROWS]
+            left[at : at + ROWS] = np.where((np.round(x[some] @ x[new].T, FLOOR_DIGITS) >= threshold).any(axis=1), -1, some)
+        left = left[left >= 0]
+    return np.concatenate(kept) if kept else np.empty(0, np.int64)
 
 
 def _settled(threshold: float):
