@@ -20,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ._shared import ranges
+from ._shared import kept, ranges
 
 #: At so many distinct parts all but the first so many are forgotten; one takes about 50 bytes.
-_CACHE_PARTS, _KEPT_PARTS = 600_000, 250_000
+_CACHE_PARTS, _KEPT_PARTS = 200_000, 100_000
 #: So many distinct parts are encoded as one text.
 _RUN = 512
 #: Single spaces between characters that are no white space.
@@ -43,8 +43,6 @@ class Encoder:
     """ids of texts, little-endian and unsigned, of 4 or of 2 bytes an id; the vocabulary file is a parameter, never
     copied."""
 
-    _made: dict[tuple[str, int], "Encoder"] = {}
-
     def __init__(self, path: str, width: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -75,9 +73,7 @@ class Encoder:
     @classmethod
     def of(cls, path: str, width: int = 4) -> "Encoder":
         """The worker's encoder with ids of ``width`` bytes, or of 4 if the vocabulary needs them."""
-        if (path, width) not in cls._made:
-            cls._made[path, width] = cls(path, width)
-        return cls._made[path, width]
+        return kept((cls, path, width), lambda: cls(path, width))
 
     def forget(self, kept: int = _KEPT_PARTS) -> None:
         """Keeps the parts that were learned first, frequent ones by nature."""

@@ -26,9 +26,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ._shared import ensure_importable, frugal, ranges
+from ._shared import ensure_importable, frugal, portions, ranges
 from ._tokens import Encoder
-from .packing import portions
 
 #: So many answers about pairs of tokens are remembered by a worker.
 _PAIRS = 1 << 20
@@ -133,8 +132,6 @@ class PrefixEncoder(Encoder):
     """An Encoder whose ids come from last tokens of prefixes; the library's file and its way to cut parts are all it
     takes from there."""
 
-    _made: dict[tuple[str, int], "PrefixEncoder"] = {}
-
     def __init__(self, path: str, width: int) -> None:
         super().__init__(path, width)
         if not self.cuts:

@@ -21,6 +21,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import _MULTIPLIER, ensure_importable, frugal, id_bucket, maybe_broadcast, mixed, ranges, stored
+from ._shared import _MULTIPLIER, ensure_importable, frugal, id_bucket, maybe_broadcast, mixed, portions, ranges, stored
 
 UNDETERMINED = "und"
 LONGEST = 5
 #: Added to each count.
 SMOOTHING = 0.5
 #: Distinct tokens that a worker keeps, of so many bytes and a number per language each; words scored at a time.
-_CACHE_TOKENS, _KEPT_TOKENS, _CHUNK = 400_000, 100_000, 50_000
+_CACHE_TOKENS, _KEPT_TOKENS, _CHUNK = 200_000, 80_000, 50_000
+#: Bytes of text scored at a time.
+_PORTION_BYTES = 1 << 20
 
 
 def letter_runs(token: str) -> list[str]:
@@ -211,23 +214,26 @@ def learn(labelled: DataFrame, sample_docs: int = 10_000, least_docs: int = 100)
     return Model(plain("word").cast(pa.string()), plain("lang").cast(pa.string()), plain("c").to_numpy())
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred and score by the column text."""
+def scored(batches: Iterator[pa.RecordBatch], scorer: Scorer, text: int, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """The first columns of ``batches``, named ``keep``, with lang_pred and score by column ``text``, in portions."""
+    for portion in portions(batches, text, _PORTION_BYTES):
+        languages, scores = scorer.predict(portion.column(text))
+        new = [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
+        yield pa.RecordBatch.from_arrays([*portion.columns[: len(keep)], *new], [*keep, "lang_pred", "score"])
+
+
+def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns ``keep`` of ``docs`` with lang_pred and score by the column ``text``, which is sent to workers once."""
     spark = docs.sparkSession
     ensure_importable(spark)
     shared = spark.sparkContext.broadcast(model)
-    made: list[Scorer] = []
+    sent = keep if text in keep else [*keep, text]
 
     def score(batches):
-        if not made:
-            made.append(Scorer(shared.value))
-        for batch in batches:
-            languages, scores = made[0].predict(batch.column(batch.num_columns - 1))
-            new = [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*keep, "lang_pred", "score"])
+        yield from scored(batches, Scorer(shared.value), sent.index(text), keep)
 
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(frugal(score), schema)
+    return docs.select(*sent).mapInArrow(frugal(score), schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -247,7 +253,6 @@ def known_language(docs: DataFrame, least: float = 0.5, **bounds: int) -> DataFr
     model = learn(training_rows(docs), **bounds)
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    text = plain.columns[names.index("text")]
-    found = predict(plain.withColumn("text", F.col(text)), model, plain.columns)
+    found = predict(plain, model, plain.columns, plain.columns[names.index("text")])
     kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
     return kept.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

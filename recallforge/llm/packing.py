@@ -16,42 +16,16 @@ kept; an empty table gives no rows; columns other than doc_id and text are ignor
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import ensure_importable, frugal, ranges, stored
+from ._shared import ensure_importable, frugal, portions, ranges, stored
 from ._tokens import Encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Texts are encoded in portions of at most so many rows and about so many bytes, so that a worker's memory does not
-#: follow Spark's batches or a few long texts.
-PORTION_ROWS, PORTION_BYTES = 4000, 3 << 20
-
-
-def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches``, whose second column is text, in portions."""
-    held: list[pa.RecordBatch] = []
-    rows = size = 0
-    for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < batch.num_rows:
-            before = ends[at - 1] if at else 0
-            full = int(np.searchsorted(ends, before + PORTION_BYTES - size))
-            upto = min(at + PORTION_ROWS - rows, max(at + 1, full), batch.num_rows)
-            held.append(batch.slice(at, upto - at))
-            rows, size = rows + upto - at, size + int(ends[upto - 1] - before)
-            at = upto
-            if rows >= PORTION_ROWS or size >= PORTION_BYTES or at < batch.num_rows:
-                yield pa.concat_batches(held)
-                held, rows, size = [], 0, 0
-    if held:
-        yield pa.concat_batches(held)
 
 
 def cut_documents(docs: DataFrame, vocabulary: str, seq_len: int, end_id: int) -> DataFrame:

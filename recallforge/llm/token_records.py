@@ -24,9 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import ensure_importable, frugal, shared_dir, stored
+from ._shared import ensure_importable, frugal, portions, shared_dir, stored
 from ._tokens import Encoder
-from .packing import portions
 
 MAGIC = b"RFTK\x01"
 SHARDS = "shard long, path string, records long, ids long"
