@@ -28,14 +28,16 @@ answered each; no training document gives N = V = 0; an empty table gives no row
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import _MULTIPLIER, ensure_importable, frugal, hashed_words, id_bucket, mixed, stored
+from ._shared import _MULTIPLIER, ensure_importable, frugal, hashed_words, id_bucket, maybe_broadcast, mixed, shuffles_freed, stored
 
 #: Counts up to EXACT have a level each; above, a level holds counts of a factor of BASE.
 BASE, EXACT = 1.1, 10
@@ -53,6 +55,12 @@ FINE_BITS = 3
 PORTION = 350_000
 #: Bytes of distinct texts that are scored at a time where n-grams are sent to segments.
 PORTION_BYTES = 4 << 20
+#: Buckets whose n-grams a portion sends as one row, and bytes of n-grams that are probed at a time.
+SHELF, PROBED_BYTES = 8, 4 << 20
+#: Parts in which portions are sent, one after the other.
+ROUNDS = 3
+#: Rows of a table that is sent to all tasks.
+BROADCAST_ROWS = 1_000_000
 FREQUENT_WORDS = 1_000_000
 
 END, START = (np.uint64(x) for x in mixed(np.array([1, 2], np.uint64)))  # fixed 64-bit values, as likely a word's as any
@@ -118,10 +126,11 @@ NONE = np.empty(0, np.int64)
 
 def dealt(keys: np.ndarray, buckets: int) -> dict[int, np.ndarray]:
     """By bucket, where its keys are."""
-    of = (keys % np.uint64(buckets)).astype(np.int64)
+    of = (keys % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)  # short numbers are sorted by their digits
     order = np.argsort(of, kind="stable")
-    present, firsts = np.unique(of[order], return_index=True)
-    return dict(zip(present.tolist(), np.split(order, firsts[1:])))
+    ordered = of[order].astype(np.int64)
+    firsts = np.flatnonzero(np.diff(ordered, prepend=-1))
+    return dict(zip(ordered[firsts].tolist(), np.split(order, firsts[1:])))
 
 
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -293,7 +302,8 @@ def model_table(docs: DataFrame, bits_per_entry: int = BITS_PER_ENTRY) -> tuple[
             parts.append(pa.table([pa.array(columns[f.name], f.type) if f.name in columns else none(len(at), f) for f in schema], schema))
         return pa.concat_tables(parts)
 
-    return stored(packed_counts(docs, buckets).groupBy("bucket").applyInArrow(fold, MODEL), "model"), buckets
+    with shuffles_freed(docs.sparkSession):
+        return stored(packed_counts(docs, buckets).groupBy("bucket").applyInArrow(fold, MODEL), "model"), buckets
 
 
 class Quantised:
@@ -323,50 +333,82 @@ def collected(model: DataFrame, buckets: int, most: int = -1) -> LogFrequencyBlo
     return LogFrequencyBloom(segments)
 
 
-def sent_scores(docs: DataFrame, model: DataFrame, buckets: int, known: Quantised) -> DataFrame:
+def told(found: Callable[[np.ndarray], np.ndarray], asked: list[bytes]) -> list[bytes]:
+    """What ``found`` says of the n-grams of each row, of many rows at a time; two bytes for each n-gram's eight."""
+    out, ends = [], np.cumsum([len(x) for x in asked])
+    for part in np.split(np.arange(len(asked)), np.flatnonzero(np.diff(ends // PROBED_BYTES)) + 1):
+        rows = [asked[i] for i in part]
+        said = found(np.frombuffer(b"".join(rows), "<u8")).astype("<u2").tobytes()
+        at = np.cumsum([0, *(len(x) // 4 for x in rows)]).tolist()
+        out += [said[i:j] for i, j in zip(at, at[1:])]
+    return out
+
+
+def distinct_texts(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """Each text of ``docs`` (k, text) once; only texts with a hash of ``copies`` (k), which several rows have, are shuffled for it."""
+    copies = maybe_broadcast(copies, BROADCAST_ROWS)
+    several = docs.join(copies, "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
+    return docs.join(copies, "k", "left_anti").unionByName(several)
+
+
+def sent_scores(docs: DataFrame, copies: DataFrame, model: DataFrame, buckets: int, known: Quantised) -> DataFrame:
     """(k, score) of the distinct texts of ``docs`` (k, text), k being the hash of the text; n-grams are sent to segments.
+    ``copies`` (k) has the hashes that several rows have.
 
-    A portion sends each of its n-grams once, so the most common one is sent once for each PORTION_BYTES of text.
+    A portion sends each of its n-grams once, so the most common one is sent once for each PORTION_BYTES of text. What it
+    sends to a shelf, which is SHELF buckets, is one row, and a shelf's task probes n-grams of many portions together.
+    Portions are sent in ROUNDS, so that only a part of them lies on disk at a time.
     """
-    texts = stored(docs.groupBy("k").agg(F.first("text").alias("text")), "texts")
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    portions = math.ceil(size / PORTION_BYTES) + 1
-    texts = texts.select(F.pmod(F.xxhash64("k"), F.lit(portions)).alias("portion"), "k", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    portions, shelves = math.ceil(size / PORTION_BYTES) + 1, math.ceil(buckets / SHELF)
+    texts = distinct_texts(docs, copies).select(F.pmod(F.xxhash64("k"), F.lit(portions)).alias("portion"), "k", "text")
 
     def asks(table: pa.Table):
-        """Of a portion: tokens, how many each text has, distinct words and pairs in order, and which each bucket has."""
+        """Of a portion: tokens, how many each text has, distinct words and pairs in order, and which each shelf has."""
         h, n = tokens(table.column("text").to_pylist())
         w, p = np.unique(h), np.unique(keyed(2, pairs(h, n)[1]))
-        return h, n, w, p, dealt(keyed(1, w), buckets), dealt(p, buckets)
+        shelf = lambda keys: dealt(keys % np.uint64(buckets), shelves)
+        return h, n, w, p, shelf(keyed(1, w)), shelf(p)
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, _, w, p, words_, pairs_ = asks(table)
         of = sorted(words_.keys() | pairs_.keys())
         data = [(w[words_.get(b, NONE)].tobytes(), p[pairs_.get(b, NONE)].tobytes()) for b in of]
-        return pa.table({"bucket": pa.array(of, pa.int32()), "portion": pa.array([key[0].as_py()] * len(of), pa.int64()), "words": pa.array([x[0] for x in data], pa.binary()), "pairs": pa.array([x[1] for x in data], pa.binary())})
+        return pa.table({"shelf": pa.array(of, pa.int32()), "portion": pa.array([key[0].as_py()] * len(of), pa.int64()), "words": pa.array([x[0] for x in data], pa.binary()), "pairs": pa.array([x[1] for x in data], pa.binary())})
 
     def answer(held: pa.Table, asked: pa.Table) -> pa.Table:
-        bloom = LogFrequencyBloom([held.column("data")[0].as_py() if held.num_rows else b""])
-        out = []
-        for w, p in zip(asked.column("words").to_pylist(), asked.column("pairs").to_pylist()):
-            level, part = bloom.of_words(np.frombuffer(w, "<u8"))
-            out.append(((level << FINE_BITS | part).astype("<u2").tobytes(), bloom.of_pairs(np.frombuffer(p, "<u8")).astype("<u2").tobytes()))
-        return pa.table({"portion": asked.column("portion"), "bucket": asked.column("bucket"), "words": pa.array([x[0] for x in out], pa.binary()), "pairs": pa.array([x[1] for x in out], pa.binary())})
+        segments = [b""] * buckets
+        for bucket, data in zip(held.column("bucket").to_pylist(), held.column("data").to_pylist()):
+            segments[bucket] = data
+        bloom = LogFrequencyBloom(segments)
+
+        def of_words(h: np.ndarray) -> np.ndarray:
+            level, part = bloom.of_words(h)
+            return level << FINE_BITS | part
+
+        of = {"words": of_words, "pairs": bloom.of_pairs}
+        columns = {name: pa.array(told(found, asked.column(name).to_pylist()), pa.binary()) for name, found in of.items()}
+        return pa.table({"portion": asked.column("portion"), "shelf": asked.column("shelf"), **columns})
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         h, n, w, p, words_, pairs_ = asks(table)
-        told, levels = np.zeros(len(w), np.int64), np.zeros(len(p), np.int64)
+        word_levels, levels = np.zeros(len(w), np.int64), np.zeros(len(p), np.int64)
         for r in answers.to_pylist():
-            told[words_.get(r["bucket"], NONE)] = np.frombuffer(r["words"], "<u2")
-            levels[pairs_.get(r["bucket"], NONE)] = np.frombuffer(r["pairs"], "<u2")
+            word_levels[words_.get(r["shelf"], NONE)] = np.frombuffer(r["words"], "<u2")
+            levels[pairs_.get(r["shelf"], NONE)] = np.frombuffer(r["pairs"], "<u2")
         seen, at = np.unique(h, return_inverse=True)
-        logs = log_probabilities(Levels(w, told >> FINE_BITS, told & ((1 << FINE_BITS) - 1), p, levels), known, h, n, seen, at)
+        logs = log_probabilities(Levels(w, word_levels >> FINE_BITS, word_levels & ((1 << FINE_BITS) - 1), p, levels), known, h, n, seen, at)
         return pa.table({"k": table.column("k"), "score": pa.array(np.add.reduceat(logs, np.cumsum(n) - n))})
 
-    asked = texts.groupBy("portion").applyInArrow(ask, "bucket int, portion long, words binary, pairs binary")
-    held = model.where("kind = 0").select("bucket", "data")
-    answers = held.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, "portion long, bucket int, words binary, pairs binary")
-    return stored(texts.groupBy("portion").cogroup(answers.groupBy("portion")).applyInArrow(score, "k long, score double"), "sent")
+    held = model.where("kind = 0").select(F.pmod("bucket", F.lit(shelves)).alias("shelf"), "bucket", "data")
+    sent = []
+    for number in range(min(ROUNDS, portions)):
+        some = texts.where(F.col("portion") % ROUNDS == number)
+        asked = some.groupBy("portion").applyInArrow(ask, "shelf int, portion long, words binary, pairs binary")
+        answers = held.groupBy("shelf").cogroup(asked.groupBy("shelf")).applyInArrow(answer, "portion long, shelf int, words binary, pairs binary")
+        with shuffles_freed(docs.sparkSession):
+            sent.append(stored(some.groupBy("portion").cogroup(answers.groupBy("portion")).applyInArrow(score, "k long, score double"), "sent"))
+    return functools.reduce(DataFrame.unionByName, sent)
 
 
 def log_probabilities(bloom: LogFrequencyBloom | Levels, known: Quantised, h: np.ndarray, counts: np.ndarray, seen: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -452,7 +494,8 @@ def score_documents(docs: DataFrame, frequent_words: int = FREQUENT_WORDS, bits_
     keyed_docs = docs.select("doc_id", "held_out", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("k"))
     every = stored(keyed_docs.mapInArrow(frugal(score), SCORES), "scores")
     if bloom is None:
-        sent = sent_scores(keyed_docs.select("k", "text"), model, buckets, quantised)
+        copies = stored(every.where("h = 0").groupBy("k").count().where("count > 1").select("k"), "copies")
+        sent = sent_scores(keyed_docs.select("k", "text"), copies, model, buckets, quantised)
         every = every.drop("score").join(sent, "k").select(every.columns)
     scored, each = every.where("h = 0").drop("h", "tf"), every.select("doc_id", "k", "h", "tf")
     found = each.join(words.where(F.col("level") < least).select("h", "c"), "h", "left")
